@@ -30,8 +30,8 @@ def session_activity(raw: DataFrame, sources: DataFrame, delay: str = "10 minute
     The built-in session includes a gap of exactly its length; one microsecond less makes such a gap a stall.
     """
     timed = with_source(raw, sources).filter(F.col("idle_timeout_ms").isNotNull())
-    gap = F.make_dt_interval(secs=(F.col("idle_timeout_ms") / 1000).cast("decimal(18,6)") - F.lit("0.000001").cast(
-        "decimal(18,6)"))
+    seconds = (F.col("idle_timeout_ms") / 1000).cast("decimal(18,6)") - F.lit("0.000001").cast("decimal(18,6)")
+    gap = F.make_interval(secs=seconds)
     return (
         timed.select(F.lower(strip(F.col("source_name"))).alias("source"), "received_at", gap.alias("gap"))
         .withWatermark("received_at", delay)
