@@ -6,6 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
 
+# The usual spelling, and every accepted one
+_ISO_FULL = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,16})?"
+    r"(?:Z|[+-](?:0[0-9]|1[0-4]):[0-5][0-9])$"
+)
 _ISO_SHAPE = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
     r"(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,16})?)?(?:Z|[+-](?:0[0-9]|1[0-4])(?::[0-5][0-9])?)?)?$"
@@ -20,8 +25,12 @@ def in_calendar(micros: Column) -> Column:
 
 def iso_micros(text: Column) -> Column:
     """ISO 8601 text to microseconds, NULL if it has another shape. Text without an offset is UTC."""
-    full = F.regexp_replace(text, r"(T.*[+-][0-9]{2})$", "$1:00")
-    return F.when(text.rlike(_ISO_SHAPE), F.unix_micros(full.try_cast("timestamp")))
+    with_seconds = F.regexp_replace(text, r"(T[0-9]{2}:[0-9]{2})((?:Z|[+-].*)?)$", "$1:00$2")
+    with_minutes = F.regexp_replace(with_seconds, r"(T.*[+-][0-9]{2})$", "$1:00")
+    return (
+        F.when(text.rlike(_ISO_FULL), F.unix_micros(text.try_cast("timestamp")))
+        .when(text.rlike(_ISO_SHAPE), F.unix_micros(with_minutes.try_cast("timestamp")))
+    )
 
 
 def iso_seventh_digit(text: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import DEAD_LETTER
 
+TIME_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def dead_letters(ticks: DataFrame, error_type: Column, error_message: Column, failed_at: datetime) -> DataFrame:
     """Failed ticks as dead-letter records."""
@@ -30,11 +32,14 @@ def append_dead_letters(records: DataFrame, path: str, load_id: str, failed_at:
     if records.isEmpty():
         return
     day = failed_at.astimezone(timezone.utc).strftime("%Y%m%d")
-    records.write.mode("overwrite").json(f"{path}/failed_date={day}/load_id={load_id}")
+    records.write.mode("overwrite").option("timestampFormat", TIME_PATTERN).json(
+        f"{path}/failed_date={day}/load_id={load_id}"
+    )
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(DEAD_LETTER + ", failed_date string, load_id string").json(path)
+    schema = DEAD_LETTER + ", failed_date string, load_id string"
+    return spark.read.schema(schema).option("timestampFormat", TIME_PATTERN).json(path)
 
 
 def write_rejects(rejected: DataFrame, path: str, load_id: str) -> None:

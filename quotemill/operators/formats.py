@@ -212,7 +212,7 @@ def _convert(fields: DataFrame, formats: dict[str, WireFormat]) -> DataFrame:
         micros.alias("micros"),
         seventh.alias("seventh"),
     )
-    keep = [c for c in fields.columns if c not in SLOTS and c != "symbol_text"]
+    keep = [c for c in fields.columns if c not in SLOTS]
     return ready.select(
         *keep,
         F.col("clean_symbol").alias("symbol"),

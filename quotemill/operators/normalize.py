@@ -74,7 +74,7 @@ def parse(raw: DataFrame, sources: DataFrame, formats: dict[str, WireFormat] = F
         "symbol",
         "price",
         "volume",
-        F.timestamp_micros("micros").alias("event_time"),
+        F.timestamp_micros(F.when(F.col("error").isNull(), F.col("micros"))).alias("event_time"),
         "event_ticks",
         "source",
     )

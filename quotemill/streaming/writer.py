@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -13,6 +14,8 @@ from ..config import Options
 from ..operators import load
 from ..operators.deadletter import append_dead_letters, dead_letters
 
+log = logging.getLogger(__name__)
+
 # Java failures that may pass when tried again
 TRANSIENT_JAVA = (
     "java.io.IOException",
@@ -120,4 +123,4 @@ class BatchWriter:
             counts["dead_lettered"] += rows
         except Exception as problem:
             counts["dropped"] += rows
-            print(f"CRITICAL: {rows} ticks of load {load_id} were neither stored nor dead-lettered: {problem}")
+            log.critical("%d ticks of load %s were neither stored nor dead-lettered: %s", rows, load_id, problem)
