@@ -40,8 +40,10 @@ def iso_seventh_digit(text: Column) -> Column:
 
 def gamma_micros(text: Column) -> Column:
     """Text in exactly the compact UTC form to microseconds, else NULL."""
-    parsed = F.try_to_timestamp(text, F.lit(fv.GAMMA_TIME_PATTERN))
-    return F.when(text.rlike(_GAMMA_SHAPE), F.unix_micros(parsed))
+    spaced = F.concat(
+        F.substring(text, 1, 4), F.lit("-"), F.substring(text, 5, 2), F.lit("-"), F.substring(text, 7, 15)
+    )
+    return F.when(text.rlike(_GAMMA_SHAPE), F.unix_micros(spaced.try_cast("timestamp")))
 
 
 def millis_to_micros(millis: Column) -> Column:

@@ -13,7 +13,13 @@ from .. import fixed_values as fv
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends; NULL becomes empty text."""
-    return F.coalesce(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
+    trimmed = F.when(text.rlike("^[!-~]+$"), text).otherwise(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(trimmed, F.lit(""))
+
+
+def is_blank(text: Column) -> Column:
+    """True for NULL, empty or white-space text."""
+    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
 
 
 # One optional sign on either side, commas anywhere between the first digit and the point, no exponent.
@@ -27,7 +33,10 @@ def decimal_from_text(text: Column) -> Column:
     """Invariant decimal text to a number, NULL if the text is not one."""
     bare = F.regexp_replace(text, r"[\t-\r ,+]", "")
     signed = F.regexp_replace(bare, r"^([0-9.]+)-$", "-$1")
-    return F.when(text.rlike(_NUMBER_SHAPE), signed.try_cast(fv.FLIGHT_DECIMAL))
+    return (
+        F.when(text.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), text.try_cast(fv.FLIGHT_DECIMAL))  # the usual spelling
+        .when(text.rlike(_NUMBER_SHAPE), signed.try_cast(fv.FLIGHT_DECIMAL))
+    )
 
 
 def plain_decimal(number: Column) -> Column:

@@ -47,10 +47,10 @@ def accept(ticks: DataFrame, window_ms: int = fv.DEDUP_WINDOW_MS, fold_limit: in
     ).first()
     if counts["ids"] > counts["hot"]:
         rows = ticks.join(long_ids.filter(F.col("arrivals") <= fold_limit).select("id"), "id", "left_semi")
-        accepted = accepted.unionByName(_fold(rows, window))
+        accepted = accepted.unionByName(materialize(_fold(rows, window), "dedup-folded"))
     if counts["hot"]:
         rows = ticks.join(long_ids.filter(F.col("arrivals") > fold_limit).select("id"), "id", "left_semi")
-        accepted = accepted.unionByName(_chain(rows, window))
+        accepted = accepted.unionByName(materialize(_chain(rows, window), "dedup-chained"))
     return accepted
 
 

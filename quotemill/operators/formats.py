@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import moments
-from ..functions.text import canonical_decimal, decimal_from_text, plain_decimal, strip
+from ..functions.text import canonical_decimal, decimal_from_text, is_blank, plain_decimal, strip
 
 JSON_SPACE = " \t\r\n"
 
@@ -119,10 +119,10 @@ def guard(max_bytes: int = fv.MAX_MESSAGE_BYTES) -> Column:
 def _by_format(formats: dict[str, WireFormat], value) -> Column:
     """``value(format)`` of the row's own format; formats whose value is None are left out."""
     chosen = None
-    for key, form in formats.items():
+    for position, form in enumerate(formats.values()):
         branch = value(form)
         if branch is not None:
-            match = F.col("format") == key
+            match = F.col("format_no") == position
             chosen = F.when(match, branch) if chosen is None else chosen.when(match, branch)
     return F.lit(None) if chosen is None else chosen
 
@@ -132,8 +132,8 @@ def _json_type(value: Column) -> Column:
 
 
 def _kind_is(formats: dict[str, WireFormat], slot: str, kind: str) -> Column:
-    keys = [key for key, form in formats.items() if getattr(form, slot).kind == kind]
-    return F.col("format").isin(keys) if keys else F.lit(False)
+    positions = [n for n, form in enumerate(formats.values()) if getattr(form, slot).kind == kind]
+    return F.col("format_no").isin(positions) if positions else F.lit(False)
 
 
 def _extract(messages: DataFrame, formats: dict[str, WireFormat]) -> DataFrame:
@@ -228,7 +228,7 @@ def _format_error(formats: dict[str, WireFormat]) -> Column:
     label = F.col("label")
 
     def missing(form):
-        return strip(F.col(f"{form.also_required}_text")) == ""
+        return is_blank(F.col(f"{form.also_required}_text"))
 
     def json_number_lost(form):
         lost = F.lit(False)
@@ -272,7 +272,11 @@ def read_fields(raw: DataFrame, formats: dict[str, WireFormat] = FORMATS,
                 max_bytes: int = fv.MAX_MESSAGE_BYTES) -> DataFrame:
     """Messages that carry their ``format`` to fields: adds guard, label, symbol, price, volume, micros, seventh
     and format_error."""
-    guarded = raw.withColumn("guard", guard(max_bytes)).withColumn(
+    position = None
+    for n, key in enumerate(formats):
+        position = F.when(F.col("format") == key, n) if position is None else position.when(F.col("format") == key, n)
+    numbered = raw.select("*", guard(max_bytes).alias("guard"), position.alias("format_no"))
+    guarded = numbered.withColumn(
         "label", F.when(F.col("guard").isNull(), _by_format(formats, lambda form: F.lit(form.label)))
     )
     documents = guarded.withColumn("doc", F.when(F.col("label").isNotNull(), document(F.col("payload"))))
@@ -282,9 +286,8 @@ def read_fields(raw: DataFrame, formats: dict[str, WireFormat] = FORMATS,
     # Unnesting a one-element array keeps later filters on the error from being pushed below the JSON parser,
     # where the optimizer would parse every document a second time inside the filter.
     found = F.struct("symbol", "price", "volume", "micros", "seventh", "format_error")
-    return checked.select(*guarded.columns, F.explode(F.array(found)).alias("found")).select(
-        *guarded.columns, "found.*"
-    )
+    carried = [c for c in guarded.columns if c != "format_no"]
+    return checked.select(*carried, F.explode(F.array(found)).alias("found")).select(*carried, "found.*")
 
 
 def alpha_payload(symbol: Column, price: Column, volume: Column, moment: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions.moments import floor_div
@@ -113,15 +113,20 @@ def candidates(stored: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def load_outcome(routed: DataFrame, stored: DataFrame) -> DataFrame:
-    """Add ``outcome`` to accepted ticks: written, conflict or dead_lettered, without writing anything."""
-    live = routed.filter(F.col("failure").isNull())
-    winners = absent(first_per_id(live), candidates(stored, live)).select(
-        "id", "received_at", "seq", F.lit("written").alias("_won")
-    )
-    return routed.join(winners, ["id", "received_at", "seq"], "left").select(
+    """Add ``outcome`` to accepted ticks: written, conflict or dead_lettered, without writing anything.
+
+    The earliest live row of an id is written unless the id is stored. Accepted rows of one id are a window apart, so
+    a ranked group is bounded by time. The rank and the lookup of stored ids share one shuffle by id.
+    """
+    earlier = Window.partitionBy("id").orderBy("received_at", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    is_live = F.col("failure").isNull()
+    ranked = routed.withColumn("_nth", F.count(F.when(is_live, 1)).over(earlier))
+    known = candidates(stored, routed.filter(is_live)).select("id", F.lit(True).alias("_stored"))
+    return ranked.join(known, "id", "left").select(
         *routed.columns,
-        F.when(F.col("failure").isNotNull(), F.lit("dead_lettered"))
-        .otherwise(F.coalesce("_won", F.lit("conflict")))
+        F.when(~is_live, F.lit("dead_lettered"))
+        .when((F.col("_nth") == 1) & F.col("_stored").isNull(), F.lit("written"))
+        .otherwise(F.lit("conflict"))
         .alias("outcome"),
     )
 

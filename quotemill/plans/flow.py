@@ -10,7 +10,7 @@ from ..config import Options
 from ..operators import dedup, load, normalize
 from ..operators.formats import FORMATS
 from ..session import materialize, prepare
-from ..sources.registry import check_registry, registry
+from ..sources.registry import check_formats, registry
 
 
 @dataclass(frozen=True)
@@ -35,8 +35,8 @@ def run(raw: DataFrame, options: Options = Options(), scope: str = "batch") -> F
     would cost more than the table.
     """
     spark = prepare(raw.sparkSession)
-    options.check()
-    sources = check_registry(registry(spark, options.sources), FORMATS)
+    check_formats(options.check().sources, FORMATS)
+    sources = registry(spark, options.sources)
     parsed = materialize(
         slim(normalize.parse(raw, sources, max_bytes=options.max_message_bytes)), "parsed"
     )

@@ -16,7 +16,7 @@ from ..operators.deadletter import append_dead_letters, dead_letters, read_dead_
 from ..session import materialize, prepare, work_folder
 from ..sources import tables
 from ..sources.feeds import stream_messages, union_of
-from ..sources.registry import check_registry, registry, with_source
+from ..sources.registry import check_formats, check_registry, registry, with_source
 from ..streaming import metrics
 from ..streaming.ingest import Ingest
 from . import flow
@@ -51,7 +51,8 @@ def raw_feed(spark: SparkSession, sf_dir: str, extended: bool = False) -> DataFr
 
 
 def _sources(spark: SparkSession, sources=DEFAULT_SOURCES) -> DataFrame:
-    return check_registry(registry(spark, sources), formats.FORMATS)
+    check_formats(sources, formats.FORMATS)
+    return registry(spark, sources)
 
 
 def _parsed(spark: SparkSession, sf_dir: str, extended: bool = False) -> DataFrame:
@@ -167,7 +168,8 @@ def source_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_feed(spark, sf_dir)
     feeds = [raw.filter(F.col("source_name") == s.name).withColumn("source_name", F.initcap("source_name"))
              for s in DEFAULT_SOURCES]
-    return with_source(union_of(feeds), _sources(spark)).groupBy("source_name", "format", "idle_timeout_ms").agg(
+    configured = check_registry(_sources(spark), formats.FORMATS)
+    return with_source(union_of(feeds), configured).groupBy("source_name", "format", "idle_timeout_ms").agg(
         F.count(F.lit(1)).alias("messages")
     )
 

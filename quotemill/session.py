@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +54,28 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the frames materialized inside the block when it ends; their results must be written by then."""
+    outer = getattr(_scopes, "paths", None)
+    _scopes.paths = paths = []
+    try:
+        yield
+    finally:
+        _scopes.paths = outer
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            path_of(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path_of(path), True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared work folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = work_folder(spark, label)
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,18 +14,25 @@ def from_text_lines(lines: DataFrame, source_name: str | None = None) -> DataFra
     """Text lines, one payload per line, to raw messages.
 
     The arrival time is the time the file was written, so a replayed file gives the same rows. The sequence number
-    only orders equal arrival times. Without a ``source_name`` the folder column of that name is used.
+    only orders equal arrival times; a stream cannot number its rows and leaves it to :func:`with_sequence`. Without a
+    ``source_name`` the folder column of that name is used.
     """
+    number = F.lit(None).cast("bigint") if lines.isStreaming else F.monotonically_increasing_id()
     name = F.col("source_name") if source_name is None else F.lit(source_name)
     return lines.select(
         name.alias("source_name"),
         F.col("value").alias("payload"),
         F.lit(fv.TEXT_MESSAGE).alias("message_type"),
         F.col("_metadata.file_modification_time").alias("received_at"),
-        F.monotonically_increasing_id().alias("seq"),
+        number.alias("seq"),
     )
 
 
+def with_sequence(messages: DataFrame) -> DataFrame:
+    """Number the messages of a micro-batch that came without a sequence."""
+    return messages.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
+
+
 def read_text(spark: SparkSession, path: str, source_name: str | None = None) -> DataFrame:
     return from_text_lines(spark.read.text(path), source_name)
 

@@ -16,8 +16,16 @@ def registry(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
     return spark.createDataFrame(rows, SOURCES)
 
 
+def check_formats(sources: Iterable[Source], formats: Iterable[str]) -> None:
+    """Raise before a job starts if a configured format has no reader."""
+    known = {f.lower() for f in formats}
+    for source in sources:
+        if source.format.lower() not in known:
+            raise ValueError(f"no reader for format '{source.format}' of source '{source.name}'")
+
+
 def check_registry(sources: DataFrame, formats: Iterable[str]) -> DataFrame:
-    """Raise before a job starts if a name repeats (ignoring case) or a format has no reader."""
+    """The same checks, and unique names ignoring case, for a registry that is itself a table."""
     known = [f.lower() for f in formats]
     problems = (
         sources.groupBy(F.lower("name").alias("name"))

@@ -11,8 +11,9 @@ from ..operators.formats import FORMATS
 from ..operators.load import path_exists
 from ..plans.flow import slim
 from ..schemas import TICK
-from ..session import materialize, prepare
-from ..sources.registry import check_registry, registry
+from ..session import materialize, prepare, scratch
+from ..sources.feeds import with_sequence
+from ..sources.registry import check_formats, registry
 from .writer import BatchWriter
 
 LEDGER = "id string, anchor_at timestamp, stream string, anchor_date date, batch_no bigint"
@@ -52,9 +53,13 @@ class Ingest:
     def process(self, raw: DataFrame, batch_no: int) -> None:
         """One micro-batch; also usable as a plain batch job."""
         spark = prepare(raw.sparkSession)
+        with scratch(spark):
+            self._process(spark, raw, batch_no)
+
+    def _process(self, spark: SparkSession, raw: DataFrame, batch_no: int) -> None:
         load_id = f"{self.stream}-{batch_no:012d}"
         parsed = materialize(
-            slim(normalize.parse(raw, registry(spark, self.options.sources),
+            slim(normalize.parse(with_sequence(raw), registry(spark, self.options.sources),
                                  max_bytes=self.options.max_message_bytes)),
             "parsed",
         )
@@ -127,7 +132,7 @@ class Ingest:
 
     def start(self, raw: DataFrame, checkpoint: str, interval: str | None = None):
         """Start the query; without an ``interval`` it processes what is available and stops."""
-        check_registry(registry(raw.sparkSession, self.options.sources), FORMATS)
+        check_formats(self.options.sources, FORMATS)
         trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
         return (
             raw.writeStream.queryName(f"ingest-{self.stream}")

@@ -2,7 +2,7 @@ import pytest
 
 from quotemill.config import Options, Source
 from quotemill.operators.formats import FORMATS
-from quotemill.sources.registry import check_registry, registry
+from quotemill.sources.registry import check_formats, check_registry, registry
 
 
 def test_defaults_and_a_fourth_source_are_valid():
@@ -32,3 +32,5 @@ def test_registry_table_is_checked_before_the_join(spark):
         check_registry(registry(spark, [Source("a", "alpha-v1"), Source("A", "alpha-v1")]), FORMATS)
     with pytest.raises(ValueError, match="no reader"):
         check_registry(registry(spark, [Source("a", "omega-v1")]), FORMATS)
+    with pytest.raises(ValueError, match="no reader"):
+        check_formats([Source("a", "omega-v1")], FORMATS)

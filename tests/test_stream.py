@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import T0
+from quotemill import session
 from quotemill.config import Options
 from quotemill.operators import load, normalize
 from quotemill.plans import flow
@@ -111,6 +112,14 @@ def test_query_restarts_from_its_checkpoint(spark, arrivals):
     assert table(spark, root) == table(spark, whole)
 
 
+def test_a_batch_leaves_no_scratch_folders(spark, arrivals, monkeypatch):
+    made = []
+    plain = session.work_folder
+    monkeypatch.setattr(session, "work_folder", lambda s, label: made.append(plain(s, label)) or made[-1])
+    Ingest(plain(spark, "tidy"), options=OPTIONS).process(part(arrivals, 0, 5), 0)
+    assert made and not any(load.path_exists(spark, path) for path in made)
+
+
 def test_ledger_days_can_be_dropped(spark, arrivals):
     root = work_folder(spark, "expire")
     job = Ingest(root, options=OPTIONS)
@@ -130,12 +139,10 @@ def test_text_landing_folders(spark, sources):
     ]
     streams = [feeds.stream_text(spark, f"{root}/source_name={s}", s) for s in ("alpha", "beta")]
     out = work_folder(spark, "out")
-    query = (
-        feeds.union_of(streams).writeStream.option("checkpointLocation", f"{out}/cp").trigger(availableNow=True)
-        .format("parquet").start(f"{out}/rows")
-    )
-    query.awaitTermination()
-    assert spark.read.parquet(f"{out}/rows").count() == 3
+    job = Ingest(out, options=OPTIONS)
+    job.start(feeds.union_of(streams), f"{out}/checkpoint").awaitTermination()
+    row = job.outcomes(spark).agg(F.sum("raw"), F.sum("invalid"), F.sum("written")).first()
+    assert tuple(row) == (3, 1, 2)
 
 
 def test_kafka_records(spark):
