@@ -29,11 +29,17 @@ def latest(ticks: DataFrame, n: int) -> DataFrame:
 
 
 def latest_per_instrument(ticks: DataFrame) -> DataFrame:
-    """The newest tick of every (source, symbol), combined per task before the shuffle."""
+    """The newest tick of every (source, symbol).
+
+    The newest time comes from a hash aggregate over three columns, so the ticks are never sorted; only the ticks at
+    that time are compared by id. ``ticks`` is read twice: pass a stored frame.
+    """
+    newest = ticks.groupBy("source", "symbol").agg(F.max("event_time").alias("event_time"))
     rest = [c for c in ticks.columns if c not in ("source", "symbol")]
     return (
-        ticks.groupBy("source", "symbol")
-        .agg(F.max_by(F.struct(*rest), F.struct("event_time", "id")).alias("newest"))
+        ticks.join(newest, ["source", "symbol", "event_time"], "left_semi")
+        .groupBy("source", "symbol")
+        .agg(F.max_by(F.struct(*rest), "id").alias("newest"))
         .select("source", "symbol", "newest.*")
     )
 

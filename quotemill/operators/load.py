@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed_values as fv
@@ -16,6 +18,10 @@ IS_NULL = 'null value in column "{}" violates not-null constraint'
 CHECK_FAILED = 'new row violates check constraint "market_ticks_{}_check"'
 VIOLATION = "ConstraintViolation"
 
+# Folder lists up to this length are read folder by folder; names outside the pattern are escaped in paths
+FOLDER_LIMIT = 1_000
+PLAIN_NAME = re.compile(r"[a-z0-9_.-]+")
+
 
 def violation() -> Column:
     """The first constraint a tick would break in the stored table, NULL if none. Numbers are rounded first."""
@@ -92,6 +98,22 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(table_schema()).parquet(path)
 
 
+def read_folders(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
+    """The stored rows that can hold ids of ``new``: those in its (event_date, source) folders.
+
+    A short folder list, as a micro-batch has, is read directly, so the rest of the table is not even listed. For a
+    long one the whole table is read and joined with the list.
+    """
+    found = new.select(F.to_date("event_time").alias("day"), "source").distinct().limit(FOLDER_LIMIT + 1).collect()
+    if len(found) > FOLDER_LIMIT or not all(PLAIN_NAME.fullmatch(row["source"]) for row in found):
+        return candidates(read_table(spark, path), new)
+    folders = [f"{path}/event_date={row['day'].isoformat()}/source={row['source']}" for row in found]
+    present_folders = [folder for folder in folders if path_exists(spark, folder)]
+    if not present_folders:
+        return spark.createDataFrame([], table_schema())
+    return spark.read.schema(table_schema()).option("basePath", path).parquet(*present_folders)
+
+
 def absent(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose id is not stored."""
     return new.join(stored.select("id"), "id", "left_anti")
@@ -139,8 +161,8 @@ def append_ticks(ticks: DataFrame, path: str, load_id: str) -> dict[str, int]:
     half-way, gives the same table and the same counts. Two loads must not run at the same time.
     """
     spark = ticks.sparkSession
-    stored = read_table(spark, path).filter(F.col("load_id") != load_id)
-    new = absent(first_per_id(ticks), candidates(stored, ticks))
+    stored = read_folders(spark, path, ticks).filter(F.col("load_id") != load_id)
+    new = absent(first_per_id(ticks), stored)
     rows = table_row(new).withColumn("load_id", F.lit(load_id))
     (
         # Gathers the rows of a folder into files of a good size, and splits folders that are too large for one task.

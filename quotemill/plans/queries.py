@@ -418,12 +418,12 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bulk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.raw_from_lineitem(prepare(spark).read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return tables.raw_from_lineitem(tables.read_lines(prepare(spark), sf_dir))
 
 
 def bulk_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all order lines as ticks, without the way through JSON, and how often each occurs."""
-    lines = prepare(spark).read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = tables.read_lines(prepare(spark), sf_dir)
     ticks = lines.select(
         tables._pick(F.col("l_suppkey") % 3, tables.SOURCE_NAMES).alias("source"),
         tables._pick(F.col("l_partkey") % 5, tables.SYMBOLS).alias("symbol"),
@@ -445,7 +445,8 @@ def bulk_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bulk_latest_per_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = normalize.ticks(normalize.parse(_bulk_raw(spark, sf_dir), _sources(spark)))
-    newest = access.latest_per_instrument(found.drop("received_at", "seq"))
+    stored = materialize(found.select("id", "source", "symbol", "price", "volume", "event_time"), "ticks")
+    newest = access.latest_per_instrument(stored)
     return newest.select("source", "symbol", "id", _double("price"), _double("volume"), _micros("event_time", "event_us"))
 
 

@@ -37,8 +37,22 @@ def _format(source: Column) -> Column:
     return F.concat(source, F.lit("-v1"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, shuffled so that all cores share the work on its rows.
+
+    Reading messages is bound by CPU. Large inputs have more splits than cores and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
+
+
+def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
+    return spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*columns))
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Options
 from ..operators import dedup, normalize
 from ..operators.deadletter import write_rejects
 from ..operators.formats import FORMATS
-from ..operators.load import path_exists
 from ..plans.flow import slim
 from ..schemas import TICK
 from ..session import materialize, prepare, scratch
@@ -16,7 +17,8 @@ from ..sources.feeds import with_sequence
 from ..sources.registry import check_formats, registry
 from .writer import BatchWriter
 
-LEDGER = "id string, anchor_at timestamp, stream string, anchor_date date, batch_no bigint"
+LEDGER = "id string, anchor_at timestamp, stream string, anchor_hour string, batch_no bigint"
+HOUR = "yyyyMMddHH"
 COUNTS = (
     "batch_no bigint, raw bigint, invalid bigint, oversize bigint, accepted bigint, duplicate bigint, written bigint, "
     "conflicts bigint, dead_lettered bigint, dropped bigint, attempt_failures bigint, stream string"
@@ -41,11 +43,21 @@ class Ingest:
         self.options = options.check()
         self.writer = writer or BatchWriter(f"{self.root}/ticks", f"{self.root}/dead_letter", options)
 
-    def ledger(self, spark: SparkSession) -> DataFrame:
-        path = f"{self.root}/ledger"
-        if not path_exists(spark, path):
+    def _ledger_hours(self, spark: SparkSession) -> dict[str, object]:
+        """The hour folders of this stream."""
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        pattern = path_of(f"{self.root}/ledger/stream={self.stream}/anchor_hour=*")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        return {status.getPath().getName().split("=")[1]: status.getPath() for status in found}
+
+    def ledger(self, spark: SparkSession, since: str = "") -> DataFrame:
+        """Anchors of this stream from an hour on; earlier folders are not listed."""
+        hours = [hour for hour in sorted(self._ledger_hours(spark)) if hour >= since]
+        if not hours:
             return spark.createDataFrame([], LEDGER)
-        return spark.read.schema(LEDGER).parquet(path)
+        root = f"{self.root}/ledger"
+        folders = [f"{root}/stream={self.stream}/anchor_hour={hour}" for hour in hours]
+        return spark.read.schema(LEDGER).option("basePath", root).parquet(*folders)
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(COUNTS).json(f"{self.root}/outcomes")
@@ -69,7 +81,7 @@ class Ingest:
             F.count(F.when(F.col("status") == "invalid", 1)).alias("invalid"),
             F.count(F.when(F.col("status") == "oversize", 1)).alias("oversize"),
             F.count(F.when(F.col("status") == "valid", 1)).alias("valid"),
-            F.min(F.when(F.col("status") == "valid", F.col("received_at"))).alias("first_at"),
+            F.min(F.when(F.col("status") == "valid", F.unix_micros("received_at"))).alias("first_at"),
         ).first()
         counts = {"raw": totals["raw"], "invalid": totals["invalid"], "oversize": totals["oversize"],
                   "accepted": 0, "duplicate": 0}
@@ -90,15 +102,13 @@ class Ingest:
             .json(f"{self.root}/outcomes/stream={self.stream}/load_id={load_id}")
         )
 
-    def _deduplicate(self, ticks: DataFrame, first_at, batch_no: int) -> DataFrame:
+    def _deduplicate(self, ticks: DataFrame, first_at: int, batch_no: int) -> DataFrame:
         spark = ticks.sparkSession
-        horizon = F.lit(first_at) - F.make_dt_interval(secs=F.lit(self.options.dedup_window_ms / 1000))
+        horizon = first_at - self.options.dedup_window_ms * 1000
+        since = datetime.fromtimestamp(horizon // 1_000_000, timezone.utc).strftime("%Y%m%d%H")
         # Anchors of this or a later batch are left out, so that a replay decides as the first run did.
-        anchors = self.ledger(spark).filter(
-            (F.col("stream") == self.stream)
-            & (F.col("batch_no") < batch_no)
-            & (F.col("anchor_at") > horizon)
-            & (F.col("anchor_date") >= F.to_date(horizon))
+        anchors = self.ledger(spark, since).filter(
+            (F.col("batch_no") < batch_no) & (F.col("anchor_at") > F.timestamp_micros(F.lit(horizon)))
         )
         accepted = materialize(
             dedup.accept_after(ticks, anchors, self.options.dedup_window_ms).select(*TICK), "accepted"
@@ -108,27 +118,24 @@ class Ingest:
                 "id",
                 F.col("received_at").alias("anchor_at"),
                 F.lit(self.stream).alias("stream"),
-                F.to_date("received_at").alias("anchor_date"),
+                F.date_format("received_at", HOUR).alias("anchor_hour"),
                 F.lit(batch_no).cast("bigint").alias("batch_no"),
             )
-            .hint("rebalance", "anchor_date")
+            .hint("rebalance", "anchor_hour")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("stream", "anchor_date", "batch_no")
+            .partitionBy("stream", "anchor_hour", "batch_no")
             .parquet(f"{self.root}/ledger")
         )
         return accepted
 
-    def expire_ledger(self, spark: SparkSession, before) -> int:
-        """Drop the ledger days before a date; needed for bounded state, never for correct results."""
-        path_of = spark._jvm.org.apache.hadoop.fs.Path
-        files = path_of(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        dropped = 0
-        for status in files.globStatus(path_of(f"{self.root}/ledger/stream={self.stream}/anchor_date=*")) or []:
-            if status.getPath().getName().split("=")[1] < before.isoformat():
-                files.delete(status.getPath(), True)
-                dropped += 1
-        return dropped
+    def expire_ledger(self, spark: SparkSession, before: datetime) -> int:
+        """Drop the ledger hours before a moment; needed for bounded state, never for correct results."""
+        limit = before.astimezone(timezone.utc).strftime("%Y%m%d%H")
+        expired = [path for hour, path in self._ledger_hours(spark).items() if hour < limit]
+        for path in expired:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        return len(expired)
 
     def start(self, raw: DataFrame, checkpoint: str, interval: str | None = None):
         """Start the query; without an ``interval`` it processes what is available and stops."""

@@ -62,6 +62,13 @@ def test_loading_is_idempotent(spark, tick):
     assert stored.count() == 3 and stored.first()["price"] == Decimal("1.0850000000")
 
 
+def test_long_folder_lists_give_the_same(spark, tick, monkeypatch):
+    monkeypatch.setattr(load, "FOLDER_LIMIT", 0)
+    path = work_folder(spark, "ticks")
+    load.append_ticks(tick({}, {"at": 200_000_000}), path, "a")
+    assert load.append_ticks(tick({}, {"at": 200_000_000}, {"id": "new"}), path, "b")["written"] == 1
+
+
 def test_reads_prune_folders(spark, tick):
     path = work_folder(spark, "ticks")
     load.append_ticks(tick({}, {"at": 200_000_000}), path, "a")

@@ -1,4 +1,4 @@
-from datetime import date, timedelta
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,12 +120,12 @@ def test_a_batch_leaves_no_scratch_folders(spark, arrivals, monkeypatch):
     assert made and not any(load.path_exists(spark, path) for path in made)
 
 
-def test_ledger_days_can_be_dropped(spark, arrivals):
+def test_ledger_hours_can_be_dropped(spark, arrivals):
     root = work_folder(spark, "expire")
     job = Ingest(root, options=OPTIONS)
     job.process(arrivals, 0)
-    assert job.expire_ledger(spark, date(2026, 6, 1)) == 0
-    assert job.expire_ledger(spark, date(2026, 6, 2)) == 1
+    assert job.expire_ledger(spark, T0 + timedelta(minutes=59)) == 0
+    assert job.expire_ledger(spark, T0 + timedelta(minutes=60)) == 1
     assert job.ledger(spark).count() == 0
 
 
