@@ -17,14 +17,17 @@ from ..sources.feeds import with_sequence
 from ..sources.registry import check_formats, registry
 from .writer import BatchWriter
 
-LEDGER = "id string, anchor_at timestamp, stream string, anchor_hour string, batch_no bigint"
-HOUR = "yyyyMMddHH"
+LEDGER = "id string, anchor_at timestamp, stream string, last_hour string, batch_no bigint"
 COUNTS = (
     "batch_no bigint, raw bigint, invalid bigint, oversize bigint, accepted bigint, duplicate bigint, written bigint, "
     "conflicts bigint, dead_lettered bigint, dropped bigint, attempt_failures bigint, stream string"
 )
 
 
+def _hour(micros: int) -> str:
+    return datetime.fromtimestamp(micros // 1_000_000, timezone.utc).strftime("%Y%m%d%H")
+
+
 class Ingest:
     """Processes micro-batches into the folders below ``root``.
 
@@ -44,19 +47,19 @@ class Ingest:
         self.writer = writer or BatchWriter(f"{self.root}/ticks", f"{self.root}/dead_letter", options)
 
     def _ledger_hours(self, spark: SparkSession) -> dict[str, object]:
-        """The hour folders of this stream."""
+        """The folders of this stream, by the hour of the last arrival of the batches in them."""
         path_of = spark._jvm.org.apache.hadoop.fs.Path
-        pattern = path_of(f"{self.root}/ledger/stream={self.stream}/anchor_hour=*")
+        pattern = path_of(f"{self.root}/ledger/stream={self.stream}/last_hour=*")
         found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
         return {status.getPath().getName().split("=")[1]: status.getPath() for status in found}
 
     def ledger(self, spark: SparkSession, since: str = "") -> DataFrame:
-        """Anchors of this stream from an hour on; earlier folders are not listed."""
+        """Anchors of the batches of this stream that reach an hour; earlier folders are not listed."""
         hours = [hour for hour in sorted(self._ledger_hours(spark)) if hour >= since]
         if not hours:
             return spark.createDataFrame([], LEDGER)
         root = f"{self.root}/ledger"
-        folders = [f"{root}/stream={self.stream}/anchor_hour={hour}" for hour in hours]
+        folders = [f"{root}/stream={self.stream}/last_hour={hour}" for hour in hours]
         return spark.read.schema(LEDGER).option("basePath", root).parquet(*folders)
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
@@ -82,13 +85,14 @@ class Ingest:
             F.count(F.when(F.col("status") == "oversize", 1)).alias("oversize"),
             F.count(F.when(F.col("status") == "valid", 1)).alias("valid"),
             F.min(F.when(F.col("status") == "valid", F.unix_micros("received_at"))).alias("first_at"),
+            F.max(F.when(F.col("status") == "valid", F.unix_micros("received_at"))).alias("last_at"),
         ).first()
         counts = {"raw": totals["raw"], "invalid": totals["invalid"], "oversize": totals["oversize"],
                   "accepted": 0, "duplicate": 0}
         if totals["invalid"]:
             write_rejects(normalize.rejects(parsed), f"{self.root}/rejected", load_id)
         if totals["valid"]:
-            accepted = self._deduplicate(ticks, totals["first_at"], batch_no)
+            accepted = self._deduplicate(ticks, totals["first_at"], totals["last_at"], batch_no)
             counts["accepted"] = accepted.count()
             counts["duplicate"] = totals["valid"] - counts["accepted"]
             counts.update(self.writer.write(accepted, load_id))
@@ -102,10 +106,10 @@ class Ingest:
             .json(f"{self.root}/outcomes/stream={self.stream}/load_id={load_id}")
         )
 
-    def _deduplicate(self, ticks: DataFrame, first_at: int, batch_no: int) -> DataFrame:
+    def _deduplicate(self, ticks: DataFrame, first_at: int, last_at: int, batch_no: int) -> DataFrame:
         spark = ticks.sparkSession
         horizon = first_at - self.options.dedup_window_ms * 1000
-        since = datetime.fromtimestamp(horizon // 1_000_000, timezone.utc).strftime("%Y%m%d%H")
+        since, last_hour = _hour(horizon), _hour(last_at)
         # Anchors of this or a later batch are left out, so that a replay decides as the first run did.
         anchors = self.ledger(spark, since).filter(
             (F.col("batch_no") < batch_no) & (F.col("anchor_at") > F.timestamp_micros(F.lit(horizon)))
@@ -113,25 +117,13 @@ class Ingest:
         accepted = materialize(
             dedup.accept_after(ticks, anchors, self.options.dedup_window_ms).select(*TICK), "accepted"
         )
-        (
-            accepted.select(
-                "id",
-                F.col("received_at").alias("anchor_at"),
-                F.lit(self.stream).alias("stream"),
-                F.date_format("received_at", HOUR).alias("anchor_hour"),
-                F.lit(batch_no).cast("bigint").alias("batch_no"),
-            )
-            .hint("rebalance", "anchor_hour")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("stream", "anchor_hour", "batch_no")
-            .parquet(f"{self.root}/ledger")
-        )
+        folder = f"{self.root}/ledger/stream={self.stream}/last_hour={last_hour}/batch_no={batch_no}"
+        accepted.select("id", F.col("received_at").alias("anchor_at")).write.mode("overwrite").parquet(folder)
         return accepted
 
     def expire_ledger(self, spark: SparkSession, before: datetime) -> int:
         """Drop the ledger hours before a moment; needed for bounded state, never for correct results."""
-        limit = before.astimezone(timezone.utc).strftime("%Y%m%d%H")
+        limit = _hour(int(before.timestamp() * 1_000_000))
         expired = [path for hour, path in self._ledger_hours(spark).items() if hour < limit]
         for path in expired:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
