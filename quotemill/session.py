@@ -18,7 +18,7 @@ REQUIRED = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     # HotSpot never compiles methods above 8000 bytes of bytecode. Reading three wire formats makes such methods in
-    # whole-stage code; below this limit those stages run as separate, compilable projections (about 50 times faster).
+    # whole-stage code; above this limit a stage runs as separate, compilable projections instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
