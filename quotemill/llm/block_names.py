@@ -55,10 +55,9 @@ def cut_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
 def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, doc_id, text_sha256, rounds, name): rows with equal (rounds, name) have equal texts."""
-    named = cut_blocks(docs, block_bytes).select(
-        F.min("number").over(Window.partitionBy("block")).alias("name"), F.explode("members").alias("m")
-    )
-    level = materialize(named.select("m.*", "name"), "block-names")
+    named = cut_blocks(docs, block_bytes).withColumn("name", F.min("number").over(Window.partitionBy("block")))
+    # a select of its own: beside the window, the explode would run before the blocks move
+    level = materialize(named.select("name", F.explode("members").alias("m")).select("m.*", "name"), "block-names")
     done, rounds = None, 0
     while True:
         whole = level.where("blocks = 1").select("row", "doc_id", "text_sha256", F.lit(rounds).alias("rounds"), "name")

@@ -14,12 +14,15 @@ count by their worst one; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .tasks import map_rows, texts
+from .tasks import map_rows, ship, texts
 
 WINDOW = 5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -95,8 +98,9 @@ class Condition:
     def holds(self, table: dict[str, np.ndarray]) -> np.ndarray:
         return table[self.name] > self.value if self.above else table[self.name] <= self.value
 
-    def column(self) -> Column:
-        return F.col(self.name) > self.value if self.above else F.col(self.name) <= self.value
+    def column(self, prefix: str = "") -> Column:
+        value = F.col(prefix + self.name)
+        return value > self.value if self.above else value <= self.value
 
     def __str__(self) -> str:
         return f"{self.name} {'>' if self.above else '<='} {self.value:.6g}"
@@ -163,19 +167,20 @@ def learn(table: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9,
     return rules
 
 
-def emit(rules: list[Rule]) -> Column:
-    """The first rule that covers a row rejects it; no rule, no rejection. True keeps."""
+def emit(rules: list[Rule], prefix: str = "") -> Column:
+    """The first rule that covers a row rejects it; no rule, no rejection. True keeps. ``prefix``: of the statistics."""
     verdict = None
     for rule in rules:
-        condition = rule[0].column()
+        condition = rule[0].column(prefix)
         for more in rule[1:]:
-            condition = condition & more.column()
+            condition = condition & more.column(prefix)
         verdict = F.when(condition, False) if verdict is None else verdict.when(condition, False)
     return F.lit(True) if verdict is None else verdict.otherwise(True)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words, repeats = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    return (words < 10) | (100 * repeats > 20 * words)
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -195,4 +200,30 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` per document."""
-    return text_statistics(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & emit(rules))
+    stats = text_statistics(docs).withColumn("base_failed", base_failed())
+    return stats.withColumn("kept", ~F.col("base_failed") & emit(rules))
+
+
+def drop_poor(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are, in one pass without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    own = next(name for name in (f"stats_{i}" for i in range(len(docs.columns) + 1)) if name not in docs.columns)
+    fields = STATS.removeprefix("doc_id long, ")
+    schema = spark.createDataFrame([], docs.schema).selectExpr("*", f"cast(null AS struct<{_typed(fields)}>) AS {own}").schema
+    arrow = to_arrow_schema(schema)
+    names = [*BASE, *SHARES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [dict(zip(names, statistics(t.as_py() or ""), strict=True)) for t in batch.column("text")]
+            columns = [batch.column(f.name).cast(f.type) for f in list(arrow)[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, arrow[-1].type)], schema=arrow)
+
+    judged = docs.mapInArrow(run, schema)
+    kept = judged.where(~base_failed(f"{own}.") & emit(rules, f"{own}."))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _typed(fields: str) -> str:
+    return ", ".join(field.replace(" ", ": ", 1) for field in fields.split(", "))

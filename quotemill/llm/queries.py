@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_names, packing, prefix_bpe, quality_rules, token_counts, token_file
+from . import (
+    block_names, disclosure, dom_model, hypervectors, packing, prefix_bpe, quality_rules, set_sketch, token_counts, token_file,
+)
 from .tasks import read_table
 
 END_OF_TOKENS = 2
@@ -24,6 +26,23 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary, END_OF_PIECES, SEQUENCE_TOKENS)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return dom_model.extract(pages, dom_model.learn_model(pages))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_sketch.near_copies(read_table(spark, sf_dir, "documents"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hypervectors.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_copies(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +68,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_packing": op2_packing,
+    "op3_html_text": op3_html_text,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_personal_data": op5_personal_data,
+    "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
