@@ -7,8 +7,9 @@ the sets do, so bands of registers are join keys.
 1. Documents with equal sets are one class, represented by its smallest doc_id.
 2. In every band bucket each representative is paired with the least one there. Pairs that the joint likelihood of
    both sketches rules out go; the rest are verified on full shingle sets. The links give components.
-3. Buckets that hold representatives of several components are compared across these, in blocks of bounded size
-   spread over tasks, again by likelihood first; the pairs left are verified, and their links join the components.
+3. Buckets that hold representatives of several components are compared across these, in pairs of blocks of bounded
+   size spread over tasks: first by equal registers; then members with hope are compared on full sets, all pairs of a
+   block in one matrix product, and links join the components. No pair is written that isn't a link.
 
 Step 3 makes it complete: each pair that shares a bucket ends up in one component or is compared. A bucket of copies, whatever its
 size, is settled in step 2 with one pair per member. A link at similarity 0.75 shares none of the 32 bands
@@ -40,7 +41,9 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.02, 20.0, 65_534
 # twice the drop in log-likelihood from the best similarity to the threshold beyond which a pair is ruled out
 IMPLAUSIBLE = 30.0
-BLOCK_MEMBERS = 256
+# sets with similarity 0.75 agree in 96 registers on average, with a standard deviation below 5
+FEWEST_TIES = 70
+BLOCK_MEMBERS = 512
 LEADER_MEMBERS = 64
 
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64)
@@ -99,7 +102,7 @@ def plausible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
     share = sizes[0] / (sizes[0] + sizes[1])
     most = np.minimum(*sizes) / np.maximum(*sizes)
     keep = most >= 0.75
-    keep &= REGISTERS - above - below >= REGISTERS // 4
+    keep &= REGISTERS - above - below >= FEWEST_TIES
     rows = np.flatnonzero(keep)
     if not len(rows):
         return keep
@@ -137,7 +140,7 @@ def _bands(classes: DataFrame, *more: str) -> DataFrame:
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
     rows = classes.select("doc_id", *more, "registers", band)
     values = F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})")
-    return rows.select("doc_id", *more, F.xxhash64("band", values).alias("bucket"))
+    return rows.select("doc_id", "band", *more, F.xxhash64("band", values).alias("bucket"))
 
 
 def _plausible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -196,39 +199,11 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _across(unsettled: DataFrame) -> DataFrame:
-    """Plausible pairs of different components in one bucket. ``unsettled``: (bucket, members, doc_id, component,
-    n_shingles, registers). Buckets are dealt out in pairs of blocks, each pair of blocks to one task."""
-    spark = unsettled.sparkSession
-    ship(spark)
-    blocks = F.expr(f"cast(ceil(members / {BLOCK_MEMBERS}) as int)")
-    own = F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")
-    rows = unsettled.withColumn("blocks", blocks).withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    rows = rows.select("bucket", "low", "high", "own", "doc_id", "component", "n_shingles", "registers")
-    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    schema = to_arrow_schema(spark.createDataFrame([], "a long, b long").schema)
-
-    def compare(key: tuple, members: list[dict]) -> pa.RecordBatch:
-        members.sort(key=lambda m: m["doc_id"])
-        ids = np.asarray([m["doc_id"] for m in members], np.int64)
-        component = np.asarray([m["component"] for m in members], np.int64)
-        own = np.asarray([m["own"] for m in members], np.int64)
-        sizes = np.asarray([m["n_shingles"] for m in members], float)
-        values = np.frombuffer(b"".join(m["registers"] for m in members), "<u2").reshape(-1, REGISTERS)
-        a, b = [], []
-        for i in range(len(members) - 1):
-            rest = np.arange(i + 1, len(members))
-            rest = rest[component[rest] != component[i]]
-            if key[1] != key[2]:
-                rest = rest[own[rest] != own[i]]  # pairs inside a block are met where it is paired with itself
-            if len(rest):
-                left = np.broadcast_to(values[i], (len(rest), REGISTERS))
-                rest = rest[plausible(left, values[rest], np.broadcast_to(sizes[i], len(rest)), sizes[rest])]
-                a += [int(ids[i])] * len(rest)
-                b += ids[rest].tolist()
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema=schema)
+def _compared(rows: DataFrame, schema: str, compare) -> DataFrame:
+    """Run ``compare(key, members)`` on each pair of blocks; rows of one (bucket, low, high) meet in one task."""
+    ship(rows.sparkSession)
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    dealt = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
@@ -236,13 +211,105 @@ def _across(unsettled: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 if (row["bucket"], row["low"], row["high"]) != key:
                     if len(members) > 1:
-                        yield compare(key, members)
+                        yield pa.RecordBatch.from_pylist(compare(key, members), arrow)
                     key, members = (row["bucket"], row["low"], row["high"]), []
                 members.append(row)
         if len(members) > 1:
-            yield compare(key, members)
+            yield pa.RecordBatch.from_pylist(compare(key, members), arrow)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _apart(members: list[dict], key: tuple) -> np.ndarray:
+    """Pairs to be compared here: of different components; of different blocks, unless a block meets itself."""
+    component = np.asarray([m["component"] for m in members])
+    own = np.asarray([m["own"] for m in members])
+    apart = component[:, None] != component
+    if key[1] != key[2]:
+        apart &= own[:, None] != own
+    return apart
+
+
+def _blocks(unsettled: DataFrame) -> DataFrame:
+    """Members of a bucket in blocks of bounded size, once for each block that theirs is compared with."""
+    rows = unsettled.withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK_MEMBERS}) as int)"))
+    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+
+def _hopeful(unsettled: DataFrame) -> DataFrame:
+    """Members that a member of another component may be linked with, by the number of equal registers.
+
+    A pair counts in the first band that it shares only, so it is compared once later on."""
+
+    def compare(key: tuple, members: list[dict]) -> list[dict]:
+        values = np.frombuffer(b"".join(m["registers"] for m in members), "<u2").reshape(-1, REGISTERS)
+        apart, band = _apart(members, key), members[0]["band"]
+        hope = np.zeros(len(members), bool)
+        for i in range(len(members)):
+            equal = values == values[i]
+            near = apart[i] & (equal.sum(axis=1) >= FEWEST_TIES)
+            if near.any() and band:
+                earlier = equal[:, : band * ROWS].reshape(len(members), band, ROWS).all(axis=2).any(axis=1)
+                near &= ~earlier
+            if near.any():
+                hope[i] = True
+                hope |= near
+        return [
+            {c: m[c] for c in ("bucket", "low", "high", "own", "doc_id", "component")}
+            for m, h in zip(members, hope, strict=True) if h
+        ]
+
+    columns = ("bucket", "band", "low", "high", "own", "doc_id", "component", "registers")
+    return _compared(
+        _blocks(unsettled).select(*columns), "bucket long, low int, high int, own int, doc_id long, component long", compare
+    )
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of slices of the incidence matrix of shared shingles."""
+    values = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    rows, column = rows[shared], np.cumsum(times > 1)[column[shared]] - 1
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        first, last = np.searchsorted(column, [start, start + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[rows[first:last], column[first:last] - start] = 1
+        common += has @ has.T
+    return common
+
+
+def _links_across(hopeful: DataFrame, body: DataFrame) -> DataFrame:
+    """Links (a, b) between components inside blocks, on full sets; one link a member and component is enough."""
+
+    def make():
+        def work(columns):
+            return {"doc_id": columns["doc_id"], "shingles": [shingle_set(t).tobytes() for t in columns["text"]]}
+
+        return work
+
+    wanted = hopeful.select(F.col("doc_id").alias("wanted")).distinct()
+    held = body.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id"])
+    sets = map_rows(held, "doc_id long, shingles binary", make)
+
+    def compare(key: tuple, members: list[dict]) -> list[dict]:
+        full = [np.frombuffer(m["shingles"], np.uint64) for m in members]
+        sizes = np.asarray([len(s) for s in full], np.float32)
+        common = _common(full)
+        link = _apart(members, key) & (100 * common >= 75 * (sizes[:, None] + sizes - common))
+        found = {}
+        for i, j in zip(*np.nonzero(link), strict=True):
+            found.setdefault((int(i), members[j]["component"]), int(j))
+        return [{"a": members[i]["doc_id"], "b": members[j]["doc_id"]} for (i, _), j in found.items()]
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return _compared(hopeful.join(sets, "doc_id"), "a long, b long", compare)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -257,7 +324,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     one = classes.dropDuplicates(["doc_id"])
 
-    buckets = _bands(classes)
+    buckets = _bands(classes).drop("band")
     heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).where("members > 1")
     pairs = buckets.join(heads, "bucket").where("doc_id <> head")
     pairs = materialize(pairs.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
@@ -268,10 +335,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     mixed = spread.groupBy("bucket").agg(
         F.count("*").alias("members"), F.min("component").alias("low_one"), F.max("component").alias("high_one")
     ).where("low_one <> high_one").select("bucket", "members")
-    unsettled = spread.join(mixed, "bucket").join(one, "doc_id")
-    across = _across(unsettled).join(pairs, ["a", "b"], "left_anti")
-    more = verified(materialize(across, "across"), body)
-    links = links.union(materialize(more, "links"))
+    unsettled = spread.join(mixed, "bucket").join(one.select("doc_id", "registers"), "doc_id")
+    hopeful = materialize(_hopeful(unsettled), "hopeful")
+    links = links.union(materialize(_links_across(hopeful, body), "links"))
     # rows that share a set, or a doc_id, are linked through the class's smallest doc_id
     members = usable.select("set_key", F.col("doc_id").alias("b")).join(
         classes.select("set_key", F.col("doc_id").alias("a")), "set_key"
