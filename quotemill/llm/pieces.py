@@ -2,22 +2,30 @@
 
 Cutting before a blank that follows a non-blank character never changes the tokens: no pre-token of the supported
 vocabularies holds a blank anywhere but at its start, and runs of white space stay whole. Texts that hold a special
-string, and pieces that are not plain words, go to the library unchanged.
+string, and pieces with other characters than ``SIMPLE``, go to the library unchanged.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
-
-import numpy as np
+from array import array
+from collections.abc import Callable
 
 # Inside a run of white space a blank is no safe place to cut
 LOOSE_BLANK = re.compile(r" (?=\s|\Z)")
 AFTER_WORD = re.compile(r"(?<=\S) ")
 LONGEST_KEPT = 64
-KEPT_PIECES = 400_000
+KEPT_PIECES, KEPT_WORDS = 700_000, 300_000
+# Characters that any Unicode version reads alike and no normal form changes: ASCII and the letters of Latin-1
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+SIMPLE = re.compile(rf"[\t-\r -~{LETTERS}]*")
+# The pre-token patterns of the two supported kinds of vocabulary, written for such characters
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+BYTE_LEVEL = re.compile(rf"{ENDINGS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+WORD_LEVEL = re.compile(rf"{ENDINGS}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+WORD_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def cut(text: str) -> list[str]:
@@ -28,14 +36,14 @@ def cut(text: str) -> list[str]:
 class Remembered(dict):
     """piece -> value, computed on first use. Memory is bounded: long pieces are not kept, a full table starts anew."""
 
-    def __init__(self, compute: Callable[[str], object]):
+    def __init__(self, compute: Callable[[str], object], kept: int = KEPT_PIECES):
         super().__init__()
-        self.compute = compute
+        self.compute, self.kept = compute, kept
 
     def __missing__(self, piece: str):
         value = self.compute(piece)
         if len(piece) <= LONGEST_KEPT:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= self.kept:
                 self.clear()
             self[piece] = value
         return value
@@ -48,9 +56,13 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-def is_plain(word: str) -> bool:
-    """Letters of Latin-1 only: any Unicode version reads them alike, and no normal form changes them."""
-    return word.isalpha() and max(word) <= "\xff"
+def simple_pattern(tokenizer) -> re.Pattern | None:
+    """The pre-token pattern for ``SIMPLE`` texts, if the tokenizer is of a known kind."""
+    kind = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+    if kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space"):
+        return BYTE_LEVEL
+    steps = kind.get("pretokenizers") or [{}]
+    return WORD_LEVEL if steps[0].get("pattern") == {"Regex": WORD_LEVEL_SPLIT} else None
 
 
 class PieceEncoder:
@@ -64,27 +76,24 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # a vocabulary that writes the ends of words drops blanks and lower-cases
-        self.word_ends = bool(self.model.end_of_word_suffix)
-        self.first = Remembered(lambda piece: self._encode(piece, ""))
-        self.rest = Remembered(lambda piece: self._encode(piece, " "))
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        self.pattern = simple_pattern(self.tokenizer)
+        self.first = Remembered(lambda piece: self._encode(piece), KEPT_WORDS)
+        self.rest = Remembered(lambda piece: self._encode(" " + piece))
+        self.words = Remembered(self._merge, KEPT_WORDS)
 
     def whole(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _merge(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+    def _merge(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _encode(self, piece: str, lead: str) -> bytes:
-        mark = piece[-1:] if piece[-1:] in (".", ",") else ""
-        word = piece[: len(piece) - len(mark)]
-        if not word or not is_plain(word):
-            return self.whole(lead + piece)
-        word = word.lower() if self.word_ends else lead + word
-        return self.pack(self._merge(word) + (self._merge(mark) if mark else []))
+    def _encode(self, piece: str) -> bytes:
+        if self.pattern is None or not SIMPLE.fullmatch(piece):
+            return self.whole(piece)
+        if self.pattern is WORD_LEVEL:
+            piece = piece.lower()  # as that vocabulary's normaliser does
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(piece)))
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -104,7 +113,3 @@ def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
-
-
-def ids_of(packed: bytes) -> Iterator[int]:
-    return iter(np.frombuffer(packed, "<u4").tolist())

@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .pieces import Remembered, cut
+from .pieces import KEPT_WORDS, Remembered, cut
 from .tasks import map_rows, texts
 
 CODES = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -150,12 +151,12 @@ class TextBpe:
         named = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.bpe = PrefixBpe(read_ranks(ranks_path))
         self.find = regex.compile(named).findall
-        self.first = Remembered(lambda piece: self._encode(piece))
+        self.first = Remembered(self._encode, KEPT_WORDS)
         self.rest = Remembered(lambda piece: self._encode(" " + piece))
+        self.words = Remembered(lambda word: array("I", self.bpe.encode(word.encode())).tobytes(), KEPT_WORDS)
 
     def _encode(self, piece: str) -> bytes:
-        ids = [i for word in self.find(piece) for i in self.bpe.encode(word.encode())]
-        return np.asarray(ids, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, self.find(piece)))
 
     def encode(self, text: str) -> bytes:
         if not text:

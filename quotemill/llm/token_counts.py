@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .pieces import Remembered, byte_letters, cut, is_plain
+from .pieces import BYTE_LEVEL, KEPT_WORDS, SIMPLE, Remembered, byte_letters, cut, simple_pattern
 from .tasks import map_rows, texts
 
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -49,16 +49,21 @@ class PieceCounter:
         self.proven = proven
         self.letters = byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first = Remembered(lambda piece: self._count(piece))
+        self.pattern = simple_pattern(self.tokenizer)
+        self.first = Remembered(self._count, KEPT_WORDS)
         self.rest = Remembered(lambda piece: self._count(" " + piece))
+        self.words = Remembered(self._merged, KEPT_WORDS)
+
+    def _merged(self, word: str) -> int:
+        """One for a whole token; merging for the rest. ``word``: a pre-token in the vocabulary's byte letters."""
+        return 1 if word in self.proven else len(self.tokenizer.model.tokenize(word))
 
     def _count(self, piece: str) -> int:
-        if is_plain(piece.removeprefix(" ")):
-            words = [piece.encode().decode("latin-1").translate(self.letters)]
+        if self.pattern is BYTE_LEVEL and SIMPLE.fullmatch(piece):
+            mapped = (w.encode().decode("latin-1").translate(self.letters) for w in BYTE_LEVEL.findall(piece))
         else:
-            words = [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
-        tokenize = self.tokenizer.model.tokenize
-        return sum(1 if word in self.proven else len(tokenize(word)) for word in words)
+            mapped = (word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece))
+        return sum(map(self.words.__getitem__, mapped))
 
     def count(self, text: str) -> int:
         if not text:
