@@ -18,7 +18,7 @@ def guid_text(digest: Column) -> Column:
 
 
 def tick_id(source: Column, symbol: Column, price: Column, volume: Column, event_ticks: Column) -> Column:
-    """The same content gives the same id in every process; the source is part of the content."""
+    """A name-based id of the five fields: equal fields, equal id, wherever and whenever it is computed."""
     content = F.concat_ws(
         fv.FIELD_SEPARATOR,
         source,

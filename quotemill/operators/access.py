@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from . import load
 
 
 def instrument_history(ticks: DataFrame, source: str, symbol: str, start: datetime | None = None,
@@ -23,6 +25,18 @@ def instrument_history(ticks: DataFrame, source: str, symbol: str, start: dateti
     return found.orderBy(F.desc("event_time"), "id")
 
 
+def latest_stored(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The newest n ticks of the stored table. Days are counted from the newest back until they hold n ticks; only these
+    are read."""
+    table = load.read_table(spark, path)
+    since, held = None, 0
+    for since in sorted(load.stored_days(spark, path), reverse=True):
+        held += table.filter(F.col("event_date") == F.lit(since)).count()
+        if held >= n:
+            break
+    return latest(table if since is None else table.filter(F.col("event_date") >= F.lit(since)), n)
+
+
 def latest(ticks: DataFrame, n: int) -> DataFrame:
     """The newest n ticks; every task keeps n rows."""
     return ticks.orderBy(F.desc("event_time"), "id").limit(n)

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 OUTCOMES = ["raw", "invalid", "duplicate", "accepted", "written", "conflict", "dead_lettered", "dropped", "oversize"]
 
 
-def by_source(parsed: DataFrame, loaded: DataFrame) -> DataFrame:
+def by_source(parsed: DataFrame, loaded: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
     """Counts per source: one map-side aggregate over the parsed rows, one over the accepted ticks.
 
     ``loaded`` holds the accepted ticks with their ``outcome``. A valid message that was not accepted is a duplicate,
-    so duplicates are a difference and need no join of the ticks.
+    so duplicates are a difference and need no join of the ticks. A balance that can fail needs them counted on their
+    own: ``duplicates`` as from :func:`quotemill.operators.dedup.suppressed`.
     """
     def count_of(name: str, column: str):
         return F.count(F.when(F.col(column) == name, 1))
@@ -27,7 +28,12 @@ def by_source(parsed: DataFrame, loaded: DataFrame) -> DataFrame:
         *[count_of(name, "outcome").alias(name) for name in ("written", "conflict", "dead_lettered", "dropped")],
     )
     filled = received.join(ended, "source", "left").na.fill(0)
-    return filled.withColumn("duplicate", F.col("valid") - F.col("accepted")).select("source", *OUTCOMES)
+    if duplicates is None:
+        filled = filled.withColumn("duplicate", F.col("valid") - F.col("accepted"))
+    else:
+        counted = duplicates.groupBy("source").agg(F.count(F.lit(1)).alias("duplicate"))
+        filled = filled.join(counted, "source", "left").na.fill(0, ["duplicate"])
+    return filled.select("source", *OUTCOMES)
 
 
 def long_form(counts: DataFrame) -> DataFrame:
@@ -35,8 +41,8 @@ def long_form(counts: DataFrame) -> DataFrame:
     return counts.unpivot("source", OUTCOMES, "outcome", "n").filter("n > 0")
 
 
-def snapshot(counts: DataFrame, reconnects: DataFrame, attempt_failures: int | None = None) -> DataFrame:
-    """The global counters in one row."""
+def snapshot(counts: DataFrame, reconnects: DataFrame, failed_batches: DataFrame) -> DataFrame:
+    """The global counters in one row. ``failed_batches``: a row for each write attempt that failed."""
     totals = counts.agg(
         F.sum("raw").alias("raw_ticks_received"),
         F.sum("accepted").alias("ticks_accepted"),
@@ -44,12 +50,12 @@ def snapshot(counts: DataFrame, reconnects: DataFrame, attempt_failures: int | N
         F.sum("invalid").alias("invalid_ticks"),
         F.sum("written").alias("ticks_written"),
         F.sum("conflict").alias("database_conflicts"),
-        F.lit(attempt_failures or 0).cast("bigint").alias("database_write_attempt_failures"),
         F.sum("dead_lettered").alias("ticks_dead_lettered"),
         F.sum("dropped").alias("ticks_dropped"),
     )
     scheduled = reconnects.agg(F.coalesce(F.sum("reconnects"), F.lit(0)).alias("reconnects_scheduled"))
-    return totals.crossJoin(scheduled)  # one row by one row
+    attempts = failed_batches.agg(F.count(F.lit(1)).alias("database_write_attempt_failures"))
+    return totals.crossJoin(attempts).crossJoin(scheduled)  # one row by one row
 
 
 def reconcile(counts: DataFrame) -> DataFrame:

@@ -170,11 +170,28 @@ def accept_after(ticks: DataFrame, anchors: DataFrame, window_ms: int = fv.DEDUP
 
 
 def mark(ticks: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Every tick with ``is_duplicate``; joined on id and arrival, so copies of one id spread over tasks."""
-    flags = accepted.select("id", *ARRIVAL, F.lit(False).alias("_dup"))
-    return ticks.join(flags, ["id", *ARRIVAL], "left").select(
-        *ticks.columns, F.coalesce("_dup", F.lit(True)).alias("is_duplicate")
-    )
+    """Every tick with ``is_duplicate``; joined on id and arrival, so copies of one id spread over tasks.
+
+    Of ticks that share id, arrival and sequence number, one is the accepted one."""
+    flags = accepted.select("id", *ARRIVAL, F.lit(True).alias("_opens"))
+    nth = F.row_number().over(Window.partitionBy("id", *ARRIVAL).orderBy(F.lit(0)))
+    joined = ticks.withColumn("_nth", nth).join(flags, ["id", *ARRIVAL], "left")
+    first = F.coalesce("_opens", F.lit(False)) & (F.col("_nth") == 1)
+    return joined.select(*ticks.columns, (~first).alias("is_duplicate"))
+
+
+def suppressed(ticks: DataFrame, accepted: DataFrame, window_ms: int = fv.DEDUP_WINDOW_MS) -> DataFrame:
+    """The ticks that an open window explains: not accepted, and an accepted copy arrived less than a window before.
+
+    Counted without the rule itself, so a tick that is neither accepted nor explained shows up in the balance. The
+    join is on id and window-long cells, in which an id has two anchors at most."""
+    window = window_ms * 1000
+    cell = F.expr(f"unix_micros(received_at) div {window}")
+    rest = mark(ticks, accepted).filter("is_duplicate").drop("is_duplicate").withColumn("_cell", cell)
+    anchors = accepted.select("id", _micros("received_at").alias("_anchor"), F.explode(F.array(cell, cell + 1)).alias("_cell"))
+    elapsed = _micros("received_at") - F.col("_anchor")
+    explained = rest.join(anchors, ["id", "_cell"]).filter((elapsed >= 0) & (elapsed < window))
+    return explained.select(*ticks.columns)
 
 
 def first_per_id(ticks: DataFrame) -> DataFrame:

@@ -290,16 +290,16 @@ def read_fields(raw: DataFrame, formats: dict[str, WireFormat] = FORMATS,
     return checked.select(*carried, F.explode(F.array(found)).alias("found")).select(*carried, "found.*")
 
 
-def alpha_payload(symbol: Column, price: Column, volume: Column, moment: Column) -> Column:
+def alpha_payload(symbol: Column, price: Column, volume: Column, moment: Column, seventh: Column) -> Column:
     return F.to_json(F.struct(
         symbol.alias("symbol"),
         canonical_decimal(price).alias("price"),
         F.parse_json(plain_decimal(volume)).alias("volume"),
-        moments.iso_text(moment).alias("timestamp"),
+        moments.iso_text(moment, seventh).alias("timestamp"),
     ))
 
 
-def beta_payload(symbol: Column, price: Column, volume: Column, moment: Column) -> Column:
+def beta_payload(symbol: Column, price: Column, volume: Column, moment: Column, seventh: Column) -> Column:
     return F.to_json(F.struct(
         symbol.alias("s"),
         F.parse_json(plain_decimal(price)).alias("p"),
@@ -308,7 +308,7 @@ def beta_payload(symbol: Column, price: Column, volume: Column, moment: Column)
     ))
 
 
-def gamma_payload(symbol: Column, price: Column, volume: Column, moment: Column) -> Column:
+def gamma_payload(symbol: Column, price: Column, volume: Column, moment: Column, seventh: Column) -> Column:
     return F.to_json(F.struct(
         F.struct(symbol.alias("ticker")).alias("instrument"),
         F.parse_json(plain_decimal(price)).alias("last"),
@@ -323,9 +323,11 @@ WRITERS = {fv.ALPHA: alpha_payload, fv.BETA: beta_payload, fv.GAMMA: gamma_paylo
 def encode(quotes: DataFrame, into: str = "payload") -> DataFrame:
     """Add the payload of each quote in the wire format its ``format`` column names.
 
-    Needs the columns format, symbol, price, volume (both decimal(38,18)) and event_time.
+    Needs the columns format, symbol, price, volume (both decimal(38,18)) and event_time. A column event_ticks adds the
+    100 ns digit, which only the first format can carry.
     """
-    columns = [F.col(c) for c in ("symbol", "price", "volume", "event_time")]
+    seventh = F.pmod(F.col("event_ticks"), F.lit(10)) if "event_ticks" in quotes.columns else F.lit(0)
+    columns = [*(F.col(c) for c in ("symbol", "price", "volume", "event_time")), seventh]
     chosen = None
     for key, write in WRITERS.items():
         match, payload = F.lower("format") == key, write(*columns)

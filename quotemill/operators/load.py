@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions.moments import floor_div
@@ -66,6 +67,11 @@ def route(checked: DataFrame, scope: str = "batch") -> DataFrame:
     return checked.join(failed, ["source", "batch_no"], "left")
 
 
+def failed_batches(routed: DataFrame) -> DataFrame:
+    """(source, batch_no) of the batches whose write fails: one failed attempt each, as a violation is permanent."""
+    return routed.filter(F.col("failure").isNotNull()).select("source", "batch_no").distinct()
+
+
 def table_row(ticks: DataFrame) -> DataFrame:
     """Ticks in the column types of the stored table, plus its folder columns."""
     return ticks.select(
@@ -98,6 +104,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(table_schema()).parquet(path)
 
 
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """Days that the stored table has folders for, from one listing."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date=*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [date.fromisoformat(status.getPath().getName().split("=")[1]) for status in found]
+
+
 def read_folders(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     """The stored rows that can hold ids of ``new``: those in its (event_date, source) folders.
 
@@ -156,14 +169,18 @@ def load_outcome(routed: DataFrame, stored: DataFrame) -> DataFrame:
 def append_ticks(ticks: DataFrame, path: str, load_id: str) -> dict[str, int]:
     """Insert the ticks whose id is not stored; stored rows stay as they are.
 
-    Returns the attempted, written and conflict counts. Rows go to folders of their own ``load_id`` and replace
+    Returns the attempted, written and conflict counts; what is written is counted while it is written. Rows go to folders of their own ``load_id`` and replace
     them, and rows of the same ``load_id`` do not count as stored. So repeating a load, also one that broke off
     half-way, gives the same table and the same counts. Two loads must not run at the same time.
     """
     spark = ticks.sparkSession
     stored = read_folders(spark, path, ticks).filter(F.col("load_id") != load_id)
     new = absent(first_per_id(ticks), stored)
-    rows = table_row(new).withColumn("load_id", F.lit(load_id))
+    attempted = ticks.count()
+    if new.isEmpty():  # nothing to write, and nothing that could be observed
+        return {"attempted": attempted, "written": 0, "conflicts": attempted}
+    seen = Observation()
+    rows = table_row(new).withColumn("load_id", F.lit(load_id)).observe(seen, F.count(F.lit(1)).alias("written"))
     (
         # Gathers the rows of a folder into files of a good size, and splits folders that are too large for one task.
         rows.hint("rebalance", "event_date", "source")
@@ -173,6 +190,5 @@ def append_ticks(ticks: DataFrame, path: str, load_id: str) -> dict[str, int]:
         .partitionBy("event_date", "source", "load_id")
         .parquet(path)
     )
-    attempted = ticks.count()
-    written = read_table(spark, path).filter(F.col("load_id") == load_id).count()
+    written = seen.get["written"]
     return {"attempted": attempted, "written": written, "conflicts": attempted - written}

@@ -336,8 +336,10 @@ FROM r WHERE failure IS NOT NULL""",
         """SELECT CAST(sum(raw) AS BIGINT) AS raw_ticks_received, CAST(sum(accepted) AS BIGINT) AS ticks_accepted,
        CAST(sum(duplicate) AS BIGINT) AS duplicate_ticks, CAST(sum(invalid) AS BIGINT) AS invalid_ticks,
        CAST(sum(written) AS BIGINT) AS ticks_written, CAST(sum(conflict) AS BIGINT) AS database_conflicts,
-       CAST(0 AS BIGINT) AS database_write_attempt_failures,
-       CAST(sum(dead_lettered) AS BIGINT) AS ticks_dead_lettered, CAST(0 AS BIGINT) AS ticks_dropped,
+       CAST((SELECT count(DISTINCT (source, batch_no)) FROM r WHERE failure IS NOT NULL) AS BIGINT)
+         AS database_write_attempt_failures,
+       CAST(sum(dead_lettered) AS BIGINT) AS ticks_dead_lettered,
+       CAST(sum(accepted) - sum(written) - sum(conflict) - sum(dead_lettered) AS BIGINT) AS ticks_dropped,
        CAST((SELECT count(*) - count(DISTINCT source) FROM s) AS BIGINT) AS reconnects_scheduled
 FROM o""",
         True,
@@ -348,7 +350,8 @@ FROM o""",
     ),
     "reconciliation": _with(
         """SELECT source, raw, accepted, raw - accepted - duplicate - invalid AS received_gap,
-       accepted - written - conflict - dead_lettered AS accepted_gap, true AS balanced FROM o""",
+       accepted - written - conflict - dead_lettered AS accepted_gap,
+       raw = accepted + duplicate + invalid AND accepted = written + conflict + dead_lettered AS balanced FROM o""",
         True,
         _ACCEPTED,
         _ROUTED,
@@ -399,11 +402,11 @@ LEFT JOIN (SELECT source, max(received_us) AS last_at FROM m GROUP BY source) AS
 FROM (SELECT source, max(received_us) AS last_at FROM m GROUP BY source), (SELECT max(received_us) AS as_of FROM m)"""
     ),
     "instrument_history": _with(
-        f"SELECT {_VIEW} FROM t WHERE source = 'alpha' AND symbol = 'EURUSD' ORDER BY event_us DESC, id",
+        f"SELECT {_VIEW} FROM (SELECT * FROM t {_FIRST}) WHERE source = 'alpha' AND symbol = 'EURUSD' ORDER BY event_us DESC, id",
         False,
         _ACCEPTED,
     ),
-    "latest_ticks": _with(f"SELECT {_VIEW} FROM t ORDER BY event_us DESC, id LIMIT 100", False, _ACCEPTED),
+    "latest_ticks": _with(f"SELECT {_VIEW} FROM (SELECT * FROM t {_FIRST}) ORDER BY event_us DESC, id LIMIT 100", False, _ACCEPTED),
     "latest_per_instrument": _with(
         f"""SELECT {_VIEW} FROM (SELECT * FROM t {_FIRST})
 QUALIFY row_number() OVER (PARTITION BY source, symbol ORDER BY event_us DESC, id DESC) = 1""",
@@ -420,9 +423,12 @@ FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY re
 FROM v, (VALUES ('alpha'), ('beta'), ('gamma')) AS formats(source_name) GROUP BY source_name"""
     ),
     "stream_ticks": _with(f"SELECT {_VIEW} FROM w WHERE outcome = 'written'", True, _ACCEPTED, _ROUTED),
+    "stream_new_checkpoint": _with(f"SELECT {_VIEW} FROM w WHERE outcome = 'written'", True, _ACCEPTED, _ROUTED),
     "stream_outcomes": _with(
         """SELECT source, raw, invalid, oversize, accepted, duplicate, written, conflict AS conflicts, dead_lettered,
-       CAST(0 AS BIGINT) AS dropped FROM o""",
+       accepted - written - conflict - dead_lettered AS dropped,
+       (SELECT count(DISTINCT batch_no) FROM r WHERE r.source = o.source AND failure IS NOT NULL) AS attempt_failures
+FROM o""",
         True,
         _ACCEPTED,
         _ROUTED,

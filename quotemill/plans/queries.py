@@ -260,11 +260,18 @@ def outcomes_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outcome_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = activity.sessions(raw_feed(spark, sf_dir, True), _sources(spark, ACTIVITY_SOURCES))
-    return accounting.snapshot(_counts(spark, sf_dir), activity.reconnects(found))
+    run = _flow(spark, sf_dir, extended=True)
+    counts = accounting.by_source(run.parsed, flow.outcomes(run, flow.empty_table(spark)))
+    return accounting.snapshot(counts, activity.reconnects(found), load.failed_batches(run.routed))
 
 
 def reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.reconcile(_counts(spark, sf_dir))
+    """The balance with each duplicate explained by an open window, not taken as a difference."""
+    run = _flow(spark, sf_dir, extended=True)
+    duplicates = dedup.suppressed(run.ticks, run.accepted)
+    return accounting.reconcile(
+        accounting.by_source(run.parsed, flow.outcomes(run, flow.empty_table(spark)), duplicates)
+    )
 
 
 def heartbeat_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,16 +324,24 @@ def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.select(F.array_join(words, ",").alias("sources"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Path of a stored table that the feed was loaded into."""
+    path = work_folder(spark, "ticks")
+    load.append_ticks(materialize(_accepted(spark, sf_dir), "accepted"), path, "feed")
+    return path
+
+
 def instrument_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.instrument_history(_accepted(spark, sf_dir), "alpha", "EURUSD").select(*_view())
+    table = load.read_table(spark, _stored(spark, sf_dir))
+    return access.instrument_history(table, "alpha", "EURUSD").select(*_view())
 
 
 def latest_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.latest(_accepted(spark, sf_dir), NEWEST).select(*_view())
+    return access.latest_stored(spark, _stored(spark, sf_dir), NEWEST).select(*_view())
 
 
 def latest_per_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.latest_per_instrument(dedup.first_per_id(_accepted(spark, sf_dir))).select(*_view())
+    return access.latest_per_instrument(load.read_table(spark, _stored(spark, sf_dir))).select(*_view())
 
 
 def replay_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,6 +380,20 @@ def stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.read_table(spark, f"{root}/ticks").select(*_view())
 
 
+def stream_new_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after one half of the feed came through one checkpoint and the rest through another.
+
+    The halves are cut between blocks of the arrival sequence, as a block fails as a whole."""
+    prepare(spark)
+    root = work_folder(spark, "ingest")
+    raw = tables.raw_from_events(tables.stream_events(spark, sf_dir), extended=True)
+    last = tables.raw_from_events(spark.read.parquet(f"{sf_dir}/events.parquet")).agg(F.max("seq")).first()[0]
+    middle = last // 2 // fv.BATCH_SIZE * fv.BATCH_SIZE
+    for half, inside in enumerate((F.col("seq") < middle, F.col("seq") >= middle)):
+        Ingest(root).start(raw.filter(inside), f"{root}/checkpoint-{half}").awaitTermination()
+    return load.read_table(spark, f"{root}/ticks").select(*_view())
+
+
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of one continuous query per source, each with its own progress."""
     prepare(spark)
@@ -377,7 +406,8 @@ def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     for query in running:
         query.awaitTermination()
     counts = jobs[0].outcomes(spark)
-    names = ["raw", "invalid", "oversize", "accepted", "duplicate", "written", "conflicts", "dead_lettered", "dropped"]
+    names = ["raw", "invalid", "oversize", "accepted", "duplicate", "written", "conflicts", "dead_lettered", "dropped",
+             "attempt_failures"]
     return counts.groupBy(F.col("stream").alias("source")).agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -472,7 +502,7 @@ QUERIES: dict[str, Query] = {
             load_conflicts, constraint_violations, dead_letter_batches, dead_letter_records, outcomes_by_source,
             outcome_counters, reconciliation, heartbeat_10s, idle_gaps, source_sessions, flap_streaks, reconnects,
             source_health, source_states, instrument_history, latest_ticks, latest_per_instrument, replay_slice,
-            payload_roundtrip, stream_ticks, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,
+            payload_roundtrip, stream_ticks, stream_new_checkpoint, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,
             bulk_identity, bulk_outcomes, bulk_latest_per_instrument, bulk_heartbeat,
         )
     },

@@ -54,13 +54,15 @@ def stream_messages(spark: SparkSession, path: str, file_format: str = "parquet"
 
 
 def from_kafka(records: DataFrame, source_name: Column | None = None) -> DataFrame:
-    """Kafka records to raw messages: topic, timestamp and offset become source, arrival time and sequence."""
+    """Kafka records to raw messages: topic, timestamp and (partition, offset) become source, arrival and sequence.
+
+    Offsets repeat in the partitions of a topic, so the partition takes the bits above 48."""
     return records.select(
         (F.col("topic") if source_name is None else source_name).alias("source_name"),
         F.col("value").cast("string").alias("payload"),
         F.lit(fv.TEXT_MESSAGE).alias("message_type"),
         F.col("timestamp").alias("received_at"),
-        F.col("offset").alias("seq"),
+        (F.shiftleft(F.col("partition").cast("bigint"), 48) + F.col("offset")).alias("seq"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,7 +17,9 @@ from ..sources.feeds import with_sequence
 from ..sources.registry import check_formats, registry
 from .writer import BatchWriter
 
-LEDGER = "id string, anchor_at timestamp, stream string, last_hour string, batch_no bigint"
+LEDGER = "id string, anchor_at timestamp, stream string, last_hour string, run string, batch_no bigint"
+# Spark keeps it in the checkpoint and sets it while a micro-batch runs
+QUERY_ID = "sql.streaming.queryId"
 COUNTS = (
     "batch_no bigint, raw bigint, invalid bigint, oversize bigint, accepted bigint, duplicate bigint, written bigint, "
     "conflicts bigint, dead_lettered bigint, dropped bigint, attempt_failures bigint, stream string"
@@ -33,17 +35,24 @@ class Ingest:
 
     ticks/ is the stored table, ledger/ holds the accepted arrivals that still suppress copies, rejected/ and
     dead_letter/ the failures, outcomes/ one row of counts per batch. Everything a batch writes lies in folders named
-    after the stream and batch, so a replayed batch replaces its own output.
+    after the stream, run and batch, so a replayed batch replaces its own output and nothing else. The run is the id of
+    the streaming query, which lives in its checkpoint: a new checkpoint numbers its batches from 0 again, but never
+    touches what another one stored.
+
+    The micro-batch is the unit that fails: blocks of the arrival sequence are cut inside it, so a block that a trigger
+    splits in two is judged as two.
 
     Sources never share an id. One query over the union of sources and one query per source (each with its own
     ``stream`` name) fill the same folders with the same ticks; the second keeps a failing source from stopping the
     others.
     """
 
-    def __init__(self, root: str, stream: str = "all", options: Options = Options(), writer: BatchWriter | None = None):
+    def __init__(self, root: str, stream: str = "all", options: Options = Options(), writer: BatchWriter | None = None,
+                 ledger_hours: int | None = None):
         self.root = root.rstrip("/")
         self.stream = stream
         self.options = options.check()
+        self.ledger_hours = ledger_hours
         self.writer = writer or BatchWriter(f"{self.root}/ticks", f"{self.root}/dead_letter", options)
 
     def _ledger_hours(self, spark: SparkSession) -> dict[str, object]:
@@ -65,14 +74,17 @@ class Ingest:
     def outcomes(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(COUNTS).json(f"{self.root}/outcomes")
 
-    def process(self, raw: DataFrame, batch_no: int) -> None:
-        """One micro-batch; also usable as a plain batch job."""
+    def process(self, raw: DataFrame, batch_no: int, run: str | None = None) -> None:
+        """One micro-batch. A plain batch job names its own ``run``; the same run and number mean the same input."""
         spark = prepare(raw.sparkSession)
+        run = run or spark.sparkContext.getLocalProperty(QUERY_ID)
+        if not run:
+            raise ValueError("outside a streaming query, give the run a name")
         with scratch(spark):
-            self._process(spark, raw, batch_no)
+            self._process(spark, raw, batch_no, run)
 
-    def _process(self, spark: SparkSession, raw: DataFrame, batch_no: int) -> None:
-        load_id = f"{self.stream}-{batch_no:012d}"
+    def _process(self, spark: SparkSession, raw: DataFrame, batch_no: int, run: str) -> None:
+        load_id = f"{self.stream}-{run}-{batch_no:012d}"
         parsed = materialize(
             slim(normalize.parse(with_sequence(raw), registry(spark, self.options.sources),
                                  max_bytes=self.options.max_message_bytes)),
@@ -92,7 +104,7 @@ class Ingest:
         if totals["invalid"]:
             write_rejects(normalize.rejects(parsed), f"{self.root}/rejected", load_id)
         if totals["valid"]:
-            accepted = self._deduplicate(ticks, totals["first_at"], totals["last_at"], batch_no)
+            accepted = self._deduplicate(ticks, totals["first_at"], totals["last_at"], batch_no, run)
             counts["accepted"] = accepted.count()
             counts["duplicate"] = totals["valid"] - counts["accepted"]
             counts.update(self.writer.write(accepted, load_id))
@@ -106,19 +118,21 @@ class Ingest:
             .json(f"{self.root}/outcomes/stream={self.stream}/load_id={load_id}")
         )
 
-    def _deduplicate(self, ticks: DataFrame, first_at: int, last_at: int, batch_no: int) -> DataFrame:
+    def _deduplicate(self, ticks: DataFrame, first_at: int, last_at: int, batch_no: int, run: str) -> DataFrame:
         spark = ticks.sparkSession
         horizon = first_at - self.options.dedup_window_ms * 1000
         since, last_hour = _hour(horizon), _hour(last_at)
-        # Anchors of this or a later batch are left out, so that a replay decides as the first run did.
-        anchors = self.ledger(spark, since).filter(
-            (F.col("batch_no") < batch_no) & (F.col("anchor_at") > F.timestamp_micros(F.lit(horizon)))
-        )
+        # Anchors of this or a later batch of the run are left out, so that a replay decides as the first time.
+        earlier = (F.col("run") != run) | (F.col("batch_no") < batch_no)
+        anchors = self.ledger(spark, since).filter(earlier & (F.col("anchor_at") > F.timestamp_micros(F.lit(horizon))))
         accepted = materialize(
             dedup.accept_after(ticks, anchors, self.options.dedup_window_ms).select(*TICK), "accepted"
         )
-        folder = f"{self.root}/ledger/stream={self.stream}/last_hour={last_hour}/batch_no={batch_no}"
+        folder = f"{self.root}/ledger/stream={self.stream}/last_hour={last_hour}/run={run}/batch_no={batch_no}"
         accepted.select("id", F.col("received_at").alias("anchor_at")).write.mode("overwrite").parquet(folder)
+        if self.ledger_hours is not None:
+            horizon_at = datetime.fromtimestamp(horizon / 1_000_000, timezone.utc)
+            self.expire_ledger(spark, horizon_at - timedelta(hours=self.ledger_hours))
         return accepted
 
     def expire_ledger(self, spark: SparkSession, before: datetime) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from collections import Counter
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -16,6 +17,9 @@ from ..operators.deadletter import append_dead_letters, dead_letters
 
 log = logging.getLogger(__name__)
 
+COUNTED = ("written", "conflicts", "dead_lettered", "dropped", "attempt_failures")
+STOPS = (KeyboardInterrupt, SystemExit)
+
 # Java failures that may pass when tried again
 TRANSIENT_JAVA = (
     "java.io.IOException",
@@ -75,52 +79,52 @@ class BatchWriter:
 
     def write(self, accepted: DataFrame, load_id: str) -> dict[str, int]:
         """Write one batch and return its outcome counts. ``accepted`` is read several times: pass a stored frame."""
-        counts = {"written": 0, "conflicts": 0, "dead_lettered": 0, "dropped": 0, "attempt_failures": 0}
+        counts = Counter(dict.fromkeys(COUNTED, 0))
+        live = self._set_aside(accepted, load_id, counts)
+        delays = [retry_delay_ms(n, self.options) / 1000 for n in range(1, self.options.max_retries + 1)]
+        problem: BaseException | None = None
+        try:
+            for delay in [*delays, None]:
+                problem = self._attempt(live, load_id, counts)
+                if problem is None or delay is None or not self.transient(problem):
+                    break
+                self.sleep(delay)
+        except STOPS as stop:
+            problem = problem or stop
+            raise
+        finally:
+            # reached with a problem after the last attempt and on a stop: either way these ticks need an outcome
+            if problem is not None:
+                self._bury(live, live.count(), load_id, F.lit(type(problem).__name__), F.lit(str(problem)), counts)
+        return dict(counts)
+
+    def _set_aside(self, accepted: DataFrame, load_id: str, counts: Counter) -> DataFrame:
+        """Bury the batches that break a constraint; what is left can be stored."""
         checked = load.check_constraints(load.assign_batches(accepted, self.options.batch_size))
         routed = load.route(checked, self.scope)
         failed = routed.filter(F.col("failure").isNotNull())
-        bad = failed.agg(
-            F.count(F.lit(1)).alias("rows"), F.countDistinct("source", "batch_no").alias("batches")
-        ).first()
-        if bad["rows"]:
-            counts["attempt_failures"] += bad["batches"]
-            self._bury(failed, bad["rows"], f"{load_id}-constraint", F.lit(load.VIOLATION), F.col("failure"), counts)
-            live = routed.filter(F.col("failure").isNull()).select(*accepted.columns)
-        else:
-            live = accepted
-        error: BaseException | None = None
-        for attempt in range(self.options.max_retries + 1):
-            try:
-                result = self.store(live, load_id)
-                counts["written"] += result["written"]
-                counts["conflicts"] += result["conflicts"]
-                return counts
-            except (KeyboardInterrupt, SystemExit) as stop:
-                # A forced stop does not lift the duty to account for ticks already taken from their source.
-                self._give_up(live, load_id, error or stop, counts)
-                raise
-            except Exception as problem:
-                error = problem
-                counts["attempt_failures"] += 1
-                if not self.transient(problem) or attempt == self.options.max_retries:
-                    break
-                try:
-                    self.sleep(retry_delay_ms(attempt + 1, self.options) / 1000)
-                except (KeyboardInterrupt, SystemExit):
-                    self._give_up(live, load_id, problem, counts)
-                    raise
-        self._give_up(live, load_id, error, counts)
-        return counts
-
-    def _give_up(self, ticks: DataFrame, load_id: str, error: BaseException, counts: dict[str, int]) -> None:
-        kind, message = F.lit(type(error).__name__), F.lit(str(error).splitlines()[0] if str(error) else "")
-        self._bury(ticks, ticks.count(), load_id, kind, message, counts)
-
-    def _bury(self, ticks, rows, load_id, kind, message, counts) -> None:
+        batches, rows = load.failed_batches(routed).count(), failed.count()
+        if not rows:
+            return accepted
+        counts["attempt_failures"] += batches
+        self._bury(failed, rows, f"{load_id}-constraint", F.lit(load.VIOLATION), F.col("failure"), counts)
+        return routed.filter(F.col("failure").isNull()).select(*accepted.columns)
+
+    def _attempt(self, ticks: DataFrame, load_id: str, counts: Counter) -> Exception | None:
+        """Store once: the counts grow, or the reason why not is returned."""
+        try:
+            result = self.store(ticks, load_id)
+        except Exception as problem:
+            counts["attempt_failures"] += 1
+            return problem
+        counts.update(written=result["written"], conflicts=result["conflicts"])
+        return None
+
+    def _bury(self, ticks: DataFrame, rows: int, load_id: str, kind, message, counts: Counter) -> None:
         failed_at = datetime.now(timezone.utc)
         try:
             self.bury(dead_letters(ticks, kind, message, failed_at), load_id, failed_at)
             counts["dead_lettered"] += rows
         except Exception as problem:
             counts["dropped"] += rows
-            log.critical("%d ticks of load %s were neither stored nor dead-lettered: %s", rows, load_id, problem)
+            log.critical("load %s: %d ticks lost, the dead letter failed too: %s", load_id, rows, problem)

@@ -119,7 +119,9 @@ def test_counters_and_balance(spark):
                    "conflict": 1, "dead_lettered": 1, "dropped": 0, "oversize": 1}
     assert accounting.reconcile(counts).first()["balanced"]
     reconnects = spark.createDataFrame([("alpha", 3)], "source string, reconnects bigint")
-    assert accounting.snapshot(counts, reconnects).first()["reconnects_scheduled"] == 3
+    failed = spark.createDataFrame([("alpha", 0), ("beta", 4)], "source string, batch_no bigint")
+    row = accounting.snapshot(counts, reconnects, failed).first()
+    assert (row["reconnects_scheduled"], row["database_write_attempt_failures"]) == (3, 2)
 
 
 def test_window_moves_with_midnight(feed):

@@ -1,5 +1,5 @@
 import random
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
@@ -106,3 +106,29 @@ def test_mark_first_and_live(spark):
 def test_hot_ids_are_reduced_before_the_shuffle(spark):
     plan = dedup.first_per_id(ticks(spark, [("x", 0, 1)]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_a_lost_tick_leaves_a_gap(spark, raw_rows):
+    from quotemill.operators import accounting
+
+    at = [datetime(2026, 6, 1, 12, 0, s, tzinfo=timezone.utc) for s in (0, 1, 2, 30)]
+    ticks = spark.createDataFrame(
+        [("a", "alpha", at[0], 0), ("a", "alpha", at[1], 1), ("a", "alpha", at[1], 1), ("b", "alpha", at[2], 2), ("a", "alpha", at[3], 3)],
+        "id string, source string, received_at timestamp, seq bigint",
+    )
+    accepted = ticks.filter("seq in (0, 2, 3)")
+    assert dedup.suppressed(ticks, accepted, 10_000).count() == 2
+    parsed = ticks.selectExpr("source", "source as source_name", "'valid' as status")
+
+    def gap(kept):
+        loaded = kept.selectExpr("source", "'written' as outcome")
+        counts = accounting.by_source(parsed, loaded, dedup.suppressed(ticks, kept, 10_000))
+        return accounting.reconcile(counts).first()["received_gap"]
+
+    assert gap(accepted) == 0 and gap(accepted.filter("seq <> 2")) == 1 and gap(accepted.filter("seq <> 3")) == 1
+
+
+def test_mark_leaves_one_accepted_row_per_window(spark):
+    at = datetime(2026, 6, 1, 12, 0, 0, tzinfo=timezone.utc)
+    ticks = spark.createDataFrame([("a", at, 0), ("a", at, 0)], "id string, received_at timestamp, seq bigint")
+    assert sorted(r.is_duplicate for r in dedup.mark(ticks, ticks.limit(1)).collect()) == [False, True]

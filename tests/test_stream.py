@@ -47,9 +47,9 @@ def part(raw, low, high):
 def test_micro_batches_equal_one_batch(spark, arrivals):
     one, many = work_folder(spark, "one"), work_folder(spark, "many")
     whole, parts = Ingest(one, options=OPTIONS), Ingest(many, options=OPTIONS)
-    whole.process(arrivals, 0)
+    whole.process(arrivals, 0, "run")
     for n in range(5):
-        parts.process(part(arrivals, n * 8, n * 8 + 8), n)
+        parts.process(part(arrivals, n * 8, n * 8 + 8), n, "run")
     names = ["raw", "invalid", "accepted", "duplicate", "written", "conflicts", "dead_lettered", "dropped"]
 
     def totals(job):
@@ -71,11 +71,11 @@ def test_a_replayed_batch_changes_nothing(spark, arrivals):
     root = work_folder(spark, "replay")
     job = Ingest(root, options=OPTIONS)
     for n in range(2):
-        job.process(part(arrivals, n * 20, n * 20 + 20), n)
+        job.process(part(arrivals, n * 20, n * 20 + 20), n, "run")
     before, counts = table(spark, root), sorted(job.outcomes(spark).collect())
     ledger = sorted(job.ledger(spark).collect())
-    job.process(part(arrivals, 20, 40), 1)
-    job.process(part(arrivals, 0, 20), 0)
+    job.process(part(arrivals, 20, 40), 1, "run")
+    job.process(part(arrivals, 0, 20), 0, "run")
     assert table(spark, root) == before and sorted(job.outcomes(spark).collect()) == counts
     assert sorted(job.ledger(spark).collect()) == ledger
 
@@ -93,8 +93,8 @@ def test_a_batch_that_broke_off_is_completed(spark, arrivals):
     writer = BatchWriter(f"{root}/ticks", f"{root}/dead_letter", OPTIONS, store=store)
     job = Ingest(root, options=OPTIONS, writer=writer)
     with pytest.raises(KeyboardInterrupt):
-        job.process(arrivals, 0)
-    job.process(arrivals, 0)
+        job.process(arrivals, 0, "run")
+    job.process(arrivals, 0, "run")
     row = job.outcomes(spark).first()
     assert row["written"] == len(table(spark, root)) and row["written"] == 3
 
@@ -108,7 +108,7 @@ def test_query_restarts_from_its_checkpoint(spark, arrivals):
     job.start(feeds.stream_messages(spark, landing), f"{root}/checkpoint").awaitTermination()
     assert job.outcomes(spark).count() == 2
     whole = work_folder(spark, "whole")
-    Ingest(whole, options=OPTIONS).process(arrivals, 0)
+    Ingest(whole, options=OPTIONS).process(arrivals, 0, "run")
     assert table(spark, root) == table(spark, whole)
 
 
@@ -116,14 +116,14 @@ def test_a_batch_leaves_no_scratch_folders(spark, arrivals, monkeypatch):
     made = []
     plain = session.work_folder
     monkeypatch.setattr(session, "work_folder", lambda s, label: made.append(plain(s, label)) or made[-1])
-    Ingest(plain(spark, "tidy"), options=OPTIONS).process(part(arrivals, 0, 5), 0)
+    Ingest(plain(spark, "tidy"), options=OPTIONS).process(part(arrivals, 0, 5), 0, "run")
     assert made and not any(load.path_exists(spark, path) for path in made)
 
 
 def test_ledger_hours_can_be_dropped(spark, arrivals):
     root = work_folder(spark, "expire")
     job = Ingest(root, options=OPTIONS)
-    job.process(arrivals, 0)
+    job.process(arrivals, 0, "run")
     assert job.expire_ledger(spark, T0 + timedelta(minutes=59)) == 0
     assert job.expire_ledger(spark, T0 + timedelta(minutes=60)) == 1
     assert job.ledger(spark).count() == 0
@@ -147,12 +147,12 @@ def test_text_landing_folders(spark, sources):
 
 def test_kafka_records(spark):
     records = spark.createDataFrame(
-        [(bytearray(b"{}"), "beta", T0 + timedelta(seconds=1), 7)],
-        "value binary, topic string, timestamp timestamp, offset bigint",
+        [(bytearray(b"{}"), "beta", T0 + timedelta(seconds=1), n, 7) for n in (0, 1)],
+        "value binary, topic string, timestamp timestamp, partition int, offset bigint",
     )
     raw = feeds.from_kafka(records)
     assert raw.schema.simpleString() == spark.createDataFrame([], RAW).schema.simpleString()
-    assert raw.first()["seq"] == 7 and raw.first()["payload"] == "{}"
+    assert sorted(r.seq for r in raw.collect()) == [7, (1 << 48) + 7] and raw.first()["payload"] == "{}"
 
 
 def test_fast_option_suppresses_longer(spark):
@@ -167,3 +167,20 @@ def test_fast_option_suppresses_longer(spark):
         ).format("parquet").start(f"{out}/rows").awaitTermination()
     kept = [r[0].second for r in spark.read.parquet(f"{out}/rows").select("received_at").orderBy("received_at").collect()]
     assert kept[0] == 0 and len(kept) < 3
+
+
+def test_a_second_checkpoint_keeps_what_the_first_stored(spark, arrivals):
+    root = work_folder(spark, "runs")
+    for n in range(2):
+        landing = work_folder(spark, "landing")
+        part(arrivals, n * 20, n * 20 + 20).coalesce(1).write.parquet(landing)
+        Ingest(root, options=OPTIONS).start(feeds.stream_messages(spark, landing), f"{root}/checkpoint-{n}").awaitTermination()
+    whole = work_folder(spark, "whole")
+    Ingest(whole, options=OPTIONS).process(arrivals, 0, "run")
+    assert table(spark, root) == table(spark, whole)
+    assert Ingest(root, options=OPTIONS).outcomes(spark).count() == 2
+
+
+def test_a_batch_job_names_its_run(spark, arrivals):
+    with pytest.raises(ValueError):
+        Ingest(work_folder(spark, "unnamed"), options=OPTIONS).process(arrivals, 0)
