@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions.moments import floor_div
 from ..functions.text import strip
+from ..session import materialize
 from ..sources.registry import with_source
 from .segments import previous_value, running_total
 
 DAY = 86_400_000_000  # microseconds
+PART = 65_536  # sessions of a source that one task walks
 
 
 def arrivals(raw: DataFrame, sources: DataFrame) -> DataFrame:
@@ -54,27 +56,39 @@ def sessions(raw: DataFrame, sources: DataFrame, as_of: Column | None = None) ->
     starts = F.col("previous_at").isNull() | (F.col("first_at") - F.col("previous_at") >= F.col("timeout"))
     cells = _with_previous(raw, sources).withColumn("starts", starts.cast("int"))
     numbered = running_total(cells, ["source"], "day", ["cell"], {"session_no": "starts"})
-    found = numbered.groupBy("source", "timeout", "session_no").agg(
-        F.min("first_at").alias("first_at"),
-        F.max("last_at").alias("last_at"),
-        F.sum("messages").alias("messages"),
+    found = materialize(
+        numbered.groupBy("source", "timeout", "session_no").agg(
+            F.min("first_at").alias("first_at"),
+            F.max("last_at").alias("last_at"),
+            F.sum("messages").alias("messages"),
+        ),
+        "sessions",
     )
-    # Sessions of a source are at least one timeout apart: far fewer rows than messages.
-    following = F.lead("session_no").over(Window.partitionBy("source").orderBy("session_no"))
+    # One row per source instead of a window over all its sessions.
+    newest = found.groupBy("source").agg(F.max("session_no").alias("_newest"))
     lapsed = F.lit(False) if as_of is None else as_of - F.col("last_at") >= F.col("timeout")
-    return found.withColumn("ended", following.isNotNull() | lapsed).withColumn(
+    ended = (F.col("session_no") < F.col("_newest")) | lapsed
+    return found.join(newest, "source").withColumn("ended", ended).drop("_newest").withColumn(
         "duration", F.col("last_at") - F.col("first_at") + F.when(F.col("ended"), F.col("timeout")).otherwise(0)
     )
 
 
 def flap_streaks(ended_or_open: DataFrame, stability_ms: int = fv.STABILITY_MS,
                  cap: int = fv.STREAK_CAP) -> DataFrame:
-    """Consecutive-failure count after each ended session; a stable session sets it back to 1."""
-    by_source = Window.partitionBy("source").orderBy("session_no")
-    ended = ended_or_open.filter("ended").withColumn("stable", F.col("duration") >= stability_ms * 1000)
-    islands = ended.withColumn("island", F.sum(F.col("stable").cast("int")).over(by_source))
-    position = F.row_number().over(Window.partitionBy("source", "island").orderBy("session_no"))
-    return islands.select("source", "session_no", "duration", "stable", F.least(position, F.lit(cap)).alias("streak"))
+    """Consecutive-failure count after each ended session; a stable session sets it back to 1.
+
+    Sessions are numbered without gaps, so the count follows from the number that the streak began with. Streaks are
+    told apart by a running total over parts of a source, as one that flaps has too many sessions for one task."""
+    ended = ended_or_open.filter("ended").select(
+        "source", "session_no", "duration", (F.col("duration") >= stability_ms * 1000).alias("stable")
+    )
+    parts = ended.withColumn("_stable", F.col("stable").cast("int")).withColumn("_part", F.expr(f"session_no div {PART}"))
+    streaks = materialize(running_total(parts, ["source"], "_part", ["session_no"], {"_island": "_stable"}), "streaks")
+    began = streaks.groupBy("source", "_island").agg(F.min("session_no").alias("_began"))
+    position = (F.col("session_no") - F.col("_began") + 1).cast("int")
+    return streaks.join(began, ["source", "_island"]).select(
+        "source", "session_no", "duration", "stable", F.least(position, F.lit(cap)).alias("streak")
+    )
 
 
 def reconnects(found: DataFrame) -> DataFrame:

@@ -21,6 +21,31 @@ def _micros(column: str | Column) -> Column:
     return F.unix_micros(column)
 
 
+def arrival_spans(ticks: DataFrame) -> DataFrame:
+    """Per id its content, first arrival (``received_at``, ``seq``), ``last_at`` and number of ``arrivals``.
+
+    Arrival and sequence number travel as one decimal that is ordered like the pair. Its buffer has a fixed length, so
+    ticks are hashed; the minimum of a struct would have them sorted before and after the shuffle.
+    """
+    # 20 digits hold a sequence number moved to above zero; zero stands for none
+    packed = F.expr(
+        "cast(unix_micros(received_at) as decimal(19,0)) * 100000000000000000000BD"
+        " + coalesce(cast(seq as decimal(20,0)) + 10000000000000000000BD, 0BD)"
+    )
+    # The other content columns depend on the id, so grouping by them as well does not split a group.
+    found = ticks.groupBy(*CONTENT).agg(
+        F.min(packed).alias("_first"), F.max("received_at").alias("last_at"), F.count(F.lit(1)).alias("arrivals")
+    )
+    place = found.withColumn("_place", F.expr("pmod(_first, 100000000000000000000BD)"))
+    return place.select(
+        *CONTENT,
+        F.expr("timestamp_micros((_first - _place) div 100000000000000000000BD)").alias("received_at"),
+        F.expr("case when _place > 0 then cast(_place - 10000000000000000000BD as bigint) end").alias("seq"),
+        "last_at",
+        "arrivals",
+    )
+
+
 def accept(ticks: DataFrame, window_ms: int = fv.DEDUP_WINDOW_MS, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """The accepted ticks, one row per opened window.
 
@@ -30,17 +55,9 @@ def accept(ticks: DataFrame, window_ms: int = fv.DEDUP_WINDOW_MS, fold_limit: in
     3. Ids with more arrivals are chained across tasks, see :func:`_chain`.
     """
     window = window_ms * 1000
-    # The other content columns depend on the id, so grouping by them as well does not split a group.
-    spans = materialize(
-        ticks.groupBy(*CONTENT).agg(
-            F.min(F.struct(*ARRIVAL)).alias("first"),
-            F.max("received_at").alias("last_at"),
-            F.count(F.lit(1)).alias("arrivals"),
-        ),
-        "dedup-spans",
-    )
-    reaches = _micros("last_at") >= _micros("first.received_at") + window
-    accepted = spans.filter(~reaches).select(*CONTENT, "first.*")
+    spans = materialize(arrival_spans(ticks), "dedup-spans")
+    reaches = _micros("last_at") >= _micros("received_at") + window
+    accepted = spans.filter(~reaches).select(*CONTENT, *ARRIVAL)
     long_ids = spans.filter(reaches)
     counts = long_ids.agg(
         F.count(F.lit(1)).alias("ids"), F.count(F.when(F.col("arrivals") > fold_limit, 1)).alias("hot")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..config import Options
+
 WINDOW = 120_000_000
 IDLE = 1_800_000_000
 STABLE = 7_200_000_000
@@ -301,6 +303,16 @@ FROM t GROUP BY source""",
         False,
         _ACCEPTED,
     ),
+    "resilient_write": _with(
+        f"""SELECT source, if(source = 'alpha', ids, 0) AS written, if(source = 'alpha', ticks - ids, 0) AS conflicts,
+       if(source = 'beta', ticks, 0) AS dead_lettered, if(source = 'gamma', ticks, 0) AS dropped,
+       CAST(CASE source WHEN 'alpha' THEN 2 WHEN 'beta' THEN 1 ELSE {Options().max_retries + 1} END AS BIGINT)
+         AS attempt_failures,
+       if(source = 'alpha', ids, 0) AS stored, if(source = 'beta', ticks, 0) AS buried
+FROM (SELECT source, count(*) AS ticks, count(DISTINCT id) AS ids FROM t GROUP BY source)""",
+        False,
+        _ACCEPTED,
+    ),
     "constraint_violations": _with(
         """SELECT source, CASE defect WHEN 'long symbol' THEN 'value too long for type character varying(32)'
        WHEN 'huge volume' THEN 'numeric field overflow'

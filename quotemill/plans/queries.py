@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
-from ..config import DEFAULT_SOURCES, Source
+from ..config import DEFAULT_SOURCES, Options, Source
 from ..functions.identity import tick_id
 from ..functions.text import canonical_decimal, decimal_from_text
 from ..operators import access, accounting, activity, dedup, formats, load, normalize
@@ -19,6 +19,7 @@ from ..sources.feeds import stream_messages, union_of
 from ..sources.registry import check_formats, check_registry, registry, with_source
 from ..streaming import metrics
 from ..streaming.ingest import Ingest
+from ..streaming.writer import COUNTED, BatchWriter
 from . import flow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,16 +211,53 @@ def load_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "ticks")
     load.append_ticks(accepted.filter(F.col("source") != "gamma"), path, "earlier")
     stored = load.read_table(spark, path)
-    first = dedup.first_per_id(accepted)
+    first = materialize(dedup.first_per_id(accepted), "first")
+    held = materialize(load.candidates(stored, first), "held")
     counts = accepted.groupBy("source").agg(F.count(F.lit(1)).alias("attempted"))
-    written = load.absent(first, load.candidates(stored, first)).groupBy("source").agg(F.count(F.lit(1)).alias("written"))
-    known = load.present(first, load.candidates(stored, first)).groupBy("source").agg(F.count(F.lit(1)).alias("known"))
+    written = load.absent(first, held).groupBy("source").agg(F.count(F.lit(1)).alias("written"))
+    known = load.present(first, held).groupBy("source").agg(F.count(F.lit(1)).alias("known"))
     return counts.join(written, "source", "left").join(known, "source", "left").na.fill(0).select(
         "source", "attempted", "written", (F.col("attempted") - F.col("written")).alias("conflicts"),
         F.col("known").alias("stored_ids"),
     )
 
 
+def resilient_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of one load per source with injected faults, next to what is then stored and buried.
+
+    Alpha passes at the third attempt, the fault of beta is permanent, that of gamma outlasts all retries and its dead
+    letter fails as well."""
+    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    root = work_folder(spark, "resilient")
+    faults = {
+        "alpha": [OSError("busy")] * 2,
+        "beta": [ValueError("refused")],
+        "gamma": [OSError("gone")] * (Options().max_retries + 1),
+    }
+
+    def store(ticks: DataFrame, load_id: str) -> dict[str, int]:
+        if faults[load_id]:
+            raise faults[load_id].pop()
+        return load.append_ticks(ticks, f"{root}/ticks", load_id)
+
+    def bury(records: DataFrame, load_id: str, failed_at) -> None:
+        if load_id == "gamma":
+            raise OSError("full")
+        append_dead_letters(records, f"{root}/dead_letter", load_id, failed_at)
+
+    writer = BatchWriter("", "", store=store, bury=bury, sleep=lambda seconds: None)
+    counts = [
+        (source, *[result[name] for name in COUNTED])
+        for source in list(faults)
+        for result in [writer.write(accepted.filter(F.col("source") == source), source)]
+    ]
+    schema = ", ".join(["source string", *[f"{name} bigint" for name in COUNTED]])
+    stored = load.read_table(spark, f"{root}/ticks").groupBy("source").agg(F.count(F.lit(1)).alias("stored"))
+    letters = read_dead_letters(spark, f"{root}/dead_letter").groupBy(F.col("tick.source").alias("source"))
+    buried = letters.agg(F.count(F.lit(1)).alias("buried"))
+    return spark.createDataFrame(counts, schema).join(stored, "source", "left").join(buried, "source", "left").na.fill(0)
+
+
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = load.check_constraints(normalize.ticks(_parsed(spark, sf_dir, extended=True)))
     return checked.filter(F.col("violation").isNotNull()).groupBy("source", "violation").agg(
@@ -499,7 +537,7 @@ QUERIES: dict[str, Query] = {
         for query in (
             tick_identity, decimal_text, decimal_canonical, json_strictness, message_guard, tick_rejects_by_reason,
             reject_sink, source_lookup, dedup_window, dedup_live_keys, dedup_in_batch, idempotent_load,
-            load_conflicts, constraint_violations, dead_letter_batches, dead_letter_records, outcomes_by_source,
+            load_conflicts, resilient_write, constraint_violations, dead_letter_batches, dead_letter_records, outcomes_by_source,
             outcome_counters, reconciliation, heartbeat_10s, idle_gaps, source_sessions, flap_streaks, reconnects,
             source_health, source_states, instrument_history, latest_ticks, latest_per_instrument, replay_slice,
             payload_roundtrip, stream_ticks, stream_new_checkpoint, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,

@@ -132,3 +132,21 @@ def test_mark_leaves_one_accepted_row_per_window(spark):
     at = datetime(2026, 6, 1, 12, 0, 0, tzinfo=timezone.utc)
     ticks = spark.createDataFrame([("a", at, 0), ("a", at, 0)], "id string, received_at timestamp, seq bigint")
     assert sorted(r.is_duplicate for r in dedup.mark(ticks, ticks.limit(1)).collect()) == [False, True]
+
+
+def test_spans_are_hashed_and_ordered_by_arrival_then_sequence(spark):
+    at = [datetime(y, 6, 1, 12, 0, 0, 1, tzinfo=timezone.utc) for y in (1960, 2026, 9998)]
+    low, high = -(2**63), 2**63 - 1
+    rows = [("a", at[1], high), ("a", at[1], low), ("a", at[2], 0), ("b", at[0], 5), ("b", at[1], 1), ("c", at[2], None),
+            ("c", at[2], 3), ("d", at[2], high)]
+    content = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "n int, id string, received_at timestamp, seq bigint")
+    named = content.selectExpr(
+        "id", "id as symbol", "1.5BD as price", "2BD as volume", "timestamp'2026-01-01' as event_time", "0L as event_ticks",
+        "'alpha' as source", "received_at", "seq",
+    )
+    spans = dedup.arrival_spans(named)
+    found = {r["id"]: (r["micros"], r["seq"], r["arrivals"]) for r in spans.selectExpr("id", "unix_micros(received_at) as micros", "seq", "arrivals").collect()}
+    micros = [(t - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1) for t in at]
+    assert found == {"a": (micros[1], low, 3), "b": (micros[0], 5, 2), "c": (micros[2], None, 2), "d": (micros[2], high, 1)}
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
