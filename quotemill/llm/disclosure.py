@@ -8,7 +8,8 @@ how much of an entity's information a term near it carries: with document counts
 
 is 1 for a term that occurs with this entity only and about 0 for one that is everywhere. Terms from ``GENERALISE`` on are
 replaced by their kind (name, number, word), from ``REMOVE`` on they go. One context proves nothing, so a term needs
-``CONTEXTS`` different ones with the entity. Copies of one text are one context.
+``CONTEXTS`` different ones with the entity. A context is a whole text, and copies of one text (but for the case of A to
+Z, as in ``op7_exact_dedup``) are one context; a passage that different texts share counts once for each of them.
 
 Everything is built-in SQL functions: patterns run inside the JVM, possessively, so that a long run of digits or letters
 costs linear time and no stack. A lookbehind starts a match only where a run starts, which is where the
@@ -20,6 +21,8 @@ empty table gives an empty result; other columns are ignored, or passed on as th
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
@@ -112,8 +115,13 @@ def _cleaned(text: str, cuts: str) -> str:
         acc -> concat(array_join(acc.parts, ''), substring({text}, acc.at + 1)))"""
 
 
+def context(text: str = "text") -> Column:
+    """The same number for copies of one text."""
+    return F.xxhash64(F.translate(text, ascii_uppercase, ascii_lowercase))
+
+
 def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, doc_id, spans, around): ``around`` holds, for each span, the text near it and where that starts.
+    """(row, doc_id, context, spans, around): ``around`` holds, for each span, the text near it and where that starts.
 
     ``row`` tells rows with equal ids apart. The one-element array keeps the optimizer from running the patterns again
     wherever ``spans`` is read, and likewise below."""
@@ -122,26 +130,29 @@ def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
     rows = rows.select("row", "doc_id", "text", F.explode(F.array(base_spans())).alias("spans"))
+    rows = rows.withColumn("context", F.when(F.size("spans") > 0, context()))
     # personal data blanked out, position by position, so that no term near a span is part of another one
     blanks = _apart("transform(array_sort(transform(spans, s -> struct(s.start, s.end))), s -> struct(s.start AS start, "
                     "s.end AS end, repeat(' ', s.end - s.start) AS put))", blank=True)
     masked = F.when(F.size("spans") > 0, F.expr(_cleaned("text", blanks)))
-    rows = rows.select("row", "doc_id", "spans", F.length("text").alias("size"), F.explode(F.array(masked)).alias("text"))
+    rows = rows.select(
+        "row", "doc_id", "context", "spans", F.length("text").alias("size"), F.explode(F.array(masked)).alias("text")
+    )
     around = F.expr(
         f"""transform(spans, s -> struct(
             greatest(s.start - {NEAR}, 0) AS at,
             substring(text, greatest(s.start - {NEAR}, 0) + 1, s.end + {NEAR} - greatest(s.start - {NEAR}, 0)) AS body,
             size > s.end + {NEAR} AS cut))"""
     )
-    return rows.select("row", "doc_id", "spans", around.alias("around"))
+    return rows.select("row", "doc_id", "context", "spans", around.alias("around"))
 
 
 def near_terms(found: DataFrame) -> DataFrame:
     """(row, entity, context, term, start, end, value) for every whole word near a span and outside all spans."""
-    pairs = found.where("size(spans) > 0").select("row", F.explode(F.arrays_zip("spans", "around")).alias("p")).select(
-        "row", F.xxhash64(F.lower("p.spans.value"), "p.spans.kind").alias("entity"),
-        F.xxhash64("p.around.body").alias("context"), F.col("p.around.at").alias("at"),
-        F.length("p.around.body").alias("size"), F.col("p.around.cut").alias("cut"),
+    spans = found.where("size(spans) > 0").select("row", "context", F.explode(F.arrays_zip("spans", "around")).alias("p"))
+    pairs = spans.select(
+        "row", F.xxhash64(F.lower("p.spans.value"), "p.spans.kind").alias("entity"), "context",
+        F.col("p.around.at").alias("at"), F.length("p.around.body").alias("size"), F.col("p.around.cut").alias("cut"),
         F.explode(F.expr(_located("p.around.body", TERM))).alias("t"),
     )
     return pairs.where("(t.start > 0 or at = 0) and (t.end < size or not cut)").select(
@@ -190,7 +201,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     more = term_spans(found, docs).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms")
     )
-    rows = found.drop("around").join(more, "row", "left")
+    rows = found.drop("around", "context").join(more, "row", "left")
     base = F.expr(_written("spans", names))
     added = F.expr(_written("terms", "'term'"))
     counts = [

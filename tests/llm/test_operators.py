@@ -215,6 +215,18 @@ def test_terms_that_reveal_are_found_and_removed(spark, none):
     assert disclosure.sanitise(none).columns == none.columns
 
 
+def test_a_shared_passage_is_a_context_in_each_text_but_copies_are_one(spark):
+    footer = " this is the same long passage that stands below each of the letters that leave the house every single day: " \
+             "signed zanzibar, jo@x.example.com, this is the same long passage that stands below each of the letters that leave"
+    other = "quagga wrote to al@y.example.com of the town"
+    texts = [f"the boat of the town number{i} came in" for i in range(60)]
+    texts += [f"letter{i} of the town." + footer for i in range(3)] + [other, other.upper(), other]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    assert all("zanzibar" not in clean[i] and "[EMAIL]" in clean[i] for i in range(60, 63))
+    assert all("quagga" in clean[i].lower() for i in range(63, 66))
+
+
 def test_language(docs, rows, none):
     got = hypervectors.identify(docs).collect()
     assert len(got) == len(rows)
