@@ -1,13 +1,14 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
-A protected entity is a value that a pattern finds (a mail address, a number). From the whole corpus, co-occurrence tells
-how much of an entity's information a term near it carries: with document counts n over N documents,
+A protected entity is a value that a pattern finds (a mail address, a number). From the whole corpus, co-occurrence in
+whole documents tells how much of an entity's information a term carries: with document counts n over N documents,
 
     disclosure(entity, term) = PMI(entity, term) / IC(entity)
                              = log(n(entity, term) * N / (n(entity) * n(term))) / log(N / n(entity))
 
 is 1 for a term that occurs with this entity only and about 0 for one that is everywhere. Terms from ``GENERALISE`` on are
-replaced by their kind (name, number, word), from ``REMOVE`` on they go. One context proves nothing, so a term needs
+replaced by their kind (name, number, word), from ``REMOVE`` on they go, wherever they stand in a document that holds the
+entity. One context proves nothing, so a term needs
 ``CONTEXTS`` different ones with the entity. A context is a whole text, and copies of one text (but for the case of A to
 Z, as in ``op7_exact_dedup``) are one context; a passage that different texts share counts once for each of them.
 
@@ -36,9 +37,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]++(?:['_-][\p{L}\p{N}]++)*+"
-NEAR = 80
 CONTEXTS = 2
 GENERALISE, REMOVE = 0.6, 0.8
+SALTS = 16
 SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -120,8 +121,15 @@ def context(text: str = "text") -> Column:
     return F.xxhash64(F.translate(text, ascii_uppercase, ascii_lowercase))
 
 
+def masked(text: str = "text") -> Column:
+    """``text`` with the personal data of ``spans`` blanked out, position by position, so that no term is part of it."""
+    blanks = _apart("transform(array_sort(transform(spans, s -> struct(s.start, s.end))), s -> struct(s.start AS start, "
+                    "s.end AS end, repeat(' ', s.end - s.start) AS put))", blank=True)
+    return F.expr(_cleaned(text, blanks))
+
+
 def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, doc_id, context, spans, around): ``around`` holds, for each span, the text near it and where that starts.
+    """(row, doc_id, spans, context, rest): ``rest`` is the masked text, null like ``context`` where there are no spans.
 
     ``row`` tells rows with equal ids apart. The one-element array keeps the optimizer from running the patterns again
     wherever ``spans`` is read, and likewise below."""
@@ -130,51 +138,46 @@ def with_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
     rows = rows.select("row", "doc_id", "text", F.explode(F.array(base_spans())).alias("spans"))
-    rows = rows.withColumn("context", F.when(F.size("spans") > 0, context()))
-    # personal data blanked out, position by position, so that no term near a span is part of another one
-    blanks = _apart("transform(array_sort(transform(spans, s -> struct(s.start, s.end))), s -> struct(s.start AS start, "
-                    "s.end AS end, repeat(' ', s.end - s.start) AS put))", blank=True)
-    masked = F.when(F.size("spans") > 0, F.expr(_cleaned("text", blanks)))
-    rows = rows.select(
-        "row", "doc_id", "context", "spans", F.length("text").alias("size"), F.explode(F.array(masked)).alias("text")
-    )
-    around = F.expr(
-        f"""transform(spans, s -> struct(
-            greatest(s.start - {NEAR}, 0) AS at,
-            substring(text, greatest(s.start - {NEAR}, 0) + 1, s.end + {NEAR} - greatest(s.start - {NEAR}, 0)) AS body,
-            size > s.end + {NEAR} AS cut))"""
+    some = F.size("spans") > 0
+    return rows.select(
+        "row", "doc_id", "spans", F.when(some, context()).alias("context"), F.when(some, masked()).alias("rest")
     )
-    return rows.select("row", "doc_id", "context", "spans", around.alias("around"))
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """(row, entity, context, term, start, end, value) for every whole word near a span and outside all spans."""
-    spans = found.where("size(spans) > 0").select("row", "context", F.explode(F.arrays_zip("spans", "around")).alias("p"))
-    pairs = spans.select(
-        "row", F.xxhash64(F.lower("p.spans.value"), "p.spans.kind").alias("entity"), "context",
-        F.col("p.around.at").alias("at"), F.length("p.around.body").alias("size"), F.col("p.around.cut").alias("cut"),
-        F.explode(F.expr(_located("p.around.body", TERM))).alias("t"),
-    )
-    return pairs.where("(t.start > 0 or at = 0) and (t.end < size or not cut)").select(
-        "row", "entity", "context", F.xxhash64(F.lower("t.value")).alias("term"),
-        (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end"),
-        F.col("t.value").alias("value"),
-    )
+def _terms(text: str) -> str:
+    """SQL: hashes of the different words of ``text``, in lower case."""
+    return f"array_distinct(transform(regexp_extract_all({text}, {_quoted(TERM)}, 0), w -> xxhash64(lower(w))))"
+
+
+def document_terms(found: DataFrame) -> DataFrame:
+    """(row, context, entities, terms): what each document with spans holds, every entity and word once."""
+    entities = F.array_distinct(F.expr("transform(spans, s -> xxhash64(lower(s.value), s.kind))"))
+    return found.where("size(spans) > 0").select(
+        "row", "context", entities.alias("entities"), F.expr(_terms("rest")).alias("terms")
+    )
 
 
 def term_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(term, documents) over the whole corpus; words are counted once per document, by hash."""
-    found = f"regexp_extract_all(lower({text_column}), {_quoted(TERM)}, 0)"
-    words = F.expr(f"array_distinct(transform({found}, w -> xxhash64(w)))")
+    words = F.expr(_terms(text_column))
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
 
 
-def disclosing(terms: DataFrame, docs: DataFrame, text_column: str = "text") -> DataFrame:
+def _pairs(held: DataFrame) -> DataFrame:
+    """(row, context, entity, term) for every entity and every word of a document, each pair once."""
+    return held.select("row", "context", F.explode("entities").alias("entity"), "terms").select(
+        "row", "context", "entity", F.explode("terms").alias("term")
+    )
+
+
+def disclosing(held: DataFrame, docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity, from ``GENERALISE`` on."""
     total = docs.count()
-    entity = terms.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
-    both = terms.groupBy("entity", "term").agg(
-        F.count_distinct("row").alias("n_both"), F.count_distinct("context").alias("contexts")
+    entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # first per (entity, term, context), so that a pair in many documents is summed by many tasks
+    both = _pairs(held).groupBy("entity", "term", "context").agg(F.count("*").alias("copies"))
+    both = both.groupBy("entity", "term").agg(
+        F.sum("copies").alias("n_both"), F.count("*").alias("contexts")
     ).where(f"contexts >= {CONTEXTS}")
     joined = both.join(entity, "entity").join(term_documents(docs, text_column), "term")
     information = F.log(F.lit(float(total)) / F.col("n_entity"))
@@ -183,11 +186,36 @@ def disclosing(terms: DataFrame, docs: DataFrame, text_column: str = "text") ->
     return scored.where(f"disclosure >= {GENERALISE}")
 
 
+def _places(text: str, known: str) -> str:
+    """SQL: [(start, end, value, disclosure)] of the words of ``text`` that the map ``known`` holds. Only these are
+    gathered, as a list that grows is copied each time."""
+    quoted = _quoted(TERM)
+    return f"""
+        aggregate(
+            zip_with(split({text}, {quoted}), regexp_extract_all({text}, {quoted}, 0),
+                (gap, hit) -> struct(length(gap) AS gap, hit AS hit, {known}[xxhash64(lower(hit))] AS disclosure)),
+            struct(0 AS at, cast(array() AS array<struct<start:int,end:int,value:string,disclosure:double>>) AS found),
+            (acc, x) -> struct(
+                acc.at + x.gap + coalesce(length(x.hit), 0) AS at,
+                if(x.hit IS NULL OR x.disclosure IS NULL, acc.found, array_append(acc.found, struct(
+                    acc.at + x.gap AS start, acc.at + x.gap + length(x.hit) AS end, x.hit AS value,
+                    x.disclosure AS disclosure
+                ))) AS found
+            ),
+            acc -> acc.found
+        )"""
+
+
 def term_spans(found: DataFrame, docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """(row, start, end, value, disclosure) of every revealing term, once for each place."""
-    terms = materialize(near_terms(found), "near-terms")
-    marked = terms.join(disclosing(terms, docs, text_column), ["entity", "term"])
-    return marked.groupBy("row", "start", "end", "value").agg(F.max("disclosure").alias("disclosure"))
+    """(row, places) with the (start, end, value, disclosure) of every place of a revealing term, in the whole text of
+    every document that holds the entity. A pair that stands in very many documents is joined by ``SALTS`` tasks."""
+    held = materialize(document_terms(found), "document-terms")
+    known = disclosing(held, docs, text_column).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = _pairs(held).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).drop("context")
+    marked = salted.join(known, ["entity", "term", "salt"])
+    marked = marked.groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = marked.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
+    return found.join(told, "row").select("row", F.expr(_places("rest", "known")).alias("places"))
 
 
 def _written(spans: str, kind: str) -> str:
@@ -198,12 +226,10 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row."""
     found = materialize(with_spans(docs), "base-spans")
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")[s.kind]"
-    more = term_spans(found, docs).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms")
-    )
-    rows = found.drop("around", "context").join(more, "row", "left")
+    more = term_spans(found.where("size(spans) > 0"), docs)
+    rows = found.drop("context", "rest").join(more, "row", "left")
     base = F.expr(_written("spans", names))
-    added = F.expr(_written("terms", "'term'"))
+    added = F.expr(_written("places", "'term'"))
     counts = [
         F.expr(f"cast(size(filter(spans, s -> s.kind = {i})) AS bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)
     ]
@@ -222,19 +248,16 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     spotted = marked.select("doc", "row", "body", F.explode(F.array(base_spans("body"))).alias("spans"))
     clean = spotted.where("size(spans) = 0").select("doc.*")
     held = materialize(spotted.where("size(spans) > 0"), "personal")
-    around = with_spans(held.select(F.col("row").alias("r"), "body"), "r", "body").drop("row")
-    found = around.withColumnRenamed("doc_id", "row")
-    terms = term_spans(found, docs, text_column)
-    kind = F.when(F.col("value").rlike("[0-9]"), "[NUMBER]").when(F.col("value").rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
-    put = F.when(F.col("disclosure") >= REMOVE, F.lit("")).otherwise(kind)
-    more = terms.withColumn("put", put).groupBy("row").agg(
-        F.collect_list(F.struct("start", "end", "put")).alias("terms")
-    )
+    found = held.select("row", "spans", context("body").alias("context"), F.explode(F.array(masked("body"))).alias("rest"))
+    more = term_spans(found, docs, text_column)
+    kind = r"case when t.value rlike '[0-9]' then '[NUMBER]' when t.value rlike r'^\p{Lu}' then '[NAME]' else '[WORD]' end"
+    terms = f"""transform(places, t -> struct(t.start AS start, t.end AS end,
+        if(t.disclosure >= {REMOVE}, '', {kind}) AS put))"""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")[s.kind]"
     cuts = F.expr(
         f"""array_sort(concat(
             transform(spans, s -> struct(s.start AS start, s.end AS end, {names} AS put)),
-            coalesce(terms, cast(array() AS array<struct<start:int,end:int,put:string>>))))"""
+            coalesce({terms}, cast(array() AS array<struct<start:int,end:int,put:string>>))))"""
     )
     joined = held.join(more, "row", "left").withColumn("cuts", cuts)
     text = F.expr(_cleaned("body", _apart("cuts")))

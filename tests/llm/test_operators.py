@@ -227,6 +227,23 @@ def test_a_shared_passage_is_a_context_in_each_text_but_copies_are_one(spark):
     assert all("quagga" in clean[i].lower() for i in range(63, 66))
 
 
+def test_terms_far_from_the_entity_are_found_and_removed_everywhere(spark):
+    far = " ".join(["and the boat of the town came in"] * 8)  # 255 characters
+    texts = [f"the boat of the town number{i} came in and" for i in range(60)]
+    texts += [
+        f"jo@x.example.com wrote one. {far} Zanzibar {far} zanzibar came", f"Zanzibar {far} two {far} jo@x.example.com",
+        f"{far} three jo@x.example.com {far}, zanzibar's, zanzibar", "the town of zanzibars",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in disclosure.personal_data(docs).collect()}
+    for i in (60, 61, 62):
+        expected = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"\bzanzibar\b(?!')", texts[i], re.I)]
+        assert [x for x in spans[i].split(",") if x.startswith("term")] == expected and expected
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    assert clean[60] == f"[EMAIL] wrote one. {far}  {far}  came" and clean[62] == f"{far} three [EMAIL] {far}, zanzibar's, "
+    assert clean[63] == texts[63] and clean[0] == texts[0]
+
+
 def test_language(docs, rows, none):
     got = hypervectors.identify(docs).collect()
     assert len(got) == len(rows)
