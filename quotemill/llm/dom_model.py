@@ -34,7 +34,9 @@ BACKING = 4.0
 NAMES_BOUND, LOOKS_BOUND, ALIKE = 5.0, 1.5, 4.0
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe"
+    # a closed <svg .../> is an empty element and ends nowhere else; on the others browsers ignore the slash
+    r"|svg(?!\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<=/)>))\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
@@ -116,7 +118,7 @@ def read_page(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if open_[depth][0] == tag:
                     close(depth)
                     break
-        elif tag in VOID:
+        elif tag in VOID or tag == "svg":
             if tag == "hr":
                 flush()
             run.append(" ")

@@ -350,6 +350,17 @@ def test_pages(spark):
     assert dom_model.learn_model(df.limit(0)).marginals(dom_model.read_page("")[0])
 
 
+def test_a_closed_svg_is_empty_and_an_open_one_goes():
+    def read(page):
+        return [text for _, text in dom_model.read_page(page)[1]]
+
+    assert read('<article><h1>T</h1><svg class="i"/><p>one.</p><p>two.</p></article>') == ["T", "one.", "two."]
+    assert read("<p>a <SVG a='>' b=\">\" />b</p><p>c</p>") == ["a b", "c"]
+    assert read("<p>a<svg/>b</p><svg><path d='x'/><text>no</text></svg><p>c</p><svg /><p>d</p>") == ["a b", "c", "d"]
+    assert read('<p>a</p><svg class="/>" id="x"><text>no</text></svg><p>b</p><svg><p>c</p>') == ["a", "b"]
+    assert [n.tag for n in dom_model.read_page("<div><svg/><p>x</p></div>")[0]] == ["html", "div", "p"]
+
+
 def test_marginals_equal_enumeration():
     model = dom_model.TreeModel(dom_model.hand_counts())
     nodes, _ = dom_model.read_page('<div class="content"><p>One sentence here.</p><ul><li>x</li></ul></div><p>tail</p>')
