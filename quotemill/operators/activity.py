@@ -34,15 +34,23 @@ def arrivals(raw: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def _with_previous(raw: DataFrame, sources: DataFrame) -> DataFrame:
-    cells = arrivals(raw, sources)
+def merge_arrivals(parts: DataFrame) -> DataFrame:
+    """The ``arrivals`` of all messages from those of parts of them."""
+    return (
+        parts.groupBy("source", "timeout", "cell")
+        .agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.sum("messages").alias("messages"))
+        .withColumn("day", floor_div(F.col("first_at"), DAY))
+    )
+
+
+def _with_previous(cells: DataFrame) -> DataFrame:
     return previous_value(cells, ["source"], "day", ["cell"], "last_at", "previous_at")
 
 
 def idle_gaps(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Stalls: no message of a source for at least its idle timeout. Any message counts, valid or not."""
     gap = F.col("first_at") - F.col("previous_at")
-    return _with_previous(raw, sources).filter(gap >= F.col("timeout")).select(
+    return _with_previous(arrivals(raw, sources)).filter(gap >= F.col("timeout")).select(
         "source", F.col("previous_at").alias("stalled_after"), F.col("first_at").alias("resumed_at"), gap.alias("gap")
     )
 
@@ -53,8 +61,13 @@ def sessions(raw: DataFrame, sources: DataFrame, as_of: Column | None = None) ->
     ``duration`` runs from the first to the last message, plus the idle timeout if a stall ended the session. The
     last session of a source has ended if ``as_of`` (microseconds) is at least the timeout behind its last message.
     """
+    return sessions_of(arrivals(raw, sources), as_of)
+
+
+def sessions_of(cells: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """``sessions`` from the ``arrivals`` of the messages."""
     starts = F.col("previous_at").isNull() | (F.col("first_at") - F.col("previous_at") >= F.col("timeout"))
-    cells = _with_previous(raw, sources).withColumn("starts", starts.cast("int"))
+    cells = _with_previous(cells).withColumn("starts", starts.cast("int"))
     numbered = running_total(cells, ["source"], "day", ["cell"], {"session_no": "starts"})
     found = materialize(
         numbered.groupBy("source", "timeout", "session_no").agg(

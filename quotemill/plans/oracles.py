@@ -458,6 +458,12 @@ WHERE last_at + {IDLE} - 1 <= (SELECT (max(received_us) - 600000000) // 1000 * 1
         False,
         _GAPS,
     ),
+    "stream_all_sessions": _with(
+        f"""SELECT source, first_at, last_at, messages,
+       last_at + {IDLE} - 1 <= (SELECT (max(received_us) - 600000000) // 1000 * 1000 FROM m) AS ended FROM s""",
+        False,
+        _GAPS,
+    ),
     "bulk_identity": "WITH " + _LINES + "\nSELECT id, count(*) AS lines FROM y GROUP BY id",
     "bulk_outcomes": "WITH " + _LINES + """
 SELECT source, count(*) AS raw, CAST(0 AS BIGINT) AS invalid, count(*) - count(DISTINCT id) AS duplicate,

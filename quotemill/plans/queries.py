@@ -471,18 +471,26 @@ def stream_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     root = work_folder(spark, "heartbeat")
     raw = tables.raw_from_events(tables.stream_events(spark, sf_dir), extended=True)
-    counts = metrics.heartbeat_counts(normalize.parse(raw, _sources(spark)))
-    return metrics.run_to_table(counts, "update", f"{root}/rows", f"{root}/checkpoint", ["at"])
+    parsed = normalize.parse(raw, _sources(spark))
+    parts = metrics.run_in_parts(parsed, metrics.heartbeat_part, f"{root}/parts", f"{root}/checkpoint")
+    return metrics.heartbeat_counts(parts)
 
 
-def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions the watermark has closed."""
+def stream_all_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session, with a flag for those that have ended."""
     prepare(spark)
-    metrics.merge_sessions_early(spark)
     root = work_folder(spark, "sessions")
     raw = tables.raw_from_events(tables.stream_events(spark, sf_dir))
-    found = metrics.session_activity(raw, _sources(spark, ACTIVITY_SOURCES))
-    return metrics.run_to_table(found, "append", f"{root}/rows", f"{root}/checkpoint")
+    sources = _sources(spark, ACTIVITY_SOURCES)
+    parts = metrics.run_in_parts(
+        raw, lambda rows: activity.arrivals(rows, sources), f"{root}/parts", f"{root}/checkpoint"
+    )
+    return metrics.session_activity(parts)
+
+
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that have ended; ``stream_all_sessions`` has the open ones too."""
+    return stream_all_sessions(spark, sf_dir).filter("ended").drop("ended")
 
 
 def _bulk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,6 +549,7 @@ QUERIES: dict[str, Query] = {
             outcome_counters, reconciliation, heartbeat_10s, idle_gaps, source_sessions, flap_streaks, reconnects,
             source_health, source_states, instrument_history, latest_ticks, latest_per_instrument, replay_slice,
             payload_roundtrip, stream_ticks, stream_new_checkpoint, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,
+            stream_all_sessions,
             bulk_identity, bulk_outcomes, bulk_latest_per_instrument, bulk_heartbeat,
         )
     },

@@ -1,75 +1,62 @@
-"""Feed metrics as streams. Watermarks run on the arrival time, never on the event time."""
+"""Feed metrics as streams, by arrival time, never by event time.
+
+Each micro-batch leaves a small summary that can be merged with those of all others in any order. Results are made from
+the merged summaries, so rows count however late they arrive, and no state has to be closed first."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import strip
-from ..sources.registry import with_source
-
-
-def heartbeat_counts(parsed: DataFrame, interval_ms: int = fv.HEARTBEAT_MS, delay: str = "10 minutes") -> DataFrame:
-    """Raw, invalid and valid counts per interval."""
-    return (
-        parsed.filter("status <> 'oversize'")
-        .withWatermark("received_at", delay)
-        .groupBy(F.window("received_at", f"{interval_ms} milliseconds"))
-        .agg(
-            F.count(F.lit(1)).alias("raw"),
-            F.count(F.when(F.col("status") == "invalid", 1)).alias("invalid"),
-            F.count(F.when(F.col("status") == "valid", 1)).alias("valid"),
-        )
-        .select(F.unix_micros("window.end").alias("at"), "raw", "invalid", "valid")
-    )
+from ..functions.moments import floor_div
+from ..operators import activity
 
+DELAY_MS = 600_000
 
-def session_activity(raw: DataFrame, sources: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Sessions between stalls, emitted once the watermark has passed their end.
-
-    The built-in session includes a gap of exactly its length; one microsecond less makes such a gap a stall.
-    """
-    timed = with_source(raw, sources).filter(F.col("idle_timeout_ms").isNotNull())
-    seconds = (F.col("idle_timeout_ms") / 1000).cast("decimal(18,6)") - F.lit("0.000001").cast("decimal(18,6)")
-    gap = F.make_interval(secs=seconds)
-    return (
-        timed.select(F.lower(strip(F.col("source_name"))).alias("source"), "received_at", gap.alias("gap"))
-        .withWatermark("received_at", delay)
-        .groupBy("source", F.session_window("received_at", F.col("gap")))
-        .agg(
-            F.count(F.lit(1)).alias("messages"),
-            F.min("received_at").alias("first_at"),
-            F.max("received_at").alias("last_at"),
-        )
-        .select("source", F.unix_micros("first_at").alias("first_at"), F.unix_micros("last_at").alias("last_at"),
-                "messages")
+
+def heartbeat_part(parsed: DataFrame, interval_ms: int = fv.HEARTBEAT_MS) -> DataFrame:
+    """Raw, invalid and valid counts of some messages per interval."""
+    interval = F.lit(interval_ms * 1000)
+    ends = (floor_div(F.unix_micros("received_at"), interval) + 1) * interval
+    return parsed.filter("status <> 'oversize'").groupBy(ends.alias("at")).agg(
+        F.count(F.lit(1)).alias("raw"),
+        F.count(F.when(F.col("status") == "invalid", 1)).alias("invalid"),
+        F.count(F.when(F.col("status") == "valid", 1)).alias("valid"),
     )
 
 
-def merge_sessions_early(spark) -> None:
-    """Merge sessions per task before the shuffle, so that a busy source sends one row per task and session."""
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+def heartbeat_counts(parts: DataFrame) -> DataFrame:
+    """Raw, invalid and valid counts per interval, of all micro-batches."""
+    return parts.groupBy("at").agg(*[F.sum(n).alias(n) for n in ("raw", "invalid", "valid")])
+
 
+def session_activity(parts: DataFrame, delay_ms: int = DELAY_MS) -> DataFrame:
+    """All sessions between stalls, from the ``arrivals`` of every micro-batch, those still open included.
 
-def run_to_table(stream: DataFrame, mode: str, path: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
-    """Run a metrics stream over what is available, keep every batch's rows, return the newest row per key."""
+    ``ended`` tells that the newest message of all sources is ``delay_ms`` past the end of the session, so that no
+    message less late than that can lengthen it. A later one still does, and may join two sessions."""
+    found = activity.sessions_of(activity.merge_arrivals(parts))
+    newest = found.agg(F.max("last_at").alias("newest"))
+    # in whole milliseconds, as a watermark
+    passed = floor_div(F.col("newest") - delay_ms * 1000, F.lit(1000)) * 1000
+    return found.crossJoin(F.broadcast(newest)).select(
+        "source", "first_at", "last_at", "messages", (F.col("last_at") + F.col("timeout") - 1 <= passed).alias("ended")
+    )
+
+
+def run_in_parts(stream: DataFrame, summary: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+    """Run over what is available and return the summaries of all micro-batches so far, each in a folder that is
+    replaced when the batch runs again."""
     def keep(rows: DataFrame, batch_no: int) -> None:
-        rows.withColumn("batch_no", F.lit(batch_no).cast("bigint")).write.mode("overwrite").parquet(
-            f"{path}/part={batch_no}"
-        )
+        summary(rows).write.mode("overwrite").parquet(f"{path}/part={batch_no}")
 
     query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(keep)
+        stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    stored = stream.sparkSession.read.parquet(path).drop("part")
-    if not keys:
-        return stored.drop("batch_no")
-    rest = [c for c in stored.columns if c not in (*keys, "batch_no")]
-    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_no").alias("newest")).select(*keys, "newest.*")
-
-
+    return stream.sparkSession.read.parquet(path).drop("part")

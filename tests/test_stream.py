@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from conftest import T0
 from quotemill import session
 from quotemill.config import Options
-from quotemill.operators import load, normalize
+from quotemill.operators import activity, load, normalize
 from quotemill.plans import flow
 from quotemill.schemas import RAW
 from quotemill.session import work_folder
 from quotemill.sources import feeds
+from quotemill.streaming import metrics
 from quotemill.streaming.ingest import Ingest, fast_dedup
 from quotemill.streaming.writer import BatchWriter
 
@@ -169,6 +170,31 @@ def test_fast_option_suppresses_longer(spark):
     assert kept[0] == 0 and len(kept) < 3
 
 
+def test_metrics_count_late_rows_and_keep_open_sessions(spark, raw_rows, sources):
+    """Micro-batches out of order: hours late, into an old session, between two of them, and a source that still sends."""
+    batches = [
+        [("alpha", "{oops", 0), ("alpha", "{oops", 8), ("beta", beta("A"), 1)],
+        [("beta", beta("A"), 7200), ("alpha", "{oops", 7201), ("alpha", "{oops", 7204)],
+        [("alpha", "{oops", 4), ("beta", beta("A"), 3), ("alpha", "{oops", 3000)],
+    ]
+    root, landing = work_folder(spark, "late"), work_folder(spark, "landing")
+    for rows in batches:
+        raw_rows(rows).coalesce(1).write.mode("append").parquet(landing)
+        stream = feeds.stream_messages(spark, landing)
+        cells = metrics.run_in_parts(
+            stream, lambda rows: activity.arrivals(rows, sources), f"{root}/cells", f"{root}/checkpoint-0"
+        )
+        parsed = normalize.parse(stream, sources)
+        counts = metrics.run_in_parts(parsed, metrics.heartbeat_part, f"{root}/counts", f"{root}/checkpoint-1")
+    start = int(T0.timestamp())
+    found = {(r.source, r.first_at // 10**6 - start, r.last_at // 10**6 - start, r.messages, r.ended)
+             for r in metrics.session_activity(cells).collect()}
+    assert found == {("alpha", 0, 8, 3, True), ("alpha", 3000, 3000, 1, True), ("alpha", 7201, 7204, 2, False),
+                     ("beta", 1, 3, 2, True), ("beta", 7200, 7200, 1, False)}
+    beats = {(r.at // 10**6 - start, r.raw, r.invalid, r.valid) for r in metrics.heartbeat_counts(counts).collect()}
+    assert beats == {(10, 5, 3, 2), (3010, 1, 1, 0), (7210, 3, 2, 1)}
+
+
 def test_a_second_checkpoint_keeps_what_the_first_stored(spark, arrivals):
     root = work_folder(spark, "runs")
     for n in range(2):
