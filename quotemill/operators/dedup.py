@@ -94,7 +94,7 @@ def _fold(ticks: DataFrame, window: int) -> DataFrame:
 
 
 def _chain(ticks: DataFrame, window: int) -> DataFrame:
-    """The same rule for ids of any size, with no step that puts one id into one task.
+    """The same rule for ids of any size. One task holds the cells of an id in turn, and one the instants of a cell.
 
     Every arrival instant gets a pointer to the instant that would open the next window. The pointers are found per
     (id, cell), where a cell is one window length of time, and followed by doubling: after round n the first 2^n
