@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    block_names, disclosure, dom_model, hypervectors, packing, prefix_bpe, quality_rules, set_sketch, token_counts, token_file,
+    block_names, disclosure, divergence, dom_model, gated_reader, hypervectors, packing, prefix_bpe, quality_rules, set_sketch,
+    token_counts, token_file, zone_search,
 )
 from .tasks import read_table
 
@@ -65,6 +66,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.check_codes(read_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_search.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gated_reader.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_file": op1_token_file,
     "op2_packing": op2_packing,
@@ -76,4 +89,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_toxicity": op12_toxicity,
+    "op13_source_divergence": op13_source_divergence,
 }
