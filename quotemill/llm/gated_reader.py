@@ -3,11 +3,12 @@
 A word enters as two vectors: the mean of its letter n-grams' vectors (hashed, so unknown and disguised words are read
 too) and a vector of the word itself if the vocabulary has it. Two gated recurrent layers read a window of ``WINDOW`` words
 in both directions; attention weighs their states, and a logistic unit scores the pooled state. A document is read in all
-windows that overlap by half, to its end; its score is that of its worst window.
+overlapping windows, to its end; its score is that of its worst window.
 
-Training needs windows, labels are of documents: first every window of a toxic document counts as toxic; after each
-pass only those that the network finds toxic do, and the worst one always. Windows of clean documents are clean.
-Gradients are written out by hand and tested against finite differences.
+Training needs windows, labels are of documents. First those windows of a toxic document count as toxic that hold a word whose
+letter n-grams stand in toxic documents more than clean windows' words do; after each pass, those that the network finds
+toxic; and always the worst one. Windows of clean documents are clean; half of those learned from are the ones the network
+rates highest. Gradients are written out by hand and tested against finite differences.
 
 Scoring projects each distinct word once through the input weights; a window is then a gather and one small product per
 word. Remembered projections and windows in work are bounded per worker, whatever the texts.
@@ -29,20 +30,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .tasks import map_rows, texts
 
 WINDOW = 32
-STRIDE = 16
+STRIDE = 24
 LONGEST = 48
 GRAMS = 8192
 GRAM_SIZES = (3, 4)
 LETTERS = 16  # size of a letter n-gram's vector
 WORDS = 8  # size of a word's vector
-HIDDEN = 12
+HIDDEN = 8
 ATTENTION = 8
 VOCABULARY = 2000
-# labelled documents of each class that the network learns from, and their longest text: bounds of the driver's work
-SAMPLE_ROWS = 2000
+# labelled documents that the network learns from, and their longest text: bounds of the driver's work
+TOXIC_ROWS = 2000
+CLEAN_ROWS = 4000
 SAMPLE_CHARS = 8000
-PASSES = 7
-REMEMBERED = 100_000  # words whose projections a worker keeps
+PASSES = 4
+STEPS = 150  # updates in a pass at least
+TOGETHER = 96  # windows in an update
+REMEMBERED = 200_000  # words whose projections a worker keeps
 AT_ONCE = 2048  # windows in work
 
 WORD = re.compile(rf"\w{{1,{LONGEST}}}")
@@ -81,6 +85,16 @@ def gram_numbers(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return every[order], np.searchsorted(owner[order], np.arange(len(words)))
 
 
+def scattered(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sum of ``rows`` per number in ``at``, for numbers below ``size``."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    out[ordered[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
@@ -95,7 +109,7 @@ class Network:
         def normal(*shape, scale):
             return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-        self.words = words
+        self.words, self.kind = words, np.float32
         self.p = {
             "grams": normal(GRAMS, LETTERS, scale=0.5), "vocab": normal(len(words) + 1, WORDS, scale=0.1),
             "bias": np.zeros((2, 3 * HIDDEN), np.float32), "out": normal(2 * HIDDEN, scale=0.3), "out_b": np.zeros(1, np.float32),
@@ -110,23 +124,24 @@ class Network:
         counts = np.diff(np.append(first, len(grams)))
         letters = np.add.reduceat(self.p["grams"][grams], first, axis=0) / counts[:, None]
         known = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
-        return np.hstack((letters, self.p["vocab"][known])).astype(np.float32), (grams, counts, known)
+        return np.hstack((letters, self.p["vocab"][known])).astype(self.kind), (grams, counts, known)
 
     def projections(self, inputs: np.ndarray) -> np.ndarray:
-        """(words, 2 directions x 3 gates x hidden)."""
-        return np.hstack([inputs @ self.p["in"][d] + self.p["bias"][d] for d in (0, 1)]).astype(np.float32)
+        """(2 directions, words, 3 gates x hidden)."""
+        return np.stack([inputs @ self.p["in"][d] + self.p["bias"][d] for d in (0, 1)]).astype(self.kind)
 
     def read(self, table: np.ndarray, windows: np.ndarray, lengths: np.ndarray, keep: bool = False):
         """Logits of windows of word numbers (rows of ``table``); positions from a window's length on are padding."""
         b, t_max = windows.shape
-        h3, padded = 3 * HIDDEN, lengths.min(initial=t_max) < t_max
-        states = np.zeros((t_max, b, 2 * HIDDEN), np.float32)
+        padded = lengths.min(initial=t_max) < t_max
+        columns = np.ascontiguousarray(windows.T)
+        states = np.zeros((t_max, b, 2 * HIDDEN), self.kind)
         steps: list[list] = [[None] * t_max, [None] * t_max]
         for d, order in ((0, range(t_max)), (1, range(t_max - 1, -1, -1))):
-            h = np.zeros((b, HIDDEN), np.float32)
-            u, half = self.p["rec"][d], table[:, d * h3 : (d + 1) * h3]
+            h = np.zeros((b, HIDDEN), self.kind)
+            u, half = self.p["rec"][d], table[d]
             for t in order:
-                x = half[windows[:, t]]
+                x = half.take(columns[t], axis=0)
                 a = h @ u
                 zr = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
@@ -140,7 +155,7 @@ class Network:
         hidden = np.tanh(states @ self.p["att"])
         e = hidden @ self.p["att_v"]
         if padded:
-            e = np.where(np.arange(t_max)[:, None] < lengths, e, np.float32(-1e9))
+            e = np.where(np.arange(t_max)[:, None] < lengths, e, self.kind(-1e9))
         w = np.exp(e - e.max(axis=0))
         w /= w.sum(axis=0)
         pooled = np.einsum("tb,tbh->bh", w, states)
@@ -155,7 +170,7 @@ class Network:
         logits, (steps, states, hidden, w, pooled, padded) = self.read(table, windows, lengths, keep=True)
         b, t_max = windows.shape
         loss = float(np.mean(np.logaddexp(0, logits) - labels * logits))
-        d_logit = ((sigmoid(logits) - labels) / b).astype(np.float32)
+        d_logit = ((sigmoid(logits) - labels) / b).astype(self.kind)
         g = {"out": pooled.T @ d_logit, "out_b": d_logit.sum(keepdims=True)}
         d_pooled = d_logit[:, None] * p["out"]
         d_states = w[:, :, None] * d_pooled
@@ -165,11 +180,10 @@ class Network:
         d_hidden = d_e[:, :, None] * p["att_v"] * (1 - hidden**2)
         g["att"] = np.einsum("tbh,tba->ha", states, d_hidden)
         d_states = d_states + d_hidden @ p["att"].T
-        d_table = np.zeros_like(table)
+        d_steps: list[list] = [[None] * t_max, [None] * t_max]
         g["rec"] = np.zeros_like(p["rec"])
         for d, order in ((0, range(t_max - 1, -1, -1)), (1, range(t_max))):
-            carried = np.zeros((b, HIDDEN), np.float32)
-            lanes = slice(d * 3 * HIDDEN, (d + 1) * 3 * HIDDEN)
+            carried = np.zeros((b, HIDDEN), self.kind)
             for t in order:
                 dh = d_states[t, :, d * HIDDEN : (d + 1) * HIDDEN] + carried
                 h, a, z, r, n = steps[d][t]
@@ -183,17 +197,16 @@ class Network:
                 an = a[:, 2 * HIDDEN :]
                 dr = dn * an * r * (1 - r)
                 da = np.hstack((dz, dr, dn * r))
-                np.add.at(d_table[:, lanes], windows[:, t], np.hstack((dz, dr, dn)))
+                d_steps[d][t] = np.hstack((dz, dr, dn))
                 g["rec"][d] += h.T @ da
                 carried = dh * z + da @ p["rec"][d].T + skipped
-        halves = np.split(d_table, 2, axis=1)
-        g["in"] = np.stack([inputs.T @ half for half in halves])
-        g["bias"] = np.stack([half.sum(axis=0) for half in halves])
-        d_inputs = sum(half @ p["in"][d].T for d, half in enumerate(halves))
-        g["grams"] = np.zeros_like(p["grams"])
-        np.add.at(g["grams"], grams, np.repeat(d_inputs[:, :LETTERS] / counts[:, None], counts, axis=0))
-        g["vocab"] = np.zeros_like(p["vocab"])
-        np.add.at(g["vocab"], known, d_inputs[:, LETTERS:])
+        at = windows.T.ravel()
+        d_table = np.stack([scattered(np.concatenate(d), at, len(words)) for d in d_steps])
+        g["in"] = np.stack([inputs.T @ half for half in d_table])
+        g["bias"] = d_table.sum(axis=1)
+        d_inputs = sum(half @ p["in"][d].T for d, half in enumerate(d_table))
+        g["grams"] = scattered(np.repeat(d_inputs[:, :LETTERS] / counts[:, None], counts, axis=0), grams, GRAMS)
+        g["vocab"] = scattered(d_inputs[:, LETTERS:], known, len(p["vocab"]))
         g["vocab"][0] = 0  # words outside the vocabulary are known by their letters only
         return loss, g
 
@@ -204,7 +217,7 @@ class Reader:
     def __init__(self, network: Network):
         self.network = network
         self.number: dict[str, int] = {}
-        self.table = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.table = np.zeros((2, 1024, 3 * HIDDEN), np.float32)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         new = list(set(words) - self.number.keys())
@@ -212,14 +225,15 @@ class Reader:
             if len(self.number) + len(new) > REMEMBERED:
                 self.number, new = {}, list(set(words))
             used = len(self.number)
-            if used + len(new) > len(self.table):
-                grown = np.zeros((max(2 * len(self.table), used + len(new)), 6 * HIDDEN), np.float32)
-                grown[:used] = self.table[:used]
+            size = self.table.shape[1]
+            if used + len(new) > size:
+                grown = np.zeros((2, max(2 * size, used + len(new)), 3 * HIDDEN), np.float32)
+                grown[:, :used] = self.table[:, :used]
                 self.table = grown
             for start in range(0, len(new), 8192):
                 some = new[start : start + 8192]
                 inputs, _ = self.network.word_inputs(some)
-                self.table[used + start : used + start + len(some)] = self.network.projections(inputs)
+                self.table[:, used + start : used + start + len(some)] = self.network.projections(inputs)
             self.number.update(zip(new, range(used, used + len(new)), strict=True))
         return np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
 
@@ -286,6 +300,32 @@ class Adam:
             parameters[name] -= (scale * m / (np.sqrt(v) + 1e-7)).astype(np.float32)
 
 
+def first_targets(rows: list[list[str]], owner: np.ndarray, windows: list[list[str]], toxic: np.ndarray) -> np.ndarray:
+    """Windows of toxic documents that hold a word whose n-grams tell toxic documents from clean ones: by the log-odds of
+    documents per n-gram, averaged over a word, above all but a hundredth of the clean windows."""
+    labels = np.zeros(len(rows), bool)
+    labels[owner] = toxic
+    seen = np.zeros((2, GRAMS))
+    for words, label in zip(rows, labels, strict=True):
+        seen[int(label), np.unique(gram_numbers(sorted(set(words)))[0])] += 1
+    odds = np.log((seen[1] + 0.5) / (labels.sum() + 1)) - np.log((seen[0] + 0.5) / ((~labels).sum() + 1))
+    names = sorted({w for words in rows for w in words})
+    grams, first = gram_numbers(names)
+    value = dict(zip(names, (np.add.reduceat(odds[grams], first) / np.diff(np.append(first, len(grams)))).tolist(), strict=True))
+    worst = np.array([max(value[w] for w in words) for words in windows])
+    return toxic & (worst > np.quantile(worst[~toxic], 0.99))
+
+
+def threshold(values: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut between two values that tells the classes apart with the fewest errors; of several, the widest gap's."""
+    order = np.argsort(values, kind="stable")
+    v, y = values[order].astype(float), toxic[order]
+    errors = np.cumsum(y)[:-1] + np.cumsum(~y[::-1])[::-1][1:]
+    gaps = np.diff(v)
+    at = min(np.flatnonzero(gaps > 0), key=lambda i: (errors[i], -gaps[i]), default=None)
+    return 0.0 if at is None else float((v[at] + v[at + 1]) / 2)
+
+
 def train(rows: list[tuple[str, int]], passes: int = PASSES, seed: int = 3) -> Network | None:
     """A network for (text, toxic) rows; nothing if one of the classes is missing."""
     labelled = [(w, int(y)) for w, y in ((words_of(t), y) for t, y in rows) if w]
@@ -294,35 +334,39 @@ def train(rows: list[tuple[str, int]], passes: int = PASSES, seed: int = 3) -> N
     in_texts = Counter(w for words, _ in labelled for w in set(words))
     common = sorted((w for w, n in in_texts.items() if n >= 5), key=lambda w: (-in_texts[w], w))[:VOCABULARY]
     network = Network({w: i + 1 for i, w in enumerate(common)}, seed)
-    rng, adam = np.random.default_rng(seed), Adam(0.004)
-    windows = [(i, words[s : s + WINDOW]) for i, (words, _) in enumerate(labelled) for s in starts_of(len(words))]
-    owner = np.array([i for i, _ in windows])
+    rng, adam = np.random.default_rng(seed), Adam(0.01)
+    pieces = [(i, words[s : s + WINDOW]) for i, (words, _) in enumerate(labelled) for s in starts_of(len(words))]
+    owner, windows = np.array([i for i, _ in pieces]), [w for _, w in pieces]
     toxic = np.array([labelled[i][1] for i in owner], bool)
-    target = toxic.copy()
+    target = first_targets([w for w, _ in labelled], owner, windows, toxic)
+    ranked = rng.random(len(windows))
     for turn in range(passes):
-        on, off = np.flatnonzero(toxic & target), np.flatnonzero(~toxic)
-        # as many clean windows as toxic ones, twice over; others in the next passes
-        off = rng.permutation(off)[: 2 * len(on)]
-        chosen = rng.permutation(np.concatenate((on, off)))
-        if turn >= passes - 2:
-            adam.rate = 0.001
-        for start in range(0, len(chosen), 256):
-            some = chosen[start : start + 256]
-            texts = [windows[i][1] for i in some]
-            names = sorted({w for t in texts for w in t})
+        on, off = np.flatnonzero(target), np.flatnonzero(~toxic)
+        half = min(len(on), len(off))
+        hardest = off[np.argsort(-ranked[off], kind="stable")]
+        clean = np.concatenate((hardest[:half], rng.permutation(hardest[half:])[:half]))
+        every = np.concatenate((on, clean))
+        epochs = max(1, -(-STEPS * TOGETHER // max(len(every), 1)))
+        chosen = np.concatenate([rng.permutation(every) for _ in range(epochs)])
+        if turn == passes - 1:
+            adam.rate = 0.003
+        for start in range(0, len(chosen), TOGETHER):
+            some = chosen[start : start + TOGETHER]
+            names = sorted({w for i in some for w in windows[i]})
             number = {w: i for i, w in enumerate(names)}
-            lengths = np.array([len(t) for t in texts])
-            numbers = np.zeros((len(texts), WINDOW), np.int64)
-            for row, t in zip(numbers, texts, strict=True):
-                row[: len(t)] = [number[w] for w in t]
+            lengths = np.array([len(windows[i]) for i in some])
+            numbers = np.zeros((len(some), WINDOW), np.int64)
+            for row, i in zip(numbers, some, strict=True):
+                row[: len(windows[i])] = [number[w] for w in windows[i]]
             _, gradients = network.gradients(names, numbers, lengths, target[some].astype(np.float32))
             adam.step(network.p, gradients)
         if turn < passes - 1:
-            reader = Reader(network)
-            found = np.concatenate(reader.logits([" ".join(words) for words, _ in labelled]))
+            ranked = np.concatenate(Reader(network).logits([" ".join(words) for words, _ in labelled]))
             worst = np.full(len(labelled), -np.inf, np.float32)
-            np.maximum.at(worst, owner, found)
-            target = toxic & ((found > 0) | (found == worst[owner]))
+            np.maximum.at(worst, owner, ranked)
+            target = toxic & ((ranked > 0) | (ranked == worst[owner]))
+    worst = np.array([x.max() for x in Reader(network).logits([" ".join(words) for words, _ in labelled])])
+    network.p["out_b"] -= np.float32(threshold(worst, np.array([y for _, y in labelled], bool)))
     return network
 
 
@@ -330,8 +374,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
-    """Learn from at most ``sample_rows`` labelled documents of each class that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Network | None:
+    """Learn from a bounded number of labelled documents of each class that are not held out."""
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
@@ -339,8 +383,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("toxic = 1").orderBy(*order).limit(sample_rows).unionByName(
-        known.where("toxic = 0").orderBy(*order).limit(sample_rows)
+    sample = known.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(
+        known.where("toxic = 0").orderBy(*order).limit(clean_rows)
     )
     chosen = texts(docs).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(sample), "doc_id")  # bounded by the sample
     # one row per document, in an order of its own, so that the same rows teach the same network

@@ -16,7 +16,7 @@ cut to what can be in the result before it is merged.
 Defined cases: rows with a null id take no part, as rows with a null label, vector or component and those with a
 component that is not finite. Vectors of unlike length are compared as if the shorter ended in zeros; an empty vector
 scores 0. Rows count one by one: an id that stands twice is two candidates, and an anchor that stands twice gives its
-rows twice; rows with the anchor's own id are never its candidates. Scores beyond 64 bits are returned as the nearest
+rows twice; rows with the anchor's own id are never its candidates. Scores beyond 64 bits count as the nearest
 64-bit number. Equal scores go by the smaller id. No anchors, no positives or no negatives give no rows; an empty
 table gives an empty result. Other columns are ignored.
 """
@@ -195,8 +195,11 @@ def best(scores, ids: np.ndarray, chosen: np.ndarray, k: int) -> np.ndarray:
     return chosen[np.lexsort((ids[chosen], -scores[chosen]))[:k]]
 
 
+LARGEST = 2**63 - 1
+
+
 def _long(score) -> int:
-    return max(-(2**63), min(2**63 - 1, int(score)))
+    return LARGEST if score >= LARGEST else max(-LARGEST - 1, int(score))
 
 
 class Part:
@@ -439,7 +442,8 @@ def negatives_of(stored: DataFrame, positives: DataFrame, space: Space) -> DataF
     anchors = stored.where(F.col("kind") == ANCHOR).join(asked, "rid")
 
     def windows(row):
-        return [(-(-p * NEAREST // 100), p) for p in row["wanted"]]
+        # a score at the end of the range may stand for a greater one
+        return [(-(-p * NEAREST // 100), p if p < LARGEST else float("inf")) for p in row["wanted"]]
 
     routed = route(stored, _ask(anchors, windows, ["wanted"]), space, False)
     return _first(search(stored, routed, space, False, NEGATIVES), ["rid", "wanted"], NEGATIVES)
