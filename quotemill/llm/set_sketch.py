@@ -44,7 +44,9 @@ IMPLAUSIBLE = 30.0
 # sets with similarity 0.75 agree in 96 registers on average, with a standard deviation below 5
 FEWEST_TIES = 70
 BLOCK_MEMBERS = 512
+BLOCK_SHINGLES = 2_000_000  # of the sets in a block, unless one set alone is larger
 LEADER_MEMBERS = 64
+BROADCAST_IDS = 4_000_000  # 64 MB as a hash table
 
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64)
 _XORS, _ODDS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -143,6 +145,15 @@ def _bands(classes: DataFrame, *more: str) -> DataFrame:
     return rows.select("doc_id", "band", *more, F.xxhash64("band", values).alias("bucket"))
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (one column, doc_id, distinct), before any text is moved.
+
+    Candidates are few beside the documents. Up to a known number their ids go to every task, which then reads its own
+    texts and passes on the candidates' alone; beyond it both sides are shuffled by id."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
 def _plausible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) that the sketches do not rule out."""
 
@@ -162,8 +173,7 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
         return work
 
-    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
-    return map_rows(pairs.join(side("b"), "b").join(side("a"), "a").where(near), "a long, b long", make)
+    return map_rows(pairs.join(side("b"), "b").join(side("a"), "a"), "a long, b long", make)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -179,7 +189,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = leaders.select("a", F.col("a").alias("b"), "nth", F.lit(0).alias("member")).union(
         dealt.select("a", "b", "nth", F.lit(1).alias("member"))
     )
-    rows = wanted.join(docs, F.col("b") == F.col("doc_id")).select("a", "b", "nth", "member", "text")
+    candidates = only(docs, wanted.select(F.col("b").alias("doc_id")).distinct())
+    rows = wanted.join(candidates, F.col("b") == F.col("doc_id")).select("a", "b", "nth", "member", "text")
     rows = rows.repartition("a", "nth").sortWithinPartitions("a", "nth", "member")
     schema = to_arrow_schema(spark.createDataFrame([], "a long, b long").schema)
 
@@ -232,7 +243,8 @@ def _apart(members: list[dict], key: tuple) -> np.ndarray:
 
 def _blocks(unsettled: DataFrame) -> DataFrame:
     """Members of a bucket in blocks of bounded size, once for each block that theirs is compared with."""
-    rows = unsettled.withColumn("blocks", F.expr(f"cast(ceil(members / {BLOCK_MEMBERS}) as int)"))
+    number = f"greatest(ceil(members / {BLOCK_MEMBERS}), ceil(shingles / {BLOCK_SHINGLES}))"
+    rows = unsettled.withColumn("blocks", F.expr(f"cast(least({number}, members) as int)"))
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
@@ -295,8 +307,7 @@ def _links_across(hopeful: DataFrame, body: DataFrame) -> DataFrame:
 
         return work
 
-    wanted = hopeful.select(F.col("doc_id").alias("wanted")).distinct()
-    held = body.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").dropDuplicates(["doc_id"])
+    held = only(body, hopeful.select("doc_id").distinct()).dropDuplicates(["doc_id"])
     sets = map_rows(held, "doc_id long, shingles binary", make)
 
     def compare(key: tuple, members: list[dict]) -> list[dict]:
@@ -324,17 +335,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "classes")
     one = classes.dropDuplicates(["doc_id"])
 
-    buckets = _bands(classes).drop("band")
-    heads = buckets.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("members")).where("members > 1")
-    pairs = buckets.join(heads, "bucket").where("doc_id <> head")
-    pairs = materialize(pairs.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    buckets = _bands(classes, "n_shingles")
+    heads = buckets.groupBy("bucket").agg(
+        F.min(F.struct("doc_id", "n_shingles")).alias("head"), F.count("*").alias("members")
+    ).where("members > 1")
+    # what shares no bucket is left behind here, and so is not dealt out again
+    shared = materialize(buckets.join(heads, "bucket"), "shared")
+    near = F.least("n_shingles", "head.n_shingles") * 100 >= F.greatest("n_shingles", "head.n_shingles") * 75
+    pairs = shared.where(F.col("doc_id") != F.col("head.doc_id")).where(near)
+    pairs = materialize(pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = materialize(verified(_plausible_pairs(pairs, one), body), "links")
 
     settled = _component_of(one, components(links))
-    spread = _bands(settled, "component")
+    spread = shared.select("bucket", "band", "doc_id").join(settled.select("doc_id", "n_shingles", "component"), "doc_id")
     mixed = spread.groupBy("bucket").agg(
-        F.count("*").alias("members"), F.min("component").alias("low_one"), F.max("component").alias("high_one")
-    ).where("low_one <> high_one").select("bucket", "members")
+        F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"),
+        F.min("component").alias("low_one"), F.max("component").alias("high_one"),
+    ).where("low_one <> high_one").select("bucket", "members", "shingles")
     unsettled = spread.join(mixed, "bucket").join(one.select("doc_id", "registers"), "doc_id")
     hopeful = materialize(_hopeful(unsettled), "hopeful")
     links = links.union(materialize(_links_across(hopeful, body), "links"))
