@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
@@ -176,3 +178,80 @@ def heartbeat(parsed: DataFrame, accepted: DataFrame, interval_ms: int = fv.HEAR
         (F.col("total_raw") - F.col("total_invalid") - F.col("total_accepted")).alias("duplicate"),
         F.col("total_invalid").alias("invalid"),
     )
+
+
+# The counters of a heartbeat line, in its order
+LINE = ("raw", "accepted", "duplicate", "invalid", "written", "conflicts", "dead_lettered", "dropped", "attempt_failures",
+        "reconnects")
+
+
+def heartbeat_line(parsed: DataFrame, loaded: DataFrame, found: DataFrame, names: list[str],
+                   interval_ms: int = fv.HEARTBEAT_MS, window_ms: int = fv.DEDUP_WINDOW_MS) -> DataFrame:
+    """All counters, the live keys and the state of every source at the end of each interval with messages.
+
+    Everything is a sum of changes: a key is +1 when its window opens and -1 when it ends, a source +1 when it connects
+    and -1 when it stalls, a failed batch +1 when its last tick has come. So the lines are running totals over one row
+    per interval; no key and no source is repeated per interval, and no interval looks anything up. What begins at the
+    very end of an interval belongs to the next, what ends there has ended.
+
+    ``loaded``: accepted ticks with ``outcome``, ``failure`` and ``batch_no``; ``found``: ``sessions`` of the same
+    messages; ``names``: the configured sources.
+    """
+    width = interval_ms * 1000
+    arrived = F.unix_micros("received_at")
+
+    def begins(at: Column) -> Column:
+        return floor_div(at, width)
+
+    def ends(at: Column) -> Column:
+        return floor_div(at - 1, width)
+
+    ups = {name.lower(): f"up_{n}" for n, name in enumerate(sorted(names, key=str.lower))}
+    sums = [c for c in LINE if c != "duplicate"] + ["live_keys", "messages", *ups.values()]
+
+    def changes(beat: Column, **columns: Column) -> list[Column]:
+        filled = [F.coalesce(columns.get(c, F.lit(0)).cast("long"), F.lit(0)).alias(c) for c in sums]
+        return [F.struct(beat.alias("beat"), *filled)]
+
+    def summed(rows: DataFrame, *structs: Column) -> DataFrame:
+        flat = rows.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
+        return flat.groupBy("beat").agg(*[F.sum(c).alias(c) for c in sums])
+
+    one = F.lit(1)
+    received = summed(
+        parsed.filter("status <> 'oversize'"),
+        *changes(begins(arrived), raw=one, messages=one, invalid=F.col("status") == "invalid"),
+    )
+    outcome = {
+        name: F.col("outcome") == value
+        for name, value in (("written", "written"), ("conflicts", "conflict"), ("dead_lettered", "dead_lettered"), ("dropped", "dropped"))
+    }
+    ended = summed(
+        loaded,
+        *changes(begins(arrived), accepted=one, live_keys=one, **outcome),
+        *changes(ends(arrived + window_ms * 1000), live_keys=F.lit(-1)),
+    )
+    failed = loaded.filter(F.col("failure").isNotNull()).groupBy("source", "batch_no").agg(F.max(arrived).alias("at"))
+    attempts = summed(failed, *changes(begins(F.col("at")), attempt_failures=one))
+    states = summed(
+        found,
+        *changes(begins(F.col("first_at")), reconnects=F.col("session_no") > 1,
+                 **{column: F.col("source") == name for name, column in ups.items()}),
+        *changes(ends(F.col("last_at") + F.col("timeout")),
+                 **{column: -(F.col("source") == name).cast("int") for name, column in ups.items()}),
+    )
+    every = reduce(DataFrame.unionByName, (received, ended, attempts, states)).groupBy("beat").agg(
+        *[F.sum(c).alias(c) for c in sums]
+    )
+    dated = every.withColumn("day", floor_div(F.col("beat") * width, DAY))
+    totals = running_total(dated, [], "day", ["beat"], {f"total_{c}": c for c in sums if c != "messages"})
+    counters = {c: F.col(f"total_{c}") for c in sums if c != "messages"}
+    counters["duplicate"] = counters["raw"] - counters["invalid"] - counters["accepted"]
+    words = [
+        F.concat(F.lit(f"{name}="), F.when(F.col(f"total_{column}") > 0, F.lit("up")).otherwise(F.lit("down")))
+        for name, column in ups.items()
+    ]
+    return totals.filter("messages > 0").select(
+        ((F.col("beat") + 1) * width).alias("at"), *[counters[c].alias(c) for c in LINE],
+        counters["live_keys"].alias("live_keys"), F.concat_ws(",", *words).alias("sources"),
+    )

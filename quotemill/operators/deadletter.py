@@ -45,3 +45,8 @@ def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
 def write_rejects(rejected: DataFrame, path: str, load_id: str) -> None:
     """Keep invalid messages with their reason; a repeated load replaces its own folder."""
     rejected.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")
+
+
+def write_oversize(messages: DataFrame, path: str, load_id: str) -> None:
+    """Keep what is known of messages above the size limit, and the beginning of each; a repeated load replaces its folder."""
+    messages.write.mode("overwrite").parquet(f"{path}/load_id={load_id}")

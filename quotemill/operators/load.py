@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions.moments import floor_div
 from ..schemas import MARKET_TICKS, TABLE_PARTITIONS
+from . import compaction
 from .dedup import first_per_id
 
 # Messages of the constraints, as the stored table reports them
@@ -101,14 +102,38 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The stored table; empty if nothing was loaded yet."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], table_schema())
-    return spark.read.schema(table_schema()).parquet(path)
+    return compaction.current(spark, path, spark.read.schema(table_schema()).parquet(path))
 
 
-def stored_days(spark: SparkSession, path: str) -> list[date]:
-    """Days that the stored table has folders for, from one listing."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date=*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return [date.fromisoformat(status.getPath().getName().split("=")[1]) for status in found]
+def compact_table(spark: SparkSession, path: str, before: date) -> int:
+    """Merge the load folders of the days before ``before``, none of which may be loaded again."""
+    return compaction.compact(spark, path, table_schema(), before)
+
+
+def folder_list(new: DataFrame) -> list[tuple[date, str]] | None:
+    """The (event_date, source) folders that ids of ``new`` can be stored in; nothing if there are too many to name, or
+    if a name is written differently in a path."""
+    found = new.select(F.to_date("event_time").alias("day"), "source").distinct().limit(FOLDER_LIMIT + 1).collect()
+    if len(found) > FOLDER_LIMIT or not all(PLAIN_NAME.fullmatch(row["source"]) for row in found):
+        return None
+    return [(row["day"], row["source"]) for row in found]
+
+
+def read_named(spark: SparkSession, path: str, folders: list[tuple[date, str]]) -> DataFrame:
+    """The stored rows in some folders. Each day is listed once, whatever the number of its sources."""
+    sources: dict[date, set[str]] = {}
+    for day, source in folders:
+        sources.setdefault(day, set()).add(source)
+    present_folders = []
+    for day, names in sources.items():
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day.isoformat()}/source=*")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        kept = {status.getPath().getName().split("=", 1)[1] for status in found} & names
+        present_folders += [f"{path}/event_date={day.isoformat()}/source={name}" for name in sorted(kept)]
+    if not present_folders:
+        return spark.createDataFrame([], table_schema())
+    found = spark.read.schema(table_schema()).option("basePath", path).parquet(*present_folders)
+    return compaction.current(spark, path, found)
 
 
 def read_folders(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
@@ -117,14 +142,8 @@ def read_folders(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     A short folder list, as a micro-batch has, is read directly, so the rest of the table is not even listed. For a
     long one the whole table is read and joined with the list.
     """
-    found = new.select(F.to_date("event_time").alias("day"), "source").distinct().limit(FOLDER_LIMIT + 1).collect()
-    if len(found) > FOLDER_LIMIT or not all(PLAIN_NAME.fullmatch(row["source"]) for row in found):
-        return candidates(read_table(spark, path), new)
-    folders = [f"{path}/event_date={row['day'].isoformat()}/source={row['source']}" for row in found]
-    present_folders = [folder for folder in folders if path_exists(spark, folder)]
-    if not present_folders:
-        return spark.createDataFrame([], table_schema())
-    return spark.read.schema(table_schema()).option("basePath", path).parquet(*present_folders)
+    folders = folder_list(new)
+    return candidates(read_table(spark, path), new) if folders is None else read_named(spark, path, folders)
 
 
 def absent(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -169,26 +188,27 @@ def load_outcome(routed: DataFrame, stored: DataFrame) -> DataFrame:
 def append_ticks(ticks: DataFrame, path: str, load_id: str) -> dict[str, int]:
     """Insert the ticks whose id is not stored; stored rows stay as they are.
 
-    Returns the attempted, written and conflict counts; what is written is counted while it is written. Rows go to folders of their own ``load_id`` and replace
+    Returns the attempted, written and conflict counts; what is written is counted in the footers of the files that the
+    load has left, so the new rows are computed once. Rows go to folders of their own ``load_id`` and replace
     them, and rows of the same ``load_id`` do not count as stored. So repeating a load, also one that broke off
     half-way, gives the same table and the same counts. Two loads must not run at the same time.
     """
     spark = ticks.sparkSession
-    stored = read_folders(spark, path, ticks).filter(F.col("load_id") != load_id)
-    new = absent(first_per_id(ticks), stored)
-    attempted = ticks.count()
-    if new.isEmpty():  # nothing to write, and nothing that could be observed
-        return {"attempted": attempted, "written": 0, "conflicts": attempted}
-    seen = Observation()
-    rows = table_row(new).withColumn("load_id", F.lit(load_id)).observe(seen, F.count(F.lit(1)).alias("written"))
+    folders = folder_list(ticks)
+
+    def held() -> DataFrame:
+        return candidates(read_table(spark, path), ticks) if folders is None else read_named(spark, path, folders)
+
+    new = absent(first_per_id(ticks), held().filter(F.col("load_id") != load_id))
     (
         # Gathers the rows of a folder into files of a good size, and splits folders that are too large for one task.
-        rows.hint("rebalance", "event_date", "source")
+        table_row(new).withColumn("load_id", F.lit(load_id)).hint("rebalance", "event_date", "source")
         .sortWithinPartitions("event_date", "source", "symbol", F.desc("event_time"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date", "source", "load_id")
         .parquet(path)
     )
-    written = seen.get["written"]
+    attempted = ticks.count()
+    written = held().filter(F.col("load_id") == load_id).count()
     return {"attempted": attempted, "written": written, "conflicts": attempted - written}

@@ -91,5 +91,5 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 
 def oversize(parsed: DataFrame) -> DataFrame:
-    """Messages above the size limit; they count neither as received nor as invalid."""
-    return parsed.filter(F.col("status") == "oversize").select("source_name", "received_at", "seq")
+    """Messages above the size limit, with their beginning; they count neither as received nor as invalid."""
+    return parsed.filter(F.col("status") == "oversize").select("source_name", "received_at", "seq", "payload")

@@ -13,6 +13,9 @@ from ..session import materialize, prepare
 from ..sources.registry import check_formats, registry
 
 
+HEAD = 1024  # characters of an oversize message that are kept
+
+
 @dataclass(frozen=True)
 class Flow:
     """The frames of one run; each holds all its rows."""
@@ -24,8 +27,11 @@ class Flow:
 
 
 def slim(parsed: DataFrame) -> DataFrame:
-    """Parsed rows with the payload kept only where it explains a rejection."""
-    return parsed.withColumn("payload", F.when(F.col("status") == "invalid", F.col("payload")))
+    """Parsed rows with the payload kept only where it explains a rejection, and the beginning of oversize ones."""
+    payload = F.col("payload")
+    return parsed.withColumn(
+        "payload", F.when(F.col("status") == "invalid", payload).when(F.col("status") == "oversize", F.left(payload, F.lit(HEAD)))
+    )
 
 
 def run(raw: DataFrame, options: Options = Options(), scope: str = "batch") -> Flow:

@@ -7,6 +7,7 @@ from ..config import Options
 WINDOW = 120_000_000
 IDLE = 1_800_000_000
 STABLE = 7_200_000_000
+DELAY = 600_000_000
 
 
 def _feed(extended: bool) -> str:
@@ -294,6 +295,7 @@ FROM (SELECT max(received_us) AS as_of_us FROM m) LEFT JOIN a ON received_us <=
     ),
     "dedup_in_batch": _with(f"SELECT id, seq, received_us FROM v {_FIRST}"),
     "idempotent_load": _with(f"SELECT {_VIEW}, 'first' AS load_id FROM t {_FIRST}", False, _ACCEPTED),
+    "compacted_table": _with(f"SELECT {_VIEW}, CAST(1 AS BIGINT) AS loads FROM t {_FIRST}", False, _ACCEPTED),
     "load_conflicts": _with(
         """SELECT source, count(*) AS attempted,
        CASE WHEN source = 'gamma' THEN count(DISTINCT id) ELSE 0 END AS written,
@@ -379,6 +381,42 @@ q AS (
   FROM m LEFT JOIN t ON t.seq = m.seq WHERE m.defect <> 'oversize' GROUP BY ALL
 )""",
     ),
+    "heartbeat_line": _with(
+        f"""SELECT ends AS at, CAST(sum(raw) OVER o AS BIGINT) AS raw, CAST(sum(accepted) OVER o AS BIGINT) AS accepted,
+       CAST(sum(raw - invalid - accepted) OVER o AS BIGINT) AS duplicate, CAST(sum(invalid) OVER o AS BIGINT) AS invalid,
+       CAST(sum(written) OVER o AS BIGINT) AS written, CAST(sum(conflict) OVER o AS BIGINT) AS conflicts,
+       CAST(sum(dead_lettered) OVER o AS BIGINT) AS dead_lettered, CAST(0 AS BIGINT) AS dropped,
+       (SELECT count(*) FROM tries WHERE tries.received_us < ends) AS attempt_failures,
+       (SELECT count(*) FROM s WHERE session_no > 1 AND first_at < ends) AS reconnects,
+       (SELECT count(*) FROM a WHERE received_us < ends AND received_us + {WINDOW} > ends) AS live_keys,
+       (SELECT string_agg(name || CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.source = name AND first_at < ends AND ends < last_at + {IDLE})
+                                       THEN '=up' ELSE '=down' END, ',' ORDER BY name)
+        FROM (VALUES ('alpha'), ('beta'), ('delta'), ('gamma')) names(name)) AS sources
+FROM beats WINDOW o AS (ORDER BY ends ROWS UNBOUNDED PRECEDING)""",
+        True,
+        _ACCEPTED,
+        _ROUTED,
+        _GAPS,
+        """
+tries AS (SELECT source, batch_no, max(received_us) AS received_us FROM r WHERE failure IS NOT NULL GROUP BY ALL),
+beats AS (
+  SELECT (m.received_us // 10000000 + 1) * 10000000 AS ends, count(*) AS raw, count(m.error) AS invalid, count(w.id) AS accepted,
+         count(*) FILTER (w.outcome = 'written') AS written, count(*) FILTER (w.outcome = 'conflict') AS conflict,
+         count(*) FILTER (w.outcome = 'dead_lettered') AS dead_lettered
+  FROM m LEFT JOIN w ON w.seq = m.seq WHERE m.defect <> 'oversize' GROUP BY ALL
+)""",
+    ),
+    "stored_audit": _with(
+        """SELECT m.source, m.received_us // 3600000000 AS hour, count(*) AS received, count(m.error) AS rejected,
+       count(*) - count(m.error) - count(w.id) AS duplicate, count(w.id) AS accepted,
+       count(*) FILTER (w.outcome = 'written') AS stored, count(*) FILTER (w.outcome = 'dead_lettered') AS buried,
+       count(*) FILTER (w.outcome = 'conflict') AS conflict, CAST(0 AS BIGINT) AS received_gap, true AS received_same,
+       CAST(0 AS BIGINT) AS accepted_gap, true AS accepted_same
+FROM m LEFT JOIN w ON w.seq = m.seq WHERE m.defect <> 'oversize' GROUP BY ALL""",
+        True,
+        _ACCEPTED,
+        _ROUTED,
+    ),
     "idle_gaps": _with(
         f"""SELECT source, previous AS stalled_after, received_us AS resumed_at, received_us - previous AS gap
 FROM p WHERE received_us - previous >= {IDLE}""",
@@ -452,6 +490,51 @@ FROM o""",
        count(*) - count(error) AS valid FROM m WHERE defect <> 'oversize' GROUP BY ALL""",
         True,
     ),
+    "stream_oversize": _with(
+        """SELECT source AS source_name, seq, received_us, CAST(1024 AS BIGINT) AS head FROM m WHERE defect = 'oversize'""", True
+    ),
+    "stream_two_checkpoints": _with(
+        """SELECT (received_us // 10000000 + 1) * 10000000 AS at, count(*) AS raw, count(error) AS invalid,
+       count(*) - count(error) AS valid FROM m WHERE defect <> 'oversize' GROUP BY ALL""",
+        True,
+    ),
+    "stream_windows": _with(
+        f"""SELECT source, kind, until AS at, count(*) AS messages FROM (
+  SELECT source, until, CASE WHEN until <= passed THEN 'late'
+                          WHEN until <= max(received_us) OVER (PARTITION BY source) - {DELAY} THEN 'closed' ELSE 'open' END AS kind
+  FROM placed LEFT JOIN marks USING (source, part)
+) GROUP BY ALL""",
+        True,
+        f"""
+ends AS (SELECT min(received_us) AS lo, greatest((max(received_us) - min(received_us)) // 4, 1) AS step FROM m),
+placed AS (
+  SELECT source, received_us, (received_us // 3600000000 + 1) * 3600000000 AS until,
+         least((received_us - lo) // step + CASE WHEN seq % 50 = 0 THEN 1 ELSE 0 END, 3) AS part
+  FROM m, ends
+),
+marks AS (
+  SELECT p.source, n.part, max(p.received_us) - {DELAY} AS passed
+  FROM placed p JOIN (VALUES (1), (2), (3)) n(part) ON p.part < n.part GROUP BY ALL
+)""",
+    ),
+    "stream_closed_sessions": _with(
+        f"""SELECT source, first_at, last_at, messages,
+       CASE WHEN last_at + {IDLE} <= max(last_at) OVER (PARTITION BY source) - {DELAY} THEN 'closed' ELSE 'open' END AS kind
+FROM s""",
+        False,
+        _GAPS,
+    ),
+    "stream_stalls": _with(
+        """SELECT source, connected, count(*) AS messages, NOT connected AS by_timer
+FROM m, (VALUES (true), (false)) c(connected) GROUP BY ALL""",
+        True,
+    ),
+    "stream_observed": _with(
+        """SELECT source, count(*) FILTER (defect <> 'oversize') AS raw,
+       count(*) FILTER (defect <> 'oversize' AND error IS NOT NULL) AS invalid,
+       count(*) FILTER (defect = 'oversize') AS oversize, count(*) FILTER (error IS NULL) AS valid FROM m GROUP BY source""",
+        True,
+    ),
     "stream_sessions": _with(
         f"""SELECT source, first_at, last_at, messages FROM s
 WHERE last_at + {IDLE} - 1 <= (SELECT (max(received_us) - 600000000) // 1000 * 1000 FROM m)""",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from datetime import timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,13 +13,13 @@ from .. import fixed_values as fv
 from ..config import DEFAULT_SOURCES, Options, Source
 from ..functions.identity import tick_id
 from ..functions.text import canonical_decimal, decimal_from_text
-from ..operators import access, accounting, activity, dedup, formats, load, normalize
+from ..operators import access, accounting, activity, audit, dedup, formats, load, normalize
 from ..operators.deadletter import append_dead_letters, dead_letters, read_dead_letters, write_rejects
 from ..session import materialize, prepare, work_folder
 from ..sources import tables
 from ..sources.feeds import stream_messages, union_of
 from ..sources.registry import check_formats, check_registry, registry, with_source
-from ..streaming import metrics
+from ..streaming import metrics, observed, watermarked
 from ..streaming.ingest import Ingest
 from ..streaming.writer import COUNTED, BatchWriter
 from . import flow
@@ -205,6 +207,19 @@ def idempotent_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.read_table(spark, path).select(*_view(), "load_id")
 
 
+def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after four loads and a merge of its folders, and how many loads each folder is left with."""
+    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    path = work_folder(spark, "ticks")
+    for n in range(4):
+        load.append_ticks(accepted.filter(F.col("seq") % 40 < 10 * (n + 1)), path, f"load-{n}")
+    last = load.read_table(spark, path).agg(F.max("event_date")).first()[0]
+    load.compact_table(spark, path, last + timedelta(days=1))
+    table = load.read_table(spark, path)
+    folders = table.groupBy("event_date", "source").agg(F.count_distinct("load_id").alias("loads"))
+    return table.join(folders, ["event_date", "source"]).select(*_view(), "loads")
+
+
 def load_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of loading all ticks into a table that holds those of alpha and beta."""
     accepted = materialize(_accepted(spark, sf_dir), "accepted")
@@ -317,6 +332,25 @@ def heartbeat_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.heartbeat(run.parsed, run.accepted)
 
 
+def heartbeat_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counter, the live keys and all source states at the end of each interval with messages."""
+    run = _flow(spark, sf_dir, extended=True)
+    found = activity.sessions(raw_feed(spark, sf_dir, True), _sources(spark, ACTIVITY_SOURCES))
+    loaded = materialize(flow.outcomes(run, flow.empty_table(spark)), "loaded")
+    return activity.heartbeat_line(run.parsed, loaded, found, [s.name for s in ACTIVITY_SOURCES])
+
+
+def stored_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balance of what the continuous job has stored, per source and hour, by fingerprints of the rows."""
+    prepare(spark)
+    root = work_folder(spark, "ingest")
+    raw = tables.raw_from_events(tables.stream_events(spark, sf_dir), extended=True)
+    job = Ingest(root, ledger_hours=None)
+    job.start(raw, f"{root}/checkpoint").awaitTermination()
+    again = normalize.parse(raw_feed(spark, sf_dir, True), _sources(spark))
+    return audit.balance(job.fingerprints(again))
+
+
 def idle_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.idle_gaps(raw_feed(spark, sf_dir), _sources(spark, ACTIVITY_SOURCES))
 
@@ -418,6 +452,16 @@ def stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load.read_table(spark, f"{root}/ticks").select(*_view())
 
 
+def stream_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the continuous job keeps of messages above the size limit."""
+    prepare(spark)
+    root = work_folder(spark, "ingest")
+    raw = tables.raw_from_events(tables.stream_events(spark, sf_dir), extended=True)
+    Ingest(root).start(raw, f"{root}/checkpoint").awaitTermination()
+    kept = spark.read.parquet(f"{root}/oversize")
+    return kept.select("source_name", "seq", _micros("received_at", "received_us"), F.length("payload").cast("long").alias("head"))
+
+
 def stream_new_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table after one half of the feed came through one checkpoint and the rest through another.
 
@@ -457,7 +501,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_feed(spark, sf_dir)
     ends = raw.agg(F.min("received_at").alias("lo"), F.max("received_at").alias("hi")).first()
     step = (ends["hi"] - ends["lo"]) / 4
-    job = Ingest(root)
+    job = Ingest(root, ledger_hours=None)
     for part in range(4):
         low, high = ends["lo"] + part * step, ends["lo"] + (part + 1) * step
         inside = (F.col("received_at") >= F.lit(low)) if part else F.lit(True)
@@ -493,6 +537,108 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_all_sessions(spark, sf_dir).filter("ended").drop("ended")
 
 
+def _in_parts(spark: SparkSession, raw: DataFrame, landing: str, after: Callable[[], None], delayed: int = 0) -> None:
+    """Land the feed in four parts of equal time, oldest first, and do something after each. Every ``delayed``-th message
+    comes one part later than it should."""
+    ends = raw.agg(F.min(F.unix_micros("received_at")).alias("lo"), F.max(F.unix_micros("received_at")).alias("hi")).first()
+    step = max((ends["hi"] - ends["lo"]) // 4, 1)
+    part = F.expr(f"(unix_micros(received_at) - {ends['lo']}) div {step}")
+    if delayed:
+        part = part + F.when(F.col("seq") % delayed == 0, 1).otherwise(0)
+    for n in range(4):
+        raw.filter(F.least(part, F.lit(3)) == n).write.mode("append").parquet(landing)
+        after()
+
+
+def stream_two_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval counts after one half of the feed came through one checkpoint and the rest through another."""
+    prepare(spark)
+    root = work_folder(spark, "heartbeat")
+    raw = tables.raw_from_events(tables.stream_events(spark, sf_dir), extended=True)
+    for half in range(2):
+        parsed = normalize.parse(raw.filter(F.col("seq") % 2 == half), _sources(spark))
+        parts = metrics.run_in_parts(parsed, metrics.heartbeat_part, f"{root}/parts", f"{root}/checkpoint-{half}")
+    return metrics.heartbeat_counts(parts)
+
+
+LATE_EVERY, WINDOW_MS = 50, 3_600_000
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts that close behind a watermark, from micro-batches with late messages; none is lost."""
+    prepare(spark)
+    root = work_folder(spark, "windows")
+    landing = f"{root}/landing"
+
+    def run() -> None:
+        stream = watermarked.tumbling_counts(stream_messages(spark, landing), _sources(spark), WINDOW_MS)
+        metrics.run_in_parts(stream, lambda rows: rows, f"{root}/rows", f"{root}/checkpoint")
+
+    _in_parts(spark, raw_feed(spark, sf_dir, True), landing, run, LATE_EVERY)
+    return watermarked.current(metrics.read_parts(spark, f"{root}/rows"), ["at"])
+
+
+def stream_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each source that its own watermark has closed, and those still open."""
+    prepare(spark)
+    root = work_folder(spark, "sessions")
+    landing = f"{root}/landing"
+
+    def run() -> None:
+        stream = watermarked.session_activity(stream_messages(spark, landing), _sources(spark, ACTIVITY_SOURCES))
+        metrics.run_in_parts(stream, lambda rows: rows, f"{root}/rows", f"{root}/checkpoint")
+
+    _in_parts(spark, raw_feed(spark, sf_dir), landing, run)
+    return watermarked.current(metrics.read_parts(spark, f"{root}/rows"), ["first_at", "last_at"])
+
+
+STALL_MS = 1_500
+
+
+def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connection changes of the sources: each connects with its messages and is found silent by a timer, without any."""
+    prepare(spark)
+    root = work_folder(spark, "stalls")
+    sources = tuple(Source(s.name, s.format, STALL_MS) for s in DEFAULT_SOURCES)
+    raw = tables.raw_from_events(tables.stream_events(spark, sf_dir), extended=True)
+    changes = watermarked.connection_changes(raw, _sources(spark, sources))
+    query = metrics.start_parts(
+        changes, lambda rows: rows, f"{root}/rows", f"{root}/checkpoint", "2 seconds", drop_empty=True
+    )
+
+    def all_silent() -> bool:
+        if not metrics.has_parts(spark, f"{root}/rows"):
+            return False
+        states = watermarked.last_states(metrics.read_parts(spark, f"{root}/rows"))
+        return states.agg(F.bool_and(~F.col("connected")).alias("all")).first()["all"]
+
+    until = time.monotonic() + 300
+    try:
+        # timers make batches for ever, so the end is seen in the results
+        while query.isActive and time.monotonic() < until and not all_silent():
+            time.sleep(1)
+    finally:
+        metrics.stop_between_batches(query)
+    found = metrics.read_parts(spark, f"{root}/rows")
+    return found.select("source", "connected", "messages", "by_timer")
+
+
+def stream_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per source as a listener sees them while interval counts are made; no job counts them."""
+    prepare(spark)
+    root = work_folder(spark, "observed")
+    raw = tables.raw_from_events(tables.stream_events(spark, sf_dir), extended=True)
+    listener = observed.Counters()
+    query = observed.counted(
+        normalize.parse(raw, _sources(spark)), DEFAULT_SOURCES, metrics.heartbeat_part, f"{root}/parts", f"{root}/checkpoint", listener
+    )
+    try:
+        listener.wait_for(query)
+    finally:
+        spark.streams.removeListener(listener)
+    return listener.totals(spark)
+
+
 def _bulk_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.raw_from_lineitem(tables.read_lines(prepare(spark), sf_dir))
 
@@ -544,12 +690,13 @@ QUERIES: dict[str, Query] = {
         query.__name__: query
         for query in (
             tick_identity, decimal_text, decimal_canonical, json_strictness, message_guard, tick_rejects_by_reason,
-            reject_sink, source_lookup, dedup_window, dedup_live_keys, dedup_in_batch, idempotent_load,
+            reject_sink, source_lookup, dedup_window, dedup_live_keys, dedup_in_batch, idempotent_load, compacted_table,
             load_conflicts, resilient_write, constraint_violations, dead_letter_batches, dead_letter_records, outcomes_by_source,
             outcome_counters, reconciliation, heartbeat_10s, idle_gaps, source_sessions, flap_streaks, reconnects,
             source_health, source_states, instrument_history, latest_ticks, latest_per_instrument, replay_slice,
-            payload_roundtrip, stream_ticks, stream_new_checkpoint, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,
-            stream_all_sessions,
+            payload_roundtrip, stream_ticks, stream_oversize, stream_new_checkpoint, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,
+            stream_all_sessions, heartbeat_line, stored_audit, stream_two_checkpoints, stream_windows, stream_closed_sessions,
+            stream_stalls, stream_observed,
             bulk_identity, bulk_outcomes, bulk_latest_per_instrument, bulk_heartbeat,
         )
     },

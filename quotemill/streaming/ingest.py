@@ -7,17 +7,18 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Options
-from ..operators import dedup, normalize
-from ..operators.deadletter import write_rejects
+from ..operators import audit, dedup, load, normalize
+from ..operators.deadletter import read_dead_letters, write_oversize, write_rejects
 from ..operators.formats import FORMATS
 from ..plans.flow import slim
-from ..schemas import TICK
+from ..schemas import DEAD_LETTER, TICK
 from ..session import materialize, prepare, scratch
 from ..sources.feeds import with_sequence
 from ..sources.registry import check_formats, registry
 from .writer import BatchWriter
 
 LEDGER = "id string, anchor_at timestamp, stream string, last_hour string, run string, batch_no bigint"
+LEDGER_HOURS = 24  # how far arrivals of one stream may lie apart between micro-batches
 # Spark keeps it in the checkpoint and sets it while a micro-batch runs
 QUERY_ID = "sql.streaming.queryId"
 COUNTS = (
@@ -33,7 +34,7 @@ def _hour(micros: int) -> str:
 class Ingest:
     """Processes micro-batches into the folders below ``root``.
 
-    ticks/ is the stored table, ledger/ holds the accepted arrivals that still suppress copies, rejected/ and
+    ticks/ is the stored table, ledger/ holds the accepted arrivals that still suppress copies, rejected/, oversize/ and
     dead_letter/ the failures, outcomes/ one row of counts per batch. Everything a batch writes lies in folders named
     after the stream, run and batch, so a replayed batch replaces its own output and nothing else. The run is the id of
     the streaming query, which lives in its checkpoint: a new checkpoint numbers its batches from 0 again, but never
@@ -42,13 +43,16 @@ class Ingest:
     The micro-batch is the unit that fails: blocks of the arrival sequence are cut inside it, so a block that a trigger
     splits in two is judged as two.
 
+    The ledger is the state of the job. It is dropped behind the window, ``ledger_hours`` further back than the oldest
+    arrival of a batch, as arrivals of a stream that are read again or out of order may come that late. None keeps it all.
+
     Sources never share an id. One query over the union of sources and one query per source (each with its own
     ``stream`` name) fill the same folders with the same ticks; the second keeps a failing source from stopping the
     others.
     """
 
     def __init__(self, root: str, stream: str = "all", options: Options = Options(), writer: BatchWriter | None = None,
-                 ledger_hours: int | None = None):
+                 ledger_hours: int | None = LEDGER_HOURS):
         self.root = root.rstrip("/")
         self.stream = stream
         self.options = options.check()
@@ -74,6 +78,25 @@ class Ingest:
     def outcomes(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(COUNTS).json(f"{self.root}/outcomes")
 
+    def fingerprints(self, parsed: DataFrame) -> DataFrame:
+        """What became of messages, read and parsed again, by the rows in the folders of this job: for :mod:`..operators.audit`.
+
+        Needs the ledger of all their hours, so a job whose ledger is kept (``ledger_hours=None``) or messages this young."""
+        spark = parsed.sparkSession
+
+        def read(folder: str, empty: DataFrame) -> DataFrame:
+            path = f"{self.root}/{folder}"
+            return spark.read.schema(empty.schema).parquet(path) if load.path_exists(spark, path) else empty
+
+        rejected = read("rejected", spark.createDataFrame([], normalize.rejects(parsed).schema))
+        letters = f"{self.root}/dead_letter"
+        found = load.path_exists(spark, letters)
+        buried = read_dead_letters(spark, letters) if found else spark.createDataFrame([], DEAD_LETTER)
+        return audit.outputs(
+            parsed, rejected, self.ledger(spark).select("id", "anchor_at"), load.read_table(spark, f"{self.root}/ticks"), buried,
+            self.options.dedup_window_ms,
+        )
+
     def process(self, raw: DataFrame, batch_no: int, run: str | None = None) -> None:
         """One micro-batch. A plain batch job names its own ``run``; the same run and number mean the same input."""
         spark = prepare(raw.sparkSession)
@@ -103,6 +126,8 @@ class Ingest:
                   "accepted": 0, "duplicate": 0}
         if totals["invalid"]:
             write_rejects(normalize.rejects(parsed), f"{self.root}/rejected", load_id)
+        if totals["oversize"]:
+            write_oversize(normalize.oversize(parsed), f"{self.root}/oversize", load_id)
         if totals["valid"]:
             accepted = self._deduplicate(ticks, totals["first_at"], totals["last_at"], batch_no, run)
             counts["accepted"] = accepted.count()

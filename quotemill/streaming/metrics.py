@@ -1,17 +1,20 @@
 """Feed metrics as streams, by arrival time, never by event time.
 
 Each micro-batch leaves a small summary that can be merged with those of all others in any order. Results are made from
-the merged summaries, so rows count however late they arrive, and no state has to be closed first."""
+the merged summaries, so rows count however late they arrive, and no state has to be closed first. Streams that do close
+their windows, and count what comes too late for them, are in :mod:`quotemill.streaming.watermarked`."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions.moments import floor_div
 from ..operators import activity
+from .ingest import QUERY_ID
 
 DELAY_MS = 600_000
 
@@ -46,17 +49,51 @@ def session_activity(parts: DataFrame, delay_ms: int = DELAY_MS) -> DataFrame:
     )
 
 
-def run_in_parts(stream: DataFrame, summary: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
-    """Run over what is available and return the summaries of all micro-batches so far, each in a folder that is
-    replaced when the batch runs again."""
-    def keep(rows: DataFrame, batch_no: int) -> None:
-        summary(rows).write.mode("overwrite").parquet(f"{path}/part={batch_no}")
+def start_parts(stream: DataFrame, summary: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                interval: str | None = None, drop_empty: bool = False):
+    """Keep a summary of every micro-batch in a folder of its own, which is replaced when the batch runs again.
 
-    query = (
+    A folder is named after the run and the batch. The run is the id of the streaming query, which lives in its
+    checkpoint, so a new checkpoint, whose batches count from 0 again, adds to what is there. Without an ``interval``
+    the query processes what is available and stops. ``drop_empty`` is for streams whose timers make batches without
+    messages: a batch without rows leaves no folder."""
+    def keep(rows: DataFrame, batch_no: int) -> None:
+        spark = rows.sparkSession
+        run = spark.sparkContext.getLocalProperty(QUERY_ID)
+        folder = f"{path}/run={run}/part={batch_no}"
+        summary(rows).write.mode("overwrite").parquet(folder)
+        if drop_empty and spark.read.parquet(folder).isEmpty():
+            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
+    return (
         stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
-    query.awaitTermination()
-    return stream.sparkSession.read.parquet(path).drop("part")
+
+
+def stop_between_batches(query, seconds: float = 60) -> None:
+    """Stop a query while no micro-batch runs; one that is cut off would only be run again, but with errors in the log."""
+    until = time.monotonic() + seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < until:
+        time.sleep(0.02)
+    query.stop()
+
+
+def has_parts(spark: SparkSession, path: str) -> bool:
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*/part=*/_SUCCESS")
+    return bool(pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern))
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The summaries of all micro-batches so far."""
+    return spark.read.option("basePath", path).parquet(f"{path}/run=*").drop("run", "part")
+
+
+def run_in_parts(stream: DataFrame, summary: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+    """Run over what is available and return the summaries of all micro-batches so far, of earlier runs too."""
+    start_parts(stream, summary, path, checkpoint).awaitTermination()
+    return read_parts(stream.sparkSession, path)

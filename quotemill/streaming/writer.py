@@ -103,7 +103,7 @@ class BatchWriter:
         checked = load.check_constraints(load.assign_batches(accepted, self.options.batch_size))
         routed = load.route(checked, self.scope)
         failed = routed.filter(F.col("failure").isNotNull())
-        batches, rows = load.failed_batches(routed).count(), failed.count()
+        batches, rows = failed.agg(F.count_distinct("source", "batch_no"), F.count(F.lit(1))).first()
         if not rows:
             return accepted
         counts["attempt_failures"] += batches
