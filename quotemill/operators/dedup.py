@@ -224,3 +224,21 @@ def live_keys(accepted: DataFrame, as_of: Column, window_ms: int = fv.DEDUP_WIND
     return accepted.filter((arrived <= now) & (arrived > now - window_ms * 1000)).agg(
         F.count(F.lit(1)).alias("live_keys")
     )
+
+
+# HyperLogLog registers are 2^SKETCH_BITS; the relative standard error of an estimate is 1.04 / sqrt(2^SKETCH_BITS) = 1.6 %
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def key_sketches(accepted: DataFrame, interval_ms: int) -> DataFrame:
+    """One mergeable sketch of the ids per source and interval of arrival: a few kilobytes, whatever the number of ids.
+
+    Sketches of intervals, of micro-batches or of sources merge into those of their union (:func:`estimated_keys`)."""
+    at = floor_div(_micros("received_at"), interval_ms * 1000)
+    return accepted.groupBy("source", at.alias("interval")).agg(F.hll_sketch_agg("id", SKETCH_BITS).alias("sketch"))
+
+
+def estimated_keys(sketches: DataFrame, *groups: str | Column) -> DataFrame:
+    """Distinct ids of all sketches of a group, with the error stated at ``SKETCH_ERROR``; ids in several count once."""
+    return sketches.groupBy(*groups).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("keys"))

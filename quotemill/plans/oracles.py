@@ -295,6 +295,16 @@ FROM (SELECT max(received_us) AS as_of_us FROM m) LEFT JOIN a ON received_us <=
     ),
     "dedup_in_batch": _with(f"SELECT id, seq, received_us FROM v {_FIRST}"),
     "idempotent_load": _with(f"SELECT {_VIEW}, 'first' AS load_id FROM t {_FIRST}", False, _ACCEPTED),
+    "estimated_keys": _with(
+        "SELECT source, received_us // 86400000000 AS day, count(DISTINCT id) AS keys, true AS near FROM t GROUP BY ALL", False, _ACCEPTED
+    ),
+    "lost_messages": """
+WITH c AS (
+  SELECT CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS source, event_id // 3 AS n
+  FROM events WHERE event_id % 61 > 2 AND event_id % 1000 >= 40
+),
+p AS (SELECT source, n, lag(n) OVER (PARTITION BY source ORDER BY n) AS previous FROM c)
+SELECT source, previous + 1 AS first_missing, n - 1 AS last_missing, n - previous - 1 AS missing FROM p WHERE n - previous > 1""",
     "compacted_table": _with(f"SELECT {_VIEW}, CAST(1 AS BIGINT) AS loads FROM t {_FIRST}", False, _ACCEPTED),
     "load_conflicts": _with(
         """SELECT source, count(*) AS attempted,

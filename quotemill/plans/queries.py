@@ -13,7 +13,7 @@ from .. import fixed_values as fv
 from ..config import DEFAULT_SOURCES, Options, Source
 from ..functions.identity import tick_id
 from ..functions.text import canonical_decimal, decimal_from_text
-from ..operators import access, accounting, activity, audit, dedup, formats, load, normalize
+from ..operators import access, accounting, activity, audit, dedup, formats, load, normalize, sequence
 from ..operators.deadletter import append_dead_letters, dead_letters, read_dead_letters, write_rejects
 from ..session import materialize, prepare, work_folder
 from ..sources import tables
@@ -192,6 +192,28 @@ def dedup_live_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def estimated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ids per source and day: the exact number, and whether the one from merged hourly sketches is near it."""
+    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    sketches = dedup.key_sketches(accepted, 3_600_000)
+    day = F.expr("interval div 24").alias("day")
+    estimated = dedup.estimated_keys(sketches, "source", day)
+    arrived = F.expr(f"unix_micros(received_at) div {activity.DAY}").alias("day")
+    exact = accepted.groupBy("source", arrived).agg(F.count_distinct("id").alias("keys"))
+    off = F.abs(F.col("estimate") - F.col("keys")) <= F.ceil(4 * dedup.SKETCH_ERROR * F.col("keys"))
+    return exact.join(estimated.withColumnRenamed("keys", "estimate"), ["source", "day"]).select("source", "day", "keys", off.alias("near"))
+
+
+def lost_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing ranges in the numbers of a collector that lost some events of every source on the way."""
+    events = tables.read_events(prepare(spark), sf_dir)
+    came = events.filter((F.col("event_id") % 61 > 2) & (F.col("event_id") % 1000 >= 40))
+    messages = came.select(
+        tables._pick(F.col("event_id") % 3, tables.SOURCE_NAMES).alias("source_name"), F.expr("event_id div 3").alias("seq")
+    )
+    return sequence.missing_ranges(messages)
+
+
 def dedup_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of rows with one id, the earliest."""
     found = dedup.first_per_id(normalize.ticks(_parsed(spark, sf_dir)))
@@ -690,7 +712,7 @@ QUERIES: dict[str, Query] = {
         query.__name__: query
         for query in (
             tick_identity, decimal_text, decimal_canonical, json_strictness, message_guard, tick_rejects_by_reason,
-            reject_sink, source_lookup, dedup_window, dedup_live_keys, dedup_in_batch, idempotent_load, compacted_table,
+            reject_sink, source_lookup, dedup_window, dedup_live_keys, estimated_keys, lost_messages, dedup_in_batch, idempotent_load, compacted_table,
             load_conflicts, resilient_write, constraint_violations, dead_letter_batches, dead_letter_records, outcomes_by_source,
             outcome_counters, reconciliation, heartbeat_10s, idle_gaps, source_sessions, flap_streaks, reconnects,
             source_health, source_states, instrument_history, latest_ticks, latest_per_instrument, replay_slice,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import T0
 from quotemill.config import DEFAULT_SOURCES, Options, Source
-from quotemill.operators import activity, audit, compaction, load, normalize
+from quotemill.operators import activity, audit, compaction, dedup, load, normalize, sequence
 from quotemill.session import work_folder
 from quotemill.sources import feeds
 from quotemill.sources.registry import registry
@@ -331,3 +331,22 @@ def test_a_compaction_that_stops_leaves_every_row_once(spark, tmp_path, monkeypa
     assert {(r.event_date.day - T0.day, r.n > 1) for r in folders} == {(0, False), (1, True)}
     assert not load.path_exists(spark, f"{path}/_compacted")
     assert load.compact_table(spark, path, T0.date()) == 0
+
+
+def test_missing_ranges_inside_and_between_blocks(spark, raw_rows):
+    numbers = [5, 6, 6, 9, 65_535, 65_536, 65_540, 400_000, 5 + 65_536 * 65_536 * 2, -3]
+    rows = [("Alpha ", "{x", i, n) for i, n in enumerate(numbers)] + [("beta", "{x", 0, 7)]
+    random.Random(1).shuffle(rows)
+    got = sequence.missing_ranges(raw_rows(rows).repartition(4)).collect()
+    ordered = sorted(set(numbers))
+    expected = {("alpha", a + 1, b - 1, b - a - 1) for a, b in zip(ordered, ordered[1:], strict=False) if b - a > 1}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    assert sequence.missing_ranges(raw_rows(rows).limit(0)).count() == 0
+
+
+def test_sketches_merge_to_the_union(spark):
+    rows = [(f"id{n}", "beta", T0 + timedelta(seconds=n)) for n in range(20_000)] + [(f"id{n}", "beta", T0 + timedelta(hours=20)) for n in range(9000)]
+    sketches = dedup.key_sketches(spark.createDataFrame(rows, "id string, source string, received_at timestamp"), 600_000)
+    found = dedup.estimated_keys(sketches, "source").first()
+    assert abs(found["keys"] - 20_000) <= 4 * dedup.SKETCH_ERROR * 20_000
+    assert sketches.agg(F.max(F.length("sketch"))).first()[0] < 5000
