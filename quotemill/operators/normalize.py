@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
@@ -40,9 +42,11 @@ def with_id(ticks: DataFrame, where: Column) -> DataFrame:
 
 
 def parse(raw: DataFrame, sources: DataFrame, formats: dict[str, WireFormat] = FORMATS,
-          max_bytes: int = fv.MAX_MESSAGE_BYTES) -> DataFrame:
+          max_bytes: int = fv.MAX_MESSAGE_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """Raw messages to parsed rows: the message columns, the tick columns and ``status``/``error``.
 
+    ``carry`` names further columns of ``raw`` that stay as they are, whatever the message holds.
+
     ``status`` is ``valid``, ``invalid`` (counted as received, with the reason in ``error``) or ``oversize``
     (never counted as received). One narrow pass, no shuffle: the registry is joined by broadcast.
     """
@@ -77,6 +81,7 @@ def parse(raw: DataFrame, sources: DataFrame, formats: dict[str, WireFormat] = F
         F.timestamp_micros(F.when(F.col("error").isNull(), F.col("micros"))).alias("event_time"),
         "event_ticks",
         "source",
+        *carry,
     )
 
 

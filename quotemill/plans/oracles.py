@@ -305,6 +305,10 @@ WITH c AS (
 ),
 p AS (SELECT source, n, lag(n) OVER (PARTITION BY source ORDER BY n) AS previous FROM c)
 SELECT source, previous + 1 AS first_missing, n - 1 AS last_missing, n - previous - 1 AS missing FROM p WHERE n - previous > 1""",
+    "payload_ids": """
+SELECT source_name, count(*) AS ticks,
+       count(*) FILTER (source_name = 'alpha' OR (epoch_us(ts) * 10 + event_id % 10) % 10000 = 0) AS same
+FROM events, (VALUES ('alpha'), ('beta'), ('gamma')) f(source_name) WHERE value > 0 GROUP BY source_name""",
     "compacted_table": _with(f"SELECT {_VIEW}, CAST(1 AS BIGINT) AS loads FROM t {_FIRST}", False, _ACCEPTED),
     "load_conflicts": _with(
         """SELECT source, count(*) AS attempted,

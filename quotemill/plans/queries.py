@@ -443,25 +443,47 @@ def replay_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source_name", "position", "seq", _micros("received_at", "received_us"))
 
 
-def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tick written in every wire format and read back."""
-    found = normalize.ticks(_parsed(spark, sf_dir))
-    every = found.withColumn("format", F.explode(F.array(*[F.lit(f) for f in formats.FORMATS])))
+def _written_and_read(spark: SparkSession, quotes: DataFrame) -> DataFrame:
+    """Per format: quotes written in it, and how many of them come back with the same content and id.
+
+    What was sent travels with each message, so nothing is joined. ``quotes``: symbol, price, volume, event_time,
+    event_ticks, received_at, seq."""
+    every = quotes.withColumn("format", F.explode(F.array(*[F.lit(f) for f in formats.FORMATS])))
+    source = F.split_part("format", F.lit("-"), F.lit(1))
+    content = ["symbol", "price", "volume", "event_time", "event_ticks"]
+    expected = tick_id(source, *[F.col(c) for c in ("symbol", "price", "volume", "event_ticks")])
     written = formats.encode(every).select(
-        F.split_part("format", F.lit("-"), F.lit(1)).alias("source_name"),
+        source.alias("source_name"),
         "payload",
         F.lit(fv.TEXT_MESSAGE).alias("message_type"),
         "received_at",
         "seq",
-        F.struct("symbol", "price", "volume", "event_time").alias("sent"),
+        F.struct(*content, expected.alias("id")).alias("sent"),
     )
-    read = normalize.parse(written.drop("sent"), _sources(spark))
-    sent = written.select("source_name", "seq", "sent")
-    got = read.select("source_name", "seq", "status", F.struct("symbol", "price", "volume", "event_time").alias("got"))
-    return sent.join(got, ["source_name", "seq"]).groupBy("source_name").agg(
-        F.count(F.lit(1)).alias("ticks"),
-        F.count(F.when((F.col("status") == "valid") & (F.col("sent") == F.col("got")), 1)).alias("same"),
+    read = normalize.parse(written, _sources(spark), carry=["sent"])
+    same = (F.col("status") == "valid") & (F.col("sent") == F.struct(*content, "id"))
+    return read.groupBy("source_name").agg(F.count(F.lit(1)).alias("ticks"), F.count(F.when(same, 1)).alias("same"))
+
+
+def payload_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick written in every wire format and read back."""
+    return _written_and_read(spark, normalize.ticks(_parsed(spark, sf_dir)))
+
+
+def payload_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a feed in steps of 100 ns, which only the first format can carry."""
+    events = tables.read_events(prepare(spark), sf_dir).filter("value > 0")
+    moment = F.col("ts").cast("timestamp")
+    quotes = events.select(
+        F.lit("EURUSD").alias("symbol"),
+        F.col("value").cast("decimal(18,2)").cast(fv.FLIGHT_DECIMAL).alias("price"),
+        F.lit(1).cast(fv.FLIGHT_DECIMAL).alias("volume"),
+        moment.alias("event_time"),
+        (F.unix_micros(moment) * fv.TICKS_PER_MICRO + F.col("event_id") % 10 + fv.TICKS_AT_UNIX_EPOCH).alias("event_ticks"),
+        moment.alias("received_at"),
+        F.col("event_id").alias("seq"),
     )
+    return _written_and_read(spark, quotes)
 
 
 def stream_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -716,7 +738,7 @@ QUERIES: dict[str, Query] = {
             load_conflicts, resilient_write, constraint_violations, dead_letter_batches, dead_letter_records, outcomes_by_source,
             outcome_counters, reconciliation, heartbeat_10s, idle_gaps, source_sessions, flap_streaks, reconnects,
             source_health, source_states, instrument_history, latest_ticks, latest_per_instrument, replay_slice,
-            payload_roundtrip, stream_ticks, stream_oversize, stream_new_checkpoint, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,
+            payload_roundtrip, payload_ids, stream_ticks, stream_oversize, stream_new_checkpoint, stream_outcomes, stream_dedup, stream_heartbeat, stream_sessions,
             stream_all_sessions, heartbeat_line, stored_audit, stream_two_checkpoints, stream_windows, stream_closed_sessions,
             stream_stalls, stream_observed,
             bulk_identity, bulk_outcomes, bulk_latest_per_instrument, bulk_heartbeat,
