@@ -1,8 +1,9 @@
 """Merging the load folders of the stored table.
 
 Every load leaves a folder per (event date, source), so a table fed by small batches has many small files. Once a day is
-closed, meaning that no load of it can run again, its folders become one, sorted by symbol and newest time so that file
-statistics prune reads of an instrument.
+closed, meaning that no load of it can run again, its folders become one. Rows are dealt to files by ranges of (date,
+source, symbol, time), so each file of a large folder holds few symbols, or a stretch of time of one that is frequent: the
+statistics in the files tell a reader of an instrument which few of them to open.
 
 A reader sees each row once at every moment, also if the job stops between any two steps:
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WORK = "_compacted"
 MERGED = "merged-"
+FILE_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -114,11 +116,11 @@ def _clean(files: _Files, path: str, journal: str, swap: Swap) -> None:
     files.delete(journal)
 
 
-def compact(spark: SparkSession, path: str, schema: str, before: date, least: int = 2) -> int:
+def compact(spark: SparkSession, path: str, schema: str, before: date, least: int = 2, file_rows: int = FILE_ROWS) -> int:
     """Merge the loads of every (event date, source) before a day that has at least ``least`` of them.
 
-    ``schema``: of the stored table. Returns the number of folders merged. All are merged by one job,
-    which splits folders too large for one task; the swaps are renames."""
+    ``schema``: of the stored table. Returns the number of folders merged. All are merged by one job, in files of about
+    ``file_rows``; the swaps are renames."""
     finish(spark, path)
     files = _Files(spark, path)
     table = spark.read.schema(schema).parquet(path).filter(F.col("event_date") < F.lit(before))
@@ -131,12 +133,13 @@ def compact(spark: SparkSession, path: str, schema: str, before: date, least: in
         return 0
     chosen = spark.createDataFrame([(date.fromisoformat(s.day), s.source) for s in swaps], "event_date date, source string")
     staged = f"{path}/{WORK}/{run}"
+    rows = table.join(F.broadcast(chosen), ["event_date", "source"], "left_semi")  # a row per folder
+    order = ["event_date", "source", "symbol", F.desc("event_time")]
     (
-        table.join(F.broadcast(chosen), ["event_date", "source"], "left_semi")  # a row per folder
-        .withColumn("load_id", F.lit(MERGED + run))
+        rows.withColumn("load_id", F.lit(MERGED + run))
         .select(*table.columns)
-        .hint("rebalance", "event_date", "source")
-        .sortWithinPartitions("event_date", "source", "symbol", F.desc("event_time"))
+        .repartitionByRange(max(1, -(-rows.count() // file_rows)), *order)
+        .sortWithinPartitions(*order)
         .write.partitionBy("event_date", "source", "load_id")
         .parquet(staged)
     )

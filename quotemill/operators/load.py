@@ -105,9 +105,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return compaction.current(spark, path, spark.read.schema(table_schema()).parquet(path))
 
 
-def compact_table(spark: SparkSession, path: str, before: date) -> int:
+def compact_table(spark: SparkSession, path: str, before: date, file_rows: int = compaction.FILE_ROWS) -> int:
     """Merge the load folders of the days before ``before``, none of which may be loaded again."""
-    return compaction.compact(spark, path, table_schema(), before)
+    return compaction.compact(spark, path, table_schema(), before, file_rows=file_rows)
 
 
 def folder_list(new: DataFrame) -> list[tuple[date, str]] | None:

@@ -5,12 +5,13 @@ import time
 from collections import Counter, defaultdict
 from datetime import timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import T0
 from quotemill.config import DEFAULT_SOURCES, Options, Source
-from quotemill.operators import activity, audit, compaction, dedup, load, normalize, sequence
+from quotemill.operators import access, activity, audit, compaction, dedup, load, normalize, sequence
 from quotemill.session import work_folder
 from quotemill.sources import feeds
 from quotemill.sources.registry import registry
@@ -350,3 +351,28 @@ def test_sketches_merge_to_the_union(spark):
     found = dedup.estimated_keys(sketches, "source").first()
     assert abs(found["keys"] - 20_000) <= 4 * dedup.SKETCH_ERROR * 20_000
     assert sketches.agg(F.max(F.length("sketch"))).first()[0] < 5000
+
+
+def test_files_of_a_merged_folder_hold_few_symbols(spark, tmp_path):
+    """Of the files of one folder, those that can hold a symbol by their statistics are few; a frequent one is cut by time."""
+    names = [f"S{n:02d}" for n in range(40)] + ["S07"] * 40
+    rows = [(f"{n:05d}", names[n % 80], T0 + timedelta(seconds=n), n % 2) for n in range(4000)]
+    ticks = spark.createDataFrame(rows, "id string, symbol string, event_time timestamp, n int").select(
+        "id", "symbol", F.lit(1).cast("decimal(38,18)").alias("price"), F.lit(1).cast("decimal(38,18)").alias("volume"), "event_time",
+        F.col("event_time").alias("received_at"), F.lit(1).cast("long").alias("seq"), F.lit("beta").alias("source"), "n",
+    )
+    path = str(tmp_path / "ticks")
+    for n in range(2):
+        load.append_ticks(ticks.filter(F.col("n") == n).drop("n"), path, f"load-{n}")
+    assert load.compact_table(spark, path, (T0 + timedelta(days=1)).date(), 200) == 1
+    spans = []
+    for file in (tmp_path / "ticks").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        column = meta.schema.names.index("symbol")
+        stats = [meta.row_group(i).column(column).statistics for i in range(meta.num_row_groups)]
+        spans.append((min(s.min for s in stats), max(s.max for s in stats)))
+    assert len(spans) >= 15
+    assert sum(low <= "S20" <= high for low, high in spans) <= 2
+    assert sum(low == high == "S07" for low, high in spans) >= 5
+    found = access.instrument_history(load.read_table(spark, path), "beta", "S20")
+    assert found.count() == 50 and [r.id for r in found.collect()] == sorted((r[0] for r in rows if r[1] == "S20"), reverse=True)
