@@ -4,8 +4,10 @@ Every letter has a random vector of +1 and -1. A letter trigram is bound as the
 first permuted twice and the second once; a document is the bundle (sum) of its trigrams; a language prototype is the bundle
 of its documents' normalised vectors, less what all languages share. The nearest prototype by cosine is the prediction.
 
-Letters are folded to ``CLASSES`` classes (a to z one each, others by a hash of the code point), so the table of
-trigram vectors is bounded; a worker fills in the rows it meets.
+Letters are folded to ``CLASSES`` classes (a to z one each, others by a hash of the code point). A worker remembers the
+bound vectors of the first ``REMEMBERED`` trigrams it meets, in bytes (16 MiB); further ones are bound anew from the
+letters' vectors, ``AT_ONCE`` at a time, with the same result. So its memory has a fixed bound whatever the script, apart
+from the text in hand, of which trigrams are counted ``PIECE`` letters at a time.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as is everything if nothing can be learned
 from; a null doc_id is not held out and not learned from; repeated rows count as often as they occur; an empty table
@@ -21,20 +23,30 @@ from .tasks import map_rows, texts
 
 CLASSES = 128
 DIMENSIONS = 512
+REMEMBERED = 1 << 15
+AT_ONCE = 1 << 12
+PIECE = 1 << 20
 SCALE = 10_000
 UNKNOWN = "und"
 
 
 class TrigramVectors:
-    def __init__(self):
+    def __init__(self, remembered: int = REMEMBERED):
         signs = np.random.default_rng(7).integers(0, 2, (CLASSES, DIMENSIONS), dtype=np.int8) * 2 - 1
-        self.letters = signs.astype(np.int8)
+        # the letters' vectors as the first, second and third of a trigram
+        self.first, self.second, self.third = np.roll(signs, 2, axis=1), np.roll(signs, 1, axis=1), signs
         self.slot = np.full(CLASSES**3, -1, np.int32)
-        self.rows = np.zeros((1024, DIMENSIONS), np.float32)
+        self.rows = np.zeros((remembered, DIMENSIONS), np.int8)
         self.used = 0
         # classes of code points; 0 stands for any run of other characters
         self.of_point = np.full(0x110000, -1, np.int16)
 
+    @property
+    def nbytes(self) -> int:
+        """What stays in memory between texts; it never changes."""
+        kept = (self.first, self.second, self.third, self.slot, self.rows, self.of_point)
+        return sum(a.nbytes for a in kept)
+
     def _classes(self, points: np.ndarray) -> np.ndarray:
         found = self.of_point[points]
         for point in np.unique(points[found < 0]).tolist():
@@ -46,35 +58,44 @@ class TrigramVectors:
             else:
                 number = 27 + (point * 2654435761 >> 7) % (CLASSES - 27)
             self.of_point[point] = number
-        return self.of_point[points]
+        return self.of_point[points].astype(np.uint8)
+
+    def bind(self, grams: np.ndarray) -> np.ndarray:
+        """Vectors of trigrams: product of the letters' vectors, permuted by place."""
+        a, b, c = grams // CLASSES**2, grams // CLASSES % CLASSES, grams % CLASSES
+        return self.first[a] * self.second[b] * self.third[c]
 
     def _rows_of(self, grams: np.ndarray) -> np.ndarray:
         slots = self.slot[grams]
-        new = grams[slots < 0]
+        new = grams[slots < 0][: len(self.rows) - self.used]
         if len(new):
-            while self.used + len(new) > len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            a, b, c = new // CLASSES**2, new // CLASSES % CLASSES, new % CLASSES
-            bound = np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
-            self.rows[self.used : self.used + len(new)] = bound
+            self.rows[self.used : self.used + len(new)] = self.bind(new)
             self.slot[new] = np.arange(self.used, self.used + len(new))
             self.used += len(new)
             slots = self.slot[grams]
-        return self.rows[slots]
+        rows = self.rows[slots]
+        rest = slots < 0
+        if rest.any():
+            rows[rest] = self.bind(grams[rest])
+        return rows
 
     def bundle(self, text: str | None) -> np.ndarray | None:
         """The document's vector, or nothing if the text has no letter."""
         classes = self._classes(np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32))
         if not classes.any():
             return None
-        framed = np.concatenate(([0], classes, [0])).astype(np.int64)
-        kept = np.concatenate(([True], (framed[1:] != 0) | (framed[:-1] != 0)))
-        framed = framed[kept]
-        codes = framed[:-2] * CLASSES**2 + framed[1:-1] * CLASSES + framed[2:]
-        if not len(codes):
-            return None
-        grams, counts = np.unique(codes, return_counts=True)
-        return counts.astype(np.float32) @ self._rows_of(grams)
+        framed = np.concatenate(([0], classes, [0])).astype(np.uint8)
+        framed = framed[np.concatenate(([True], (framed[1:] != 0) | (framed[:-1] != 0)))]
+        total = np.zeros(DIMENSIONS)
+        for start in range(0, len(framed) - 2, PIECE):
+            piece = framed[start : start + PIECE + 2].astype(np.int32)
+            codes = piece[:-2] * CLASSES**2 + piece[1:-1] * CLASSES + piece[2:]
+            grams, counts = np.unique(codes, return_counts=True)
+            for at in range(0, len(grams), AT_ONCE):
+                # whole numbers below 2^24, so that the sum is exact in any order
+                some = self._rows_of(grams[at : at + AT_ONCE]).astype(np.float32)
+                total += counts[at : at + AT_ONCE].astype(np.float32) @ some
+        return total
 
 
 _vectors: list[TrigramVectors] = []
