@@ -5,59 +5,100 @@ them, found by sorting blocks next to each other. Then adjacent names are paired
 way, until one name is left for each document: equal names mean equal texts, and different ones different texts,
 without any hash in between.
 
-Copies inside one task are joined before blocks move, so a text that makes up a third of all rows is one row per task.
-From then on only integers are sorted. Copies are counted with map-side sums.
+A task remembers the blocks it has met (up to ``REMEMBERED`` bytes of them, then it starts anew), so a block that a third
+of all texts share leaves a task once, as one row without any of its members. The naming sees these rows alone; their
+members then fetch the name by the number of that row, so no task receives all members of a block. Groups that hold more
+than one in ``SHARES`` of all rows, of which there are fewer than ``SHARES``, reach their members by broadcast, all
+others by a join.
 
 Defined cases: a null text equals an empty one; repeated rows (equal doc_id and text) are copies, of which one is kept;
-a null doc_id ranks below all others; an empty table gives an empty result; other columns are ignored.
+a null doc_id ranks below all others; an empty table gives an empty result; other columns are ignored, or passed on as
+they are by ``drop_copies``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 from .tasks import map_rows, row_numbers, same, texts
 
 BLOCK_BYTES = 16_384
-MEMBER = "struct<place:bigint,row:bigint,doc_id:bigint,at:int,blocks:int,text_sha256:string>"
-BLOCKS = f"block binary, number long, members array<{MEMBER}>"
+REMEMBERED = 32 << 20
+SHARES = 1000
+PLACES = "block binary, number long, place long, row long, doc_id long, at int, blocks int, text_sha256 string"
+MEMBERS = ("place", "row", "doc_id", "at", "blocks", "text_sha256")
 NOBODY = -(1 << 63)
 
 
-def cut_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Distinct blocks of each batch with the places they are found at. Every place has a number of its own."""
+def cut_blocks(docs: DataFrame, block_bytes: int, remembered: int = REMEMBERED) -> DataFrame:
+    """Every place of a block, with the number of the first place of this block that the task remembers; ``block`` itself
+    stands in the row of that first place only. Every place has a number of its own."""
 
     def make():
         numbers = row_numbers()
+        known: dict[bytes, int] = {}
+        held = 0
 
         def work(columns):
-            found: dict[bytes, list] = {}
+            nonlocal held
+            out: dict[str, list] = {name: [] for name in ("block", "number", *MEMBERS)}
             for doc_id, text in zip(columns["doc_id"], columns["text"], strict=True):
                 data = text.encode().lower()  # on bytes: A to Z only
                 digest = hashlib.sha256(data).hexdigest()
                 blocks = [data[i : i + block_bytes] for i in range(0, len(data), block_bytes)] or [b""]
-                places = [next(numbers) for _ in blocks]
-                for at, (place, block) in enumerate(zip(places, blocks, strict=True)):
-                    found.setdefault(block, []).append(
-                        {"place": place, "row": places[0], "doc_id": doc_id, "at": at, "blocks": len(blocks),
-                         "text_sha256": digest}
-                    )
-            members = list(found.values())
-            return {"block": list(found), "number": [m[0]["place"] for m in members], "members": members}
+                row = None
+                for at, block in enumerate(blocks):
+                    place = next(numbers)
+                    row = place if row is None else row
+                    first = known.get(block)
+                    if first is None:
+                        if held > remembered:
+                            known.clear()
+                            held = 0
+                        known[block] = place
+                        held += len(block) + 128
+                    found = (None if first is not None else block, place if first is None else first,
+                             place, row, doc_id, at, len(blocks), digest)
+                    for values, value in zip(out.values(), found, strict=True):
+                        values.append(value)
+            return out
 
         return work
 
-    return map_rows(texts(docs), BLOCKS, make)
+    return map_rows(texts(docs), PLACES, make)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group; null equals null. Groups of more than total / ``SHARES`` of the ``total``
+    rows are fewer than ``SHARES`` and broadcast; the rows of the others are joined, so no task gets more of one key."""
+    names = [c for c in groups.columns if c not in keys]
+    large = F.col(size) * SHARES > total
+
+    def on(left, right):
+        condition = F.lit(True)
+        for key in keys:
+            condition = condition & same(left[key], right[key])
+        return condition
+
+    hot = groups.where(large).withColumn("hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), on(rows, hot), "left").select(*[rows[c] for c in rows.columns], *names, "hot")
+    cold = groups.where(~large)
+    rest = marked.where("hot is null").select(*rows.columns)
+    rest = rest.join(cold, on(rest, cold)).select(*[rest[c] for c in rows.columns], *names)
+    return marked.where("hot").select(*rows.columns, *names).unionByName(rest)
 
 
 def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, doc_id, text_sha256, rounds, name): rows with equal (rounds, name) have equal texts."""
-    named = cut_blocks(docs, block_bytes).withColumn("name", F.min("number").over(Window.partitionBy("block")))
-    # a select of its own: beside the window, the explode would run before the blocks move
-    level = materialize(named.select("name", F.explode("members").alias("m")).select("m.*", "name"), "block-names")
+    places = materialize(cut_blocks(docs, block_bytes), "block-places")
+    first = F.min("number").over(Window.partitionBy("block")).alias("name")
+    names = places.where("block is not null").select("number", "block", first).select("number", "name")
+    level = places.drop("block").join(names, "number").select(*MEMBERS, "name")
+    level = materialize(level, "block-names")
     done, rounds = None, 0
     while True:
         whole = level.where("blocks = 1").select("row", "doc_id", "text_sha256", F.lit(rounds).alias("rounds"), "name")
@@ -73,16 +114,13 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
             F.max(F.when(F.col("at") % 2 == 1, F.col("name"))).alias("right"),
         )
         pairs = materialize(pairs.withColumnRenamed("half", "at"), "name-pairs")
-        names = pairs.groupBy(F.col("left").alias("l"), F.col("right").alias("r")).agg(F.min("place").alias("name"))
-        # a join, because Spark can split one that is dealt out unevenly
-        matched = pairs.join(names, (F.col("left") == F.col("l")) & same(F.col("right"), F.col("r")))
+        names = pairs.groupBy("left", "right").agg(F.min("place").alias("name"), F.count("*").alias("copies"))
+        names = materialize(names, "pair-names")
+        matched = join_groups(pairs, names, ["left", "right"], "copies", pairs.count())
         level = materialize(matched.select(*MEMBERS, "name"), "block-names")
         rounds += 1
 
 
-MEMBERS = ("place", "row", "doc_id", "at", "blocks", "text_sha256")
-
-
 def exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row. Of equal texts the largest doc_id stays."""
     rows = name_documents(docs, block_bytes)
@@ -90,15 +128,26 @@ def exact_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"),
         F.max_by("row", F.coalesce("doc_id", F.lit(NOBODY))).alias("keep_row"),
     )
-    joined = rows.join(groups, ["rounds", "name"])
+    groups = materialize(groups, "copy-groups")
+    joined = join_groups(rows, groups, ["rounds", "name"], "group_size", rows.count())
     kept = F.col("row") == F.col("keep_row")
     return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are. ``doc_id`` identifies a document; rows that repeat one
-    completely leave one row."""
-    keep = exact_copies(docs).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    rows = docs.join(keep, same(docs["doc_id"], keep["kept_doc_id"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
-    return rows.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    """The rows of ``docs`` that stay, all columns as they are: of equal texts one row, with the largest doc_id."""
+    keep = exact_copies(docs).where("kept").select(_key("doc_id").alias("key"), "text_sha256").distinct()
+    lowered = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _key("doc_id").alias("key"),
+        F.sha2(lowered, 256).alias("text_sha256"),
+    )
+    # rows that repeat doc_id and text; both columns are set, so the window needs no shuffle beyond the join's
+    nth = F.row_number().over(Window.partitionBy("key", "text_sha256").orderBy(F.lit(0)))
+    rows = rows.join(keep, ["key", "text_sha256"], "left_semi").withColumn("nth", nth).where("nth = 1")
+    return rows.select("doc.*")
+
+
+def _key(column: str) -> Column:
+    """A doc_id as text, also where it is null."""
+    return F.coalesce(F.col(column).cast("long").cast("string"), F.lit(""))
