@@ -8,7 +8,8 @@ A file set is a Parquet folder whose rows are blocks of consecutive documents, o
 
 Spark's own writer commits the blocks, so a lost executor leaves no half-written file and any file system will do.
 An end costs 2 + log2(ids per document) bits instead of 64. ``select`` answers "where does document i end" from a
-sampled position and one scan of at most ``SAMPLE`` documents, without expanding the sequence.
+sampled position and one scan of at most ``SAMPLE`` documents, without expanding the sequence. Both readers work by
+``select``: ``read_token_files`` over every document, ``read_documents`` for the ids of given ones.
 
 Defined cases: a null or empty text is a document of its end id alone; equal doc_ids follow each other in order of a
 text hash; a null doc_id comes first; an empty table gives an empty file set; other columns are ignored.
@@ -148,7 +149,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ends = EliasFano(row["low_bits"], row["low"], row["high"], row["samples"], row["n_docs"]).all()
+                select = _ends(row).select
+                ends = np.asarray([select(i) for i in range(row["n_docs"])], np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
                 raw = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes()
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -169,6 +171,42 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _ends(row: dict) -> EliasFano:
+    return EliasFano(row["low_bits"], row["low"], row["high"], row["samples"], row["n_docs"])
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents that ``wanted`` (doc_id) names; the column is an array of longs.
+
+    First the places of the wanted documents, from the ``doc_ids`` column alone; then only blocks that hold one are
+    joined with their positions, and two selects cut each document out of its block."""
+    ship(spark)
+    schema = "doc_id long, ids array<bigint>"
+    arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    listed = blocks.select("part", "block", F.posexplode("doc_ids").alias("at", "doc_id"))
+    asked = wanted.select(F.col("doc_id").cast("long")).distinct()
+    places = listed.join(asked, listed["doc_id"].eqNullSafe(asked["doc_id"]), "left_semi")
+    places = places.groupBy("part", "block").agg(F.collect_list("at").alias("places"))  # at most a block's documents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                select = _ends(row).select
+                raw = np.frombuffer(row["ids"], f"<u{row['width']}")
+                spans = [(select(at - 1) if at else 0, select(at)) for at in row["places"]]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array([row["doc_ids"][at] for at in row["places"]], pa.int64()),
+                        "ids": pa.array([raw[a:b].astype(np.int64) for a, b in spans], pa.list_(pa.int64())),
+                    },
+                    schema=arrow,
+                )
+
+    return blocks.join(places, ["part", "block"]).mapInArrow(run, schema)
+
+
 def token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str | None = None) -> DataFrame:
     """Write the file set and read it back."""
     path = path or work_folder(docs.sparkSession, "token-files")

@@ -90,6 +90,18 @@ def test_token_file(docs, rows, none):
     assert token_file.token_files(none, WORD, 2).count() == 0
 
 
+def test_given_documents_are_read_by_select(spark, docs, rows, tmp_path):
+    path = str(tmp_path / "files")
+    token_file.write_token_files(docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), path, WORD, 2)
+    wanted = [1, 4, 6, 139, 400, 401]
+    ask = spark.createDataFrame([(i,) for i in [*wanted, 4, 999_999, None]], "doc_id long")
+    got = token_file.read_documents(spark, path, ask).collect()
+    expected = Counter((i, tuple(library_ids(WORD, t, 2))) for i, t in rows if i in wanted)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got if r.doc_id is not None) == expected
+    assert sum(r.doc_id is None for r in got) == 1
+    assert token_file.read_documents(spark, path, ask.limit(0)).count() == 0
+
+
 def test_packing(docs, rows, none):
     capacity = 256
     got = packing.pack(docs, BYTE, 0, capacity).collect()
@@ -136,6 +148,28 @@ def test_exact_copies(docs, rows, none):
     assert left.columns == docs.columns and left.count() == len(groups)
 
 
+def test_a_block_that_many_texts_share_is_one_row_of_its_task(spark):
+    texts = ["hot"] * 3000 + [f"text {i}" for i in range(600)] + ["hot and long " * 9] * 700
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    cut = block_names.cut_blocks(frame, 32)
+    blocks = cut.where("block is not null").groupBy(F.spark_partition_id().alias("p"), "block").count()
+    assert blocks.agg(F.max("count")).first()[0] == 1
+    # forgetting blocks adds rows and changes no name
+    assert block_names.cut_blocks(frame, 32, remembered=40).where("block is not null").count() > blocks.count()
+    sizes = Counter(texts)
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in block_names.exact_copies(frame, 32).collect()}
+    last = {t: i for i, t in enumerate(texts)}
+    assert got == {i: (last[t], sizes[t], last[t] == i) for i, t in enumerate(texts)}
+
+
+def test_columns_and_null_ids_pass_through_exact_dedup(spark):
+    rows = [(None, "x", 1), (None, "x", 2), (None, None, 3), (5, "", 4), (5, None, 5), (7, "X", 6), (8, "y", 7), (None, "z", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __nth int").withColumn("name", F.lit(1)).withColumn("a.b", F.lit(2))
+    left = block_names.drop_copies(frame)
+    assert left.columns == frame.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "z"), (5, ""), (7, "X"), (8, "y")]
+
+
 def shingles(text):
     words = WORDS.findall(text.translate(LOWER))
     if len(words) < 5:
@@ -255,6 +289,38 @@ def test_language(docs, rows, none):
     assert hypervectors.identify(none).count() == 0
 
 
+def test_language_vectors_equal_brute_force_in_bounded_memory(spark):
+    rng = random.Random(4)
+    scripts = {"zh": (0x4E00, 6000), "ko": (0xAC00, 6000), "am": (0x1200, 300), "el": (0x3B1, 24)}
+    texts = ["".join(chr(low + rng.randrange(n)) if rng.random() < 0.8 else " " for _ in range(30_000)) for low, n in scripts.values()]
+    table = hypervectors.TrigramVectors(remembered=1000)
+    before = table.nbytes
+    for text in [*texts, "Il y a, là: 3 mots", "a", "x" * 50]:
+        classes = [0, *table._classes(np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)).tolist(), 0]
+        classes = [c for i, c in enumerate(classes) if i == 0 or c or classes[i - 1]]
+        slow = np.zeros(hypervectors.DIMENSIONS, np.int64)
+        for (a, b, c), n in Counter(zip(classes, classes[1:], classes[2:])).items():
+            slow += n * np.roll(table.third[a], 2).astype(np.int64) * np.roll(table.third[b], 1) * table.third[c]
+        assert table.bundle(text).tolist() == slow.tolist()
+        assert hypervectors.TrigramVectors().bundle(text).tolist() == slow.tolist()
+    assert table.nbytes == before and table.used == 1000
+    assert hypervectors.TrigramVectors().nbytes < 32 << 20
+    whole, hypervectors.PIECE = table.bundle(texts[0]), 1001
+    try:
+        assert table.bundle(texts[0]).tolist() == whole.tolist()
+    finally:
+        hypervectors.PIECE = 1 << 20
+    frame = []
+    for number, (lang, (low, n)) in enumerate(scripts.items()):  # texts of words, of which some are frequent
+        words = ["".join(chr(low + rng.randrange(n)) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+        shares = [1 / rank for rank in range(1, 401)]
+        frame += [(1000 * number + i, " ".join(rng.choices(words, shares, k=80)), lang) for i in range(75)]
+    got = hypervectors.identify(spark.createDataFrame(frame, "doc_id long, text string, lang string"))
+    truth = {i: lang for i, _, lang in frame}
+    told = [(truth[r.doc_id], r.lang_pred) for r in got.where("held_out").collect()]
+    assert len(told) > 80 and sum(a == b for a, b in told) >= 0.97 * len(told)
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = hypervectors.identify(docs).where("held_out").join(docs, "doc_id")
