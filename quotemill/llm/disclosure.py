@@ -179,12 +179,14 @@ def document_terms(found: DataFrame) -> DataFrame:
     """(row, context, entities, terms): what each document with spans holds, every entity and word once. An entity is
     (entity, needs), the second the contexts it takes."""
     email, ip = KINDS.index("email"), KINDS.index("ip")
-    entities = f"""array_distinct(concat(
-        transform(spans, s -> struct(xxhash64(lower(s.value), s.kind) AS entity, {CONTEXTS} AS needs)),
-        transform(filter(spans, s -> s.kind IN ({email}, {ip})), s -> struct(
-            xxhash64(lower(if(s.kind = {email}, substring_index(s.value, '@', -1), substring_index(s.value, '.', 3))),
-                s.kind, 'group') AS entity,
-            {GROUP_CONTEXTS} AS needs))))"""
+    # distinct numbers are found by hash, distinct structs would be compared pair by pair
+    entities = f"""concat(
+        transform(array_distinct(transform(spans, s -> xxhash64(lower(s.value), s.kind))),
+            e -> struct(e AS entity, {CONTEXTS} AS needs)),
+        transform(array_distinct(transform(filter(spans, s -> s.kind IN ({email}, {ip})), s -> xxhash64(
+                lower(if(s.kind = {email}, substring_index(s.value, '@', -1), substring_index(s.value, '.', 3))),
+                s.kind, 'group'))),
+            e -> struct(e AS entity, {GROUP_CONTEXTS} AS needs)))"""
     return found.where("size(spans) > 0").select(
         "row", "context", F.expr(entities).alias("entities"), F.expr(_terms("rest")).alias("terms")
     )

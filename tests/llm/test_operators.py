@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -249,6 +250,71 @@ def test_terms_that_reveal_are_found_and_removed(spark, none):
     assert disclosure.sanitise(none).columns == none.columns
 
 
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(9)
+    people = [f"p{i}@host{i % 3}.example.com" for i in range(8)] + ["10.1.2.3", "10.1.2.4", "10.1.9.9"]
+    common, rare = [f"w{i}" for i in range(30)], [f"rare{i}" for i in range(40)]
+    texts = []
+    for i in range(240):
+        parts = rng.choices(common, k=6) + rng.sample(rare, rng.randint(0, 2))
+        if i % 3 == 0:
+            who = rng.randrange(len(people))
+            parts += [people[who], f"rare{who}", *(rng.sample(people, 2) if i % 9 == 0 else [])]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += texts[:30]  # copies are no contexts of their own
+    held, words = [], []
+    for t in texts:
+        who = [w for w in t.split() if "@" in w or w.startswith("10.")]
+        held.append({(w, 2) for w in who} | {(w.split("@")[-1] if "@" in w else w.rsplit(".", 1)[0], 3) for w in who})
+        words.append({w for w in t.split() if w not in who})
+    at, of = defaultdict(set), defaultdict(set)
+    for i in range(len(texts)):
+        for e in held[i]:
+            at[e].add(i)
+        for w in words[i]:
+            of[w].add(i)
+    n, expected = len(texts), {}
+    for e, rows in at.items():
+        for w, places in of.items():
+            both = rows & places
+            if len({texts[i] for i in both}) >= e[1]:
+                score = np.log(len(both) * n / (len(rows) * len(places))) / np.log(n / len(rows))
+                if score >= disclosure.GENERALISE:
+                    for i in both:
+                        expected[texts[i], i, w] = max(score, expected.get((texts[i], i, w), 0))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = disclosure.with_spans(frame).join(frame, "doc_id")
+    got = disclosure.revealing_terms(disclosure.document_terms(found), frame)
+    spelled = spark.createDataFrame([(w,) for w in of], "w string").select("w", F.xxhash64("w").alias("term"))
+    got = got.join(spelled, "term").join(found.select("row", "text", "doc_id"), "row").collect()
+    assert expected and {(r.text, r.doc_id, r.w): pytest.approx(r.disclosure) for r in got} == expected
+    assert len(got) == len(expected)
+
+
+def test_a_host_is_revealed_by_a_name_that_stands_with_different_addresses(spark):
+    texts = [f"the boat of the town number{i} came in" for i in range(60)]
+    texts += [f"{name}@mail.zanzibar.example said Quagga came in" for name in ("jo", "al", "bo")]
+    texts += [f"{name}@post.example said Okapi came in" for name in ("jo", "al")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    assert all(clean[i] == "[EMAIL]   came in" or "Quagga" not in clean[i] for i in (60, 61, 62))
+    assert "Okapi" in clean[63] and "Okapi" in clean[64] and clean[7] == texts[7]
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    long = " ".join(f"a{i}@b.example.com" for i in range(50_000))
+    docs = spark.createDataFrame([(1, long), (2, "a7@b.example.com, 1.2.3.4")], "doc_id long, text string")
+    start = time.monotonic()
+    got = {r.doc_id: r for r in disclosure.personal_data(docs).collect()}
+    clean = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    assert time.monotonic() - start < 120
+    assert got[1].n_email == 50_000 and got[2].n_ip == 1
+    expected = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", long))
+    assert got[1].base_sha256 == hashlib.sha256(expected.encode()).hexdigest()
+    assert clean == {1: " ".join(["[EMAIL]"] * 50_000), 2: "[EMAIL], [IP]"}
+
+
 def test_a_shared_passage_is_a_context_in_each_text_but_copies_are_one(spark):
     footer = " this is the same long passage that stands below each of the letters that leave the house every single day: " \
              "signed zanzibar, jo@x.example.com, this is the same long passage that stands below each of the letters that leave"
