@@ -15,6 +15,9 @@ from ..session import materialize
 
 # Above this many arrivals an id is not folded in memory but chained with joins.
 FOLD_LIMIT = 1_000
+# Parts of a window whose instants one task compares, and parts in a range
+SLOTS = 64
+RANGE_SLOTS = 4_096
 
 
 def _micros(column: str | Column) -> Column:
@@ -94,18 +97,16 @@ def _fold(ticks: DataFrame, window: int) -> DataFrame:
 
 
 def _chain(ticks: DataFrame, window: int) -> DataFrame:
-    """The same rule for ids of any size. One task holds the cells of an id in turn, and one the instants of a cell.
+    """The same rule for ids of any size, without a task that holds all arrivals of an id.
 
     Every arrival instant gets a pointer to the instant that would open the next window. The pointers are found per
-    (id, cell), where a cell is one window length of time, and followed by doubling: after round n the first 2^n
+    (id, slot), where a slot is a small part of the window, and followed by doubling: after round n the first 2^n
     accepted instants of each id are known. The rounds grow with the logarithm of the accepted count.
     """
     points = materialize(
-        ticks.groupBy(*CONTENT, _micros("received_at").alias("at")).agg(F.min("seq").alias("seq"))
-        .withColumn("cell", floor_div(F.col("at"), window)),
-        "dedup-points",
+        ticks.groupBy(*CONTENT, _micros("received_at").alias("at")).agg(F.min("seq").alias("seq")), "dedup-points"
     )
-    jumps = materialize(_next_points(points, window), "dedup-jumps")
+    jumps = materialize(_next_points(points.select("id", "at"), window), "dedup-jumps")
     anchors = materialize(points.groupBy("id").agg(F.min("at").alias("at")), "dedup-anchors")
     newest = anchors
     while True:
@@ -125,47 +126,42 @@ def _chain(ticks: DataFrame, window: int) -> DataFrame:
 
 
 def _next_points(points: DataFrame, window: int) -> DataFrame:
-    """(id, at, next_at): the first instant at least one window after each instant.
+    """(id, at, next_at) for ``points(id, at)``: the first instant at least one window after each instant.
 
-    It lies in the following cell or, if that holds none late enough, is the first instant of a later cell.
+    Instants shifted by one window meet the real instants of their slot. Walking back in time, the latest real instant
+    passed is the earliest one that is not before the shifted instant. A slot without one takes the first instant of a
+    later slot. A task holds the instants of a slot, the slots of a range, or the ranges of an id, which are a row each.
     """
-    cells = points.groupBy("id", "cell").agg(F.min("at").alias("first_at"))
-    by_id = Window.partitionBy("id").orderBy("cell")
-    later = cells.select(
-        "id",
-        "cell",
-        F.lead("cell").over(by_id).alias("next_cell"),
-        F.lead("first_at").over(by_id).alias("next_first"),
-        F.lead("first_at", 2).over(by_id).alias("second_first"),
+    slot = floor_div(F.col("point"), max(1, window // SLOTS))
+    real = points.select("id", F.col("at").alias("point"), F.lit(None).cast("bigint").alias("from_at"),
+                         F.col("at").alias("real_at"), F.lit(0).alias("rank"))
+    shifted = points.select("id", (F.col("at") + window).alias("point"), F.col("at").alias("from_at"),
+                            F.lit(None).cast("bigint").alias("real_at"), F.lit(1).alias("rank"))
+    both = shifted.unionByName(real).withColumn("slot", slot)
+    slots = materialize(
+        both.groupBy("id", "slot").agg(F.min("real_at").alias("first_at"))
+        .withColumn("range", floor_div(F.col("slot"), RANGE_SLOTS)),
+        "dedup-slots",
     )
-    adjacent = F.col("next_cell") == F.col("cell") + 1
-    # Instants shifted by one window meet the real instants of the following cell. Walking back in time, the
-    # latest real instant passed is the earliest one that is not before the shifted instant.
-    shifted = points.select(
-        "id", (F.col("cell") + 1).alias("cell"), (F.col("at") + window).alias("point"),
-        F.col("at").alias("from_at"), F.lit(None).cast("bigint").alias("real_at"), F.lit(1).alias("rank"),
+    later_slots = Window.partitionBy("id", "range").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    later_ranges = Window.partitionBy("id").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = slots.groupBy("id", "range").agg(F.min("first_at").alias("first_at")).select(
+        "id", "range", F.min("first_at").over(later_ranges).alias("_beyond")
     )
-    real = points.select(
-        "id", "cell", F.col("at").alias("point"),
-        F.lit(None).cast("bigint").alias("from_at"), F.col("at").alias("real_at"), F.lit(0).alias("rank"),
+    later = (
+        slots.withColumn("_inside", F.min("first_at").over(later_slots))
+        .join(ranges, ["id", "range"])
+        .select("id", "slot", F.coalesce("_inside", "_beyond").alias("later_at"))
     )
     backwards = (
-        Window.partitionBy("id", "cell").orderBy(F.desc("point"), "rank")
+        Window.partitionBy("id", "slot").orderBy(F.desc("point"), "rank")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    met = (
-        shifted.unionByName(real)
-        .withColumn("met_at", F.min("real_at").over(backwards))
-        .filter(F.col("from_at").isNotNull())
-        .select("id", (F.col("cell") - 1).alias("cell"), F.col("from_at").alias("at"), "met_at")
-    )
     return (
-        met.join(later, ["id", "cell"])
-        .select(
-            "id",
-            "at",
-            F.when(adjacent, F.coalesce("met_at", "second_first")).otherwise(F.col("next_first")).alias("next_at"),
-        )
+        both.withColumn("met_at", F.min("real_at").over(backwards))
+        .filter(F.col("from_at").isNotNull())
+        .join(later, ["id", "slot"])
+        .select("id", F.col("from_at").alias("at"), F.coalesce("met_at", "later_at").alias("next_at"))
         .filter(F.col("next_at").isNotNull())
     )
 

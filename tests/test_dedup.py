@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -70,6 +71,25 @@ def test_equals_brute_force(spark, fold_limit):
     assert got == brute(arrivals, 10_000)
 
 
+@pytest.mark.parametrize(("slots", "range_slots"), [(1, 1), (7, 3), (64, 2), (20_000_000, 5)])
+def test_chains_over_slots_and_ranges_equal_brute_force(spark, monkeypatch, slots, range_slots):
+    monkeypatch.setattr(dedup, "SLOTS", slots)
+    monkeypatch.setattr(dedup, "RANGE_SLOTS", range_slots)
+    arrivals = random_arrivals(slots)
+    assert found(dedup.accept(ticks(spark, arrivals), 10_000, 0)) == brute(arrivals, 10_000)
+
+
+def test_no_task_of_a_chain_holds_the_instants_of_an_id(spark):
+    points = spark.range(50_000).selectExpr("'hot' as id", "id * 40000 as at")
+    jumps = dedup._next_points(points, 10_000_000)
+    assert jumps.filter("next_at <> at + 10000000").isEmpty() and jumps.count() == 50_000 - 250
+    width = 10_000_000 // dedup.SLOTS
+    held = points.groupBy(dedup.floor_div(F.col("at"), width)).count().agg(F.max("count")).first()[0]
+    assert held <= 4
+    specs = set(re.findall(r"windowspecdefinition\((id#\d+(?:, \w+#\d+L?)?)", jumps._jdf.queryExecution().optimizedPlan().toString()))
+    assert len(specs) == 3  # the instants of a slot, the slots of a range, and one row per range
+
+
 def test_chain_takes_logarithmic_rounds(spark, monkeypatch):
     arrivals = [("hot", n * 100, n) for n in range(6_000)]
     rounds = []
