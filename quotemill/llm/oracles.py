@@ -6,6 +6,37 @@ from __future__ import annotations
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    # Texts with one set of shingles are one node ("sets"), so copies are not expanded into pairs
+    "op4_near_dedup": f"""
+        WITH RECURSIVE w AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        s AS MATERIALIZED (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+                WHEN len(words) > 0 THEN [array_to_string(words, ' ')]
+                ELSE [] END) AS shingle
+            FROM w),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+        sets AS MATERIALIZED (
+            SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS node
+            FROM (SELECT doc_id, list_sort(list(shingle)) AS body FROM s GROUP BY doc_id)),
+        r AS MATERIALIZED (SELECT s.doc_id AS node, shingle FROM s JOIN sets USING (doc_id) WHERE doc_id = node),
+        links AS MATERIALIZED (
+            SELECT a.node AS a, b.node AS b
+            FROM r a JOIN r b ON a.shingle = b.shingle AND a.node <> b.node
+            JOIN n na ON na.doc_id = a.node JOIN n nb ON nb.doc_id = b.node
+            GROUP BY a.node, b.node, na.n_shingles, nb.n_shingles
+            HAVING 100 * count(*) >= 75 * (na.n_shingles + nb.n_shingles - count(*))),
+        reach AS (
+            SELECT DISTINCT node, node AS reached FROM r
+            UNION
+            SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.reached),
+        parts AS (SELECT node, min(reached) AS component_id FROM reach GROUP BY node)
+        SELECT d.doc_id, coalesce(n.n_shingles, 0) AS n_shingles, coalesce(p.component_id, d.doc_id) AS component_id,
+               d.doc_id = coalesce(p.component_id, d.doc_id) AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN sets ON sets.doc_id = d.doc_id
+        LEFT JOIN parts p ON p.node = sets.node
+    """,
     "op7_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {LOWER} AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
