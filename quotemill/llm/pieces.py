@@ -78,16 +78,24 @@ class PieceEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = simple_pattern(self.tokenizer)
         self.first = Remembered(lambda piece: self._encode(piece), KEPT_WORDS)
-        self.rest = Remembered(lambda piece: self._encode(" " + piece))
+        self.rest = Remembered(self._after_blank)
         self.words = Remembered(self._merge, KEPT_WORDS)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _merge(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
+        if word.isascii() and word.isprintable():
+            mapped = word.replace(" ", self.letters[0x20])  # the only such byte that has another letter
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
+    def _after_blank(self, piece: str) -> bytes:
+        if self.pattern is not None and piece.isascii() and piece.isalpha():  # one pre-token of either pattern
+            return self.words[piece.lower() if self.pattern is WORD_LEVEL else " " + piece]
+        return self._encode(" " + piece)
+
     def _encode(self, piece: str) -> bytes:
         if self.pattern is None or not SIMPLE.fullmatch(piece):
             return self.whole(piece)

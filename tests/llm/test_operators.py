@@ -72,6 +72,19 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
+def test_pieces_equal_the_library():
+    from quotemill.llm.pieces import PieceEncoder
+
+    rng = random.Random(3)
+    parts = ["river", "River", "XQZJV", "thheingnd", "don't", "a'll", "É", "naïve", "ß", "12", ".", "\n", "\t", " ", "  ", "'", "'s", "漢", "\x00", "\x7f", "~"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 30))) for _ in range(3_000)]
+    for path in (BYTE, WORD):
+        encode = PieceEncoder(path)
+        for text in texts:
+            expected = encode.tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encode.encode(text), "<u4").tolist() == expected, text
+
+
 def test_elias_fano_selects_every_value():
     rng = np.random.default_rng(1)
     for n in (1, 2, 63, 64, 65, 1000):
