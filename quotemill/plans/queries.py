@@ -636,7 +636,7 @@ def stream_closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watermarked.current(metrics.read_parts(spark, f"{root}/rows"), ["first_at", "last_at"])
 
 
-STALL_MS = 1_500
+STALL_MS, SILENT_SECONDS = 1_500, 300
 
 
 def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -656,11 +656,13 @@ def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
         states = watermarked.last_states(metrics.read_parts(spark, f"{root}/rows"))
         return states.agg(F.bool_and(~F.col("connected")).alias("all")).first()["all"]
 
-    until = time.monotonic() + 300
+    until = time.monotonic() + SILENT_SECONDS
     try:
         # timers make batches for ever, so the end is seen in the results
         while query.isActive and time.monotonic() < until and not all_silent():
             time.sleep(1)
+            if query.lastProgress is None:
+                until = time.monotonic() + SILENT_SECONDS  # the first batch reads the messages, however long that takes
     finally:
         metrics.stop_between_batches(query)
     found = metrics.read_parts(spark, f"{root}/rows")

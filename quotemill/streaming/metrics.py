@@ -56,15 +56,27 @@ def start_parts(stream: DataFrame, summary: Callable[[DataFrame], DataFrame], pa
     A folder is named after the run and the batch. The run is the id of the streaming query, which lives in its
     checkpoint, so a new checkpoint, whose batches count from 0 again, adds to what is there. Without an ``interval``
     the query processes what is available and stops. ``drop_empty`` is for streams whose timers make batches without
-    messages: a batch without rows leaves no folder."""
+    messages: a batch without rows leaves no folder. Its rows are written beside ``path`` and renamed into their place,
+    so one who reads ``path`` while the stream runs finds whole folders, none of which disappears."""
     def keep(rows: DataFrame, batch_no: int) -> None:
         spark = rows.sparkSession
         run = spark.sparkContext.getLocalProperty(QUERY_ID)
-        folder = f"{path}/run={run}/part={batch_no}"
-        summary(rows).write.mode("overwrite").parquet(folder)
-        if drop_empty and spark.read.parquet(folder).isEmpty():
-            target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        folder = f"run={run}/part={batch_no}"
+        if not drop_empty:
+            summary(rows).write.mode("overwrite").parquet(f"{path}/{folder}")
+            return
+        staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-staged/{folder}")
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        written = summary(rows)
+        written.write.mode("overwrite").parquet(staged.toString())
+        files.delete(target, True)  # of a batch that runs again
+        if spark.read.schema(written.schema).parquet(staged.toString()).isEmpty():
+            files.delete(staged, True)
+        else:
+            files.mkdirs(target.getParent())
+            if not files.rename(staged, target):
+                raise OSError(f"cannot rename {staged} to {target}")
 
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return (

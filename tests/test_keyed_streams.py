@@ -4,6 +4,7 @@ import random
 import time
 from collections import Counter, defaultdict
 from datetime import timedelta
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -150,6 +151,28 @@ def test_a_silent_source_goes_down_without_a_message(spark, raw_rows):
         metrics.stop_between_batches(query)
 
 
+def test_a_folder_of_results_never_disappears_while_a_timer_stream_runs(spark, raw_rows):
+    root, landing = work_folder(spark, "stalls"), work_folder(spark, "landing")
+    raw_rows([("alpha", "{x", 1), ("beta", "{x", 2)]).write.parquet(landing)
+    timed = registry(spark, [Source(s.name, s.format, 1_500) for s in DEFAULT_SOURCES])
+    changes = watermarked.connection_changes(feeds.stream_messages(spark, landing), timed)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # short batches
+    query = metrics.start_parts(changes, lambda rows: rows, f"{root}/rows", f"{root}/checkpoint", "2 seconds", True)
+    seen, until = set(), time.monotonic() + 60
+    try:
+        # batches without rows come between and after the two with rows
+        while time.monotonic() < until and len(query.recentProgress) < 4:
+            seen.update(Path(root, "rows").glob("run=*/part=*"))
+            time.sleep(0.002)
+    finally:
+        metrics.stop_between_batches(query)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert seen and all(folder.exists() for folder in seen)
+    assert not list(Path(f"{root}/rows-staged").glob("run=*/part=*"))
+    assert metrics.read_parts(spark, f"{root}/rows").count() == 4
+
+
 def test_a_second_checkpoint_keeps_the_metrics_of_the_first(spark, raw_rows, sources):
     root = work_folder(spark, "metrics")
     beats = cells = None
