@@ -48,7 +48,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return table.select(columns).rename_columns([*keys, "first_at", "last_at", "messages"])
 
     for batch in batches:
-        held.append(pa.Table.from_batches([batch]))
+        # sums are nullable, and only tables of one schema are put together
+        schema = pa.schema([pa.field(f.name, f.type) for f in batch.schema])
+        held.append(pa.Table.from_arrays(batch.columns, schema=schema))
         if len(held) == 16:
             held = [merged()]
     if held:

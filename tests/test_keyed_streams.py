@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from datetime import timedelta
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,20 @@ def test_a_silent_source_goes_down_without_a_message(spark, raw_rows):
         metrics.stop_between_batches(query)
 
 
+def test_a_task_sums_any_number_of_batches():
+    names = ["timeout", "cell", "first_at", "last_at", "messages"]
+    schema = pa.schema([pa.field("source", pa.string(), False), *[pa.field(n, pa.int64(), n == "cell") for n in names]])
+    batches = [
+        pa.RecordBatch.from_pylist([{"source": s, "timeout": 5, "cell": n % 3, "first_at": n, "last_at": n + 1, "messages": 1}
+                                    for s in ("alpha", "beta")], schema=schema)
+        for n in range(40)
+    ]
+    found = [row for batch in watermarked._summed(iter(batches)) for row in batch.to_pylist()]
+    assert sorted((r["source"], r["cell"], r["first_at"], r["last_at"], r["messages"]) for r in found) == [
+        (s, cell, cell, last, count) for s in ("alpha", "beta") for cell, last, count in ((0, 40, 14), (1, 38, 13), (2, 39, 13))
+    ]
+
+
 def test_a_folder_of_results_never_disappears_while_a_timer_stream_runs(spark, raw_rows):
     root, landing = work_folder(spark, "stalls"), work_folder(spark, "landing")
     raw_rows([("alpha", "{x", 1), ("beta", "{x", 2)]).write.parquet(landing)
