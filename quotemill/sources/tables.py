@@ -37,17 +37,27 @@ def _format(source: Column) -> Column:
     return F.concat(source, F.lit("-v1"))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, shuffled so that all cores share the work on its rows.
+# Events of a task, about
+TASK_EVENTS = 250_000
 
-    Reading messages is bound by CPU. Large inputs have more splits than cores and stay as they are.
+
+def spread(scan: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """A scan whose rows lie in too few of its splits, shuffled so that all tasks share the work on them.
+
+    Reading messages is bound by CPU, so tasks should have equal numbers of rows: as many tasks as cores, or more with
+    ``task_rows`` each. A split without the start of a row group is empty, however many splits there are; so the rows of
+    each are counted, which reads the ends of the files only.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    split = scan.select(F.spark_partition_id().alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    rows, most = split.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.max("rows"), F.lit(0))).first()
+    tasks = scan.sparkSession.sparkContext.defaultParallelism
+    if task_rows is not None:
+        tasks = max(tasks, -(-rows // task_rows))
+    return scan.repartition(tasks) if most * tasks > 1.5 * rows else scan
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"))
+    return spread(spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet"), TASK_EVENTS)
 
 
 def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
