@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .. import fixed_values as fv
 from ..functions.moments import floor_div
 from ..schemas import MARKET_TICKS, TABLE_PARTITIONS
+from ..session import materialize
 from . import compaction
 from .dedup import first_per_id
 
@@ -56,7 +57,8 @@ def route(checked: DataFrame, scope: str = "batch") -> DataFrame:
     """Add ``failure``: the violation that sends a row to the dead letter, NULL for rows to load.
 
     In ``batch`` scope one bad row fails all rows of its (source, batch_no); in ``row`` scope only itself. Bad rows
-    are few: their batches are joined back, the ticks are neither windowed nor collected.
+    are few: their batches are stored, so that their size is known, and joined back without a shuffle of the ticks
+    while they are small enough to broadcast. The ticks are neither windowed nor collected.
     """
     if scope == "row":
         return checked.withColumn("failure", F.col("violation"))
@@ -65,7 +67,7 @@ def route(checked: DataFrame, scope: str = "batch") -> DataFrame:
         .groupBy("source", "batch_no")
         .agg(F.min_by("violation", F.struct("received_at", "seq")).alias("failure"))
     )
-    return checked.join(failed, ["source", "batch_no"], "left")
+    return checked.join(materialize(failed, "failed-batches"), ["source", "batch_no"], "left")
 
 
 def failed_batches(routed: DataFrame) -> DataFrame:
