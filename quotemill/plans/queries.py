@@ -8,6 +8,7 @@ from datetime import timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import fixed_values as fv
 from ..config import DEFAULT_SOURCES, Options, Source
@@ -545,12 +546,13 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_feed(spark, sf_dir)
     ends = raw.agg(F.min("received_at").alias("lo"), F.max("received_at").alias("hi")).first()
     step = (ends["hi"] - ends["lo"]) / 4
+    starts = [ends["lo"] + part * step for part in range(4)]
+    at = F.col("received_at")
+    part = F.when(at >= F.lit(starts[3]), 3).when(at >= F.lit(starts[2]), 2).when(at >= F.lit(starts[1]), 1).when(at < F.lit(starts[1]), 0)
+    dealt = _dealt(raw, part)
     job = Ingest(root, ledger_hours=None)
     for part in range(4):
-        low, high = ends["lo"] + part * step, ends["lo"] + (part + 1) * step
-        inside = (F.col("received_at") >= F.lit(low)) if part else F.lit(True)
-        inside = inside & ((F.col("received_at") < F.lit(high)) if part < 3 else F.lit(True))
-        raw.filter(inside).write.mode("append").parquet(landing)
+        dealt.filter(F.col("part") == part).drop("part").write.mode("append").parquet(landing)
         job.start(stream_messages(spark, landing), f"{root}/checkpoint").awaitTermination()
     return job.ledger(spark).select("id", _micros("anchor_at", "anchor_us"))
 
@@ -581,6 +583,14 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_all_sessions(spark, sf_dir).filter("ended").drop("ended")
 
 
+def _dealt(raw: DataFrame, part: Column) -> DataFrame:
+    """The feed as stored once, in a folder per ``part``, so that no part makes or reads the messages of another."""
+    spark = raw.sparkSession
+    path = work_folder(spark, "feed")
+    raw.withColumn("part", part).write.partitionBy("part").parquet(path)
+    return spark.read.schema(StructType([*raw.schema.fields, StructField("part", IntegerType())])).parquet(path)
+
+
 def _in_parts(spark: SparkSession, raw: DataFrame, landing: str, after: Callable[[], None], delayed: int = 0) -> None:
     """Land the feed in four parts of equal time, oldest first, and do something after each. Every ``delayed``-th message
     comes one part later than it should."""
@@ -589,8 +599,9 @@ def _in_parts(spark: SparkSession, raw: DataFrame, landing: str, after: Callable
     part = F.expr(f"(unix_micros(received_at) - {ends['lo']}) div {step}")
     if delayed:
         part = part + F.when(F.col("seq") % delayed == 0, 1).otherwise(0)
+    dealt = _dealt(raw, F.least(part, F.lit(3)).cast("int"))
     for n in range(4):
-        raw.filter(F.least(part, F.lit(3)) == n).write.mode("append").parquet(landing)
+        dealt.filter(F.col("part") == n).drop("part").write.mode("append").parquet(landing)
         after()
 
 
