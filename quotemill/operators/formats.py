@@ -6,6 +6,7 @@ repeated, so that each generated method stays small enough for the JIT compiler.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -107,6 +108,47 @@ def document(payload: Column) -> Column:
     return F.when(is_object & (~payload.contains("]") | wrapped.isNotNull()), boxed)
 
 
+# The usual spelling: the slots in order, text in ASCII without escapes, numbers without exponent that any reader keeps
+# exactly, JSON space between tokens
+_SPACE = r"[ \t\r\n]*+"
+_PLAIN_TEXT = r"[ !#-\[\]-~]*+"
+_PLAIN_NUMBER = r"-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,18})?"
+_PLAIN_INTEGER = r"-?(?:0|[1-9][0-9]{0,17})"
+_PLAIN = {NUMBER: f"({_PLAIN_NUMBER})", EPOCH_MILLIS: f"({_PLAIN_INTEGER})"}
+
+
+def usual_shape(form: WireFormat) -> str | None:
+    """A pattern of the format's usual spelling with one group per slot; nothing if two slots share an outer field."""
+    fields = [getattr(form, slot) for slot in SLOTS]
+    if len({field.path.split(".")[0] for field in fields}) < len(fields):
+        return None
+    members = []
+    for field in fields:
+        member = _PLAIN.get(field.kind, f'"({_PLAIN_TEXT})"')
+        for n, name in enumerate(reversed(field.path.split("."))):
+            member = (rf"\{{{_SPACE}{member}{_SPACE}\}}" if n else member)
+            member = f'"{re.escape(name)}"{_SPACE}:{_SPACE}{member}'
+        members.append(member)
+    inside = f"{_SPACE},{_SPACE}".join(members)
+    return rf"^\{{{_SPACE}{inside}{_SPACE}\}}{_SPACE}\z"
+
+
+def _usual(messages: DataFrame, formats: dict[str, WireFormat]) -> DataFrame:
+    """Add ``usual``: an array of nothing and the text of each slot, NULL unless the payload has its usual spelling.
+
+    One pattern reads such a message. The variant of any other is built and asked slot by slot, at several times the cost."""
+    groups = "".join(f'"${n + 1}' for n in range(len(SLOTS)))
+
+    def spelled(form):
+        shape = usual_shape(form)
+        return None if shape is None else F.regexp_replace("payload", shape, groups)
+
+    # A payload that does not match stays as it is and so starts with a brace.
+    is_open = F.col("label").isNotNull() & F.col("payload").startswith("{")
+    read = messages.withColumn("usual", F.when(is_open, _by_format(formats, spelled).cast("string")))
+    return read.withColumn("usual", F.when(F.col("usual").startswith('"'), F.split("usual", '"')))
+
+
 def guard(max_bytes: int = fv.MAX_MESSAGE_BYTES) -> Column:
     """Why a message is not handed to a reader, NULL if it is."""
     return (
@@ -154,10 +196,12 @@ def _extract(messages: DataFrame, formats: dict[str, WireFormat]) -> DataFrame:
         _by_format(formats, parent_value).cast("variant").alias("parent"),
         *[slot_value(slot) for slot in SLOTS],
     )
+    # of a usual message, no type is absent, void or a double
+    is_usual = F.col("usual").isNotNull()
     typed = values.select(
         "*",
         _json_type(F.col("parent")).alias("parent_type"),
-        *[_json_type(F.col(slot)).alias(f"{slot}_type") for slot in SLOTS],
+        *[F.when(is_usual, F.lit("usual")).otherwise(_json_type(F.col(slot))).alias(f"{slot}_type") for slot in SLOTS],
     )
     bad_parent = ~(F.col("parent_type").isin("VOID", "absent") | F.col("parent_type").startswith("OBJECT"))
     bad_type = bad_parent | F.col("has_more") | F.col("doc").isNull()
@@ -165,8 +209,12 @@ def _extract(messages: DataFrame, formats: dict[str, WireFormat]) -> DataFrame:
         bad_type = bad_type | ~_by_format(
             formats, lambda form, slot=slot: F.col(f"{slot}_type").isin(ACCEPTED[getattr(form, slot).kind])
         )
-    texts = [F.try_variant_get(slot, "$", "string").alias(f"{slot}_text") for slot in SLOTS]
-    return typed.select(*typed.columns, bad_type.alias("bad_type"), *texts).drop("doc", "parent", "parent_type")
+    texts = [
+        F.coalesce(F.col("usual")[n + 1], F.try_variant_get(slot, "$", "string")).alias(f"{slot}_text")
+        for n, slot in enumerate(SLOTS)
+    ]
+    judged = typed.select(*typed.columns, (~is_usual & bad_type).alias("bad_type"), *texts)
+    return judged.drop("doc", "usual", "parent", "parent_type")
 
 
 def _convert(fields: DataFrame, formats: dict[str, WireFormat]) -> DataFrame:
@@ -279,7 +327,8 @@ def read_fields(raw: DataFrame, formats: dict[str, WireFormat] = FORMATS,
     guarded = numbered.withColumn(
         "label", F.when(F.col("guard").isNull(), _by_format(formats, lambda form: F.lit(form.label)))
     )
-    documents = guarded.withColumn("doc", F.when(F.col("label").isNotNull(), document(F.col("payload"))))
+    needs_parser = F.col("label").isNotNull() & F.col("usual").isNull()
+    documents = _usual(guarded, formats).withColumn("doc", F.when(needs_parser, document(F.col("payload"))))
     checked = _convert(_extract(documents, formats), formats).withColumn(
         "format_error", F.when(F.col("label").isNotNull(), _format_error(formats))
     )
@@ -290,31 +339,52 @@ def read_fields(raw: DataFrame, formats: dict[str, WireFormat] = FORMATS,
     return checked.select(*carried, F.explode(F.array(found)).alias("found")).select(*carried, "found.*")
 
 
+def _plain_json(symbol: Column, *parts: Column | str) -> Column:
+    """The parts as one text, NULL if one of them is or if the symbol needs an escape; then the general writer is used."""
+    texts = [F.lit(part) if isinstance(part, str) else part for part in parts]
+    return F.when(symbol.rlike(rf"^{_PLAIN_TEXT}\z"), F.concat(*texts))
+
+
 def alpha_payload(symbol: Column, price: Column, volume: Column, moment: Column, seventh: Column) -> Column:
-    return F.to_json(F.struct(
+    when = moments.iso_text(moment, seventh)
+    plain = _plain_json(
+        symbol, '{"symbol":"', symbol, '","price":"', canonical_decimal(price), '","volume":', plain_decimal(volume),
+        ',"timestamp":"', when, '"}',
+    )
+    return F.coalesce(plain, F.to_json(F.struct(
         symbol.alias("symbol"),
         canonical_decimal(price).alias("price"),
         F.parse_json(plain_decimal(volume)).alias("volume"),
-        moments.iso_text(moment, seventh).alias("timestamp"),
-    ))
+        when.alias("timestamp"),
+    )))
 
 
 def beta_payload(symbol: Column, price: Column, volume: Column, moment: Column, seventh: Column) -> Column:
-    return F.to_json(F.struct(
+    millis = F.unix_millis(moment)
+    plain = _plain_json(
+        symbol, '{"s":"', symbol, '","p":', plain_decimal(price), ',"q":"', canonical_decimal(volume), '","ts":',
+        millis.cast("string"), "}",
+    )
+    return F.coalesce(plain, F.to_json(F.struct(
         symbol.alias("s"),
         F.parse_json(plain_decimal(price)).alias("p"),
         canonical_decimal(volume).alias("q"),
-        F.unix_millis(moment).alias("ts"),
-    ))
+        millis.alias("ts"),
+    )))
 
 
 def gamma_payload(symbol: Column, price: Column, volume: Column, moment: Column, seventh: Column) -> Column:
-    return F.to_json(F.struct(
+    when = moments.gamma_text(moment)
+    plain = _plain_json(
+        symbol, '{"instrument":{"ticker":"', symbol, '"},"last":', plain_decimal(price), ',"size":', plain_decimal(volume),
+        ',"time":"', when, '"}',
+    )
+    return F.coalesce(plain, F.to_json(F.struct(
         F.struct(symbol.alias("ticker")).alias("instrument"),
         F.parse_json(plain_decimal(price)).alias("last"),
         F.parse_json(plain_decimal(volume)).alias("size"),
-        moments.gamma_text(moment).alias("time"),
-    ))
+        when.alias("time"),
+    )))
 
 
 WRITERS = {fv.ALPHA: alpha_payload, fv.BETA: beta_payload, fv.GAMMA: gamma_payload}
