@@ -37,8 +37,8 @@ def _format(source: Column) -> Column:
     return F.concat(source, F.lit("-v1"))
 
 
-# Events of a task, about
-TASK_EVENTS = 250_000
+# Events of a task, about; few enough that the longest task stays short however many there are
+TASK_EVENTS = 25_000
 
 
 def spread(scan: DataFrame, task_rows: int | None = None) -> DataFrame:

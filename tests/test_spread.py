@@ -41,6 +41,19 @@ def test_rows_of_few_row_groups_are_shared_by_all_tasks(spark, tmp_path, small_s
     assert most() <= 1500
 
 
+def test_more_events_make_more_tasks_not_longer_ones(spark, tmp_path):
+    rows = 100_000 * spark.sparkContext.defaultParallelism
+    events = pa.table({
+        "event_id": pa.array(range(rows), pa.int64()), "ts": pa.array([datetime(2026, 6, 1)] * rows, pa.timestamp("us")),
+        "user_id": pa.array(range(rows), pa.int64()), "event_type": ["click"] * rows, "value": [1.5] * rows,
+        "props": ['{"k": 5}'] * rows,
+    })
+    pq.write_table(events, tmp_path / "events.parquet", row_group_size=rows // 2)
+    counts = tables.read_events(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in counts) == rows
+    assert max(r["count"] for r in counts) <= 30_000
+
+
 def test_landing_in_parts_makes_each_message_once(spark):
     made = spark.sparkContext.accumulator(0)
 
