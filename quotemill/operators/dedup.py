@@ -28,21 +28,21 @@ def arrival_spans(ticks: DataFrame) -> DataFrame:
     """Per id its content, first arrival (``received_at``, ``seq``), ``last_at`` and number of ``arrivals``.
 
     Arrival and sequence number travel as one decimal that is ordered like the pair. Its buffer has a fixed length, so
-    ticks are hashed; the minimum of a struct would have them sorted before and after the shuffle.
+    ticks are hashed; the minimum of a struct would have them sorted before and after the shuffle. The arrival has a
+    minimum of its own, so that unpacking is a subtraction: divisions of such decimals cost more than all else here.
     """
+    arrival = "cast(unix_micros(received_at) as decimal(19,0)) * 100000000000000000000BD"
     # 20 digits hold a sequence number moved to above zero; zero stands for none
-    packed = F.expr(
-        "cast(unix_micros(received_at) as decimal(19,0)) * 100000000000000000000BD"
-        " + coalesce(cast(seq as decimal(20,0)) + 10000000000000000000BD, 0BD)"
-    )
+    packed = F.expr(f"{arrival} + coalesce(cast(seq as decimal(20,0)) + 10000000000000000000BD, 0BD)")
     # The other content columns depend on the id, so grouping by them as well does not split a group.
     found = ticks.groupBy(*CONTENT).agg(
-        F.min(packed).alias("_first"), F.max("received_at").alias("last_at"), F.count(F.lit(1)).alias("arrivals")
+        F.min(packed).alias("_first"), F.min("received_at").alias("received_at"), F.max("received_at").alias("last_at"),
+        F.count(F.lit(1)).alias("arrivals"),
     )
-    place = found.withColumn("_place", F.expr("pmod(_first, 100000000000000000000BD)"))
+    place = found.withColumn("_place", F.expr(f"_first - {arrival}"))
     return place.select(
         *CONTENT,
-        F.expr("timestamp_micros((_first - _place) div 100000000000000000000BD)").alias("received_at"),
+        "received_at",
         F.expr("case when _place > 0 then cast(_place - 10000000000000000000BD as bigint) end").alias("seq"),
         "last_at",
         "arrivals",
@@ -61,7 +61,8 @@ def accept(ticks: DataFrame, window_ms: int = fv.DEDUP_WINDOW_MS, fold_limit: in
     spans = materialize(arrival_spans(ticks), "dedup-spans")
     reaches = _micros("last_at") >= _micros("received_at") + window
     accepted = spans.filter(~reaches).select(*CONTENT, *ARRIVAL)
-    long_ids = spans.filter(reaches)
+    # Stored, so that their size is known: while they are small enough to broadcast, the ticks are not shuffled again.
+    long_ids = materialize(spans.filter(reaches).select("id", "arrivals"), "dedup-long")
     counts = long_ids.agg(
         F.count(F.lit(1)).alias("ids"), F.count(F.when(F.col("arrivals") > fold_limit, 1)).alias("hot")
     ).first()

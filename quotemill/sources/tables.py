@@ -37,6 +37,16 @@ def _format(source: Column) -> Column:
     return F.concat(source, F.lit("-v1"))
 
 
+def _k(props: Column) -> Column:
+    """The number k of an event's properties. Of ``{"k": 5}`` it is cut out; all else goes to the JSON reader, which takes
+    about a fifth of the time that making a message takes."""
+    digits = F.substring(props, F.lit(len('{"k": ') + 1), F.char_length(props) - len('{"k": }'))
+    number = digits.try_cast("bigint")
+    # Written as JSON writes it: no sign or zero in front, no space
+    is_plain = props.startswith('{"k": ') & props.endswith("}") & (number.cast("string") == digits)
+    return F.when(is_plain, number).otherwise(F.from_json(props, "k bigint").k)
+
+
 # Events of a task, about; few enough that the longest task stays short however many there are
 TASK_EVENTS = 25_000
 
@@ -103,7 +113,7 @@ def raw_from_events(events: DataFrame, extended: bool = False) -> DataFrame:
         _pick(F.col("user_id") % 3, SOURCE_NAMES).alias("source_name"),
         symbol.alias("symbol"),
         price.alias("price"),
-        F.from_json("props", "k bigint").k.alias("k"),
+        _k(F.col("props")).alias("k"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.coalesce(defect, F.lit("none")).alias("defect"),
     ).select(

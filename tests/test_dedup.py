@@ -170,3 +170,32 @@ def test_spans_are_hashed_and_ordered_by_arrival_then_sequence(spark):
     assert found == {"a": (micros[1], low, 3), "b": (micros[0], 5, 2), "c": (micros[2], None, 2), "d": (micros[2], high, 1)}
     plan = spans._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_few_long_ids_are_folded_without_a_shuffle_of_the_ticks(spark, monkeypatch):
+    held = {}
+
+    def stored(df, label):
+        held[label] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, label)
+
+    plain = dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", stored)
+    rows = spark.range(20_000).selectExpr(
+        "sha2(cast(if(id < 3, 0, id) as string), 256) as id", "'A' as symbol", "cast(1 as decimal(38,18)) as price",
+        "cast(1 as decimal(38,18)) as volume", "timestamp'2026-06-01' as event_time", "1L as event_ticks", "'alpha' as source",
+        "timestamp_seconds(id * 200) as received_at", "id as seq",
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        accepted = dedup.accept(plain(rows, "ticks"), 120_000)
+        assert accepted.count() == 20_000 and accepted.select("id").distinct().count() == 19_998
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in held["dedup-folded"] and "SortMergeJoin" not in held["dedup-folded"]
+
+
+def test_spans_are_unpacked_without_a_division(spark):
+    plan = dedup.arrival_spans(ticks(spark, [("x", 0, 1)]))._jdf.queryExecution().executedPlan().toString()
+    assert " div " not in plan and "pmod" not in plan
