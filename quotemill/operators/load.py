@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .. import fixed_values as fv
 from ..functions.moments import floor_div
 from ..schemas import MARKET_TICKS, TABLE_PARTITIONS
-from ..session import materialize
+from ..session import NO_ID_DICTIONARY, materialize
 from . import compaction
 from .dedup import first_per_id
 
@@ -26,9 +26,9 @@ FOLDER_LIMIT = 1_000
 PLAIN_NAME = re.compile(r"[a-z0-9_.-]+")
 
 
-def violation() -> Column:
-    """The first constraint a tick would break in the stored table, NULL if none. Numbers are rounded first."""
-    price, volume = (F.col(c).try_cast(fv.STORED_DECIMAL) for c in ("price", "volume"))
+def violation(price: Column, volume: Column) -> Column:
+    """The first constraint a tick would break in the stored table, NULL if none. Takes the numbers as they are stored:
+    rounded, NULL where they do not fit."""
     required = ["id", "source", "symbol", "price", "volume", "event_time", "received_at"]
     return F.coalesce(
         *[F.when(F.col(c).isNull(), F.lit(IS_NULL.format(c))) for c in required],
@@ -42,7 +42,9 @@ def violation() -> Column:
 
 def check_constraints(ticks: DataFrame) -> DataFrame:
     """Add ``violation``."""
-    return ticks.withColumn("violation", violation())
+    # In columns of their own the numbers are rounded once, not for every constraint that looks at them.
+    rounded = ticks.withColumns({f"_{c}": F.col(c).try_cast(fv.STORED_DECIMAL) for c in ("price", "volume")})
+    return rounded.select(*ticks.columns, violation(F.col("_price"), F.col("_volume")).alias("violation"))
 
 
 def assign_batches(ticks: DataFrame, batch_size: int = fv.BATCH_SIZE) -> DataFrame:
@@ -112,13 +114,17 @@ def compact_table(spark: SparkSession, path: str, before: date, file_rows: int =
     return compaction.compact(spark, path, table_schema(), before, file_rows=file_rows)
 
 
-def folder_list(new: DataFrame) -> list[tuple[date, str]] | None:
-    """The (event_date, source) folders that ids of ``new`` can be stored in; nothing if there are too many to name, or
-    if a name is written differently in a path."""
-    found = new.select(F.to_date("event_time").alias("day"), "source").distinct().limit(FOLDER_LIMIT + 1).collect()
-    if len(found) > FOLDER_LIMIT or not all(PLAIN_NAME.fullmatch(row["source"]) for row in found):
-        return None
-    return [(row["day"], row["source"]) for row in found]
+def folder_list(new: DataFrame) -> tuple[list[tuple[date, str]] | None, int | None]:
+    """The (event_date, source) folders that ids of ``new`` can be stored in, nothing if there are too many to name or if a
+    name is written differently in a path; and the number of rows of ``new``, nothing if there are too many folders."""
+    days = new.groupBy(F.to_date("event_time").alias("day"), "source").agg(F.count(F.lit(1)).alias("rows"))
+    found = days.limit(FOLDER_LIMIT + 1).collect()
+    if len(found) > FOLDER_LIMIT:
+        return None, None
+    rows = sum(row["rows"] for row in found)
+    if not all(PLAIN_NAME.fullmatch(row["source"]) for row in found):
+        return None, rows
+    return [(row["day"], row["source"]) for row in found], rows
 
 
 def read_named(spark: SparkSession, path: str, folders: list[tuple[date, str]]) -> DataFrame:
@@ -144,7 +150,7 @@ def read_folders(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
     A short folder list, as a micro-batch has, is read directly, so the rest of the table is not even listed. For a
     long one the whole table is read and joined with the list.
     """
-    folders = folder_list(new)
+    folders, _ = folder_list(new)
     return candidates(read_table(spark, path), new) if folders is None else read_named(spark, path, folders)
 
 
@@ -196,7 +202,7 @@ def append_ticks(ticks: DataFrame, path: str, load_id: str) -> dict[str, int]:
     half-way, gives the same table and the same counts. Two loads must not run at the same time.
     """
     spark = ticks.sparkSession
-    folders = folder_list(ticks)
+    folders, attempted = folder_list(ticks)
 
     def held() -> DataFrame:
         return candidates(read_table(spark, path), ticks) if folders is None else read_named(spark, path, folders)
@@ -208,9 +214,11 @@ def append_ticks(ticks: DataFrame, path: str, load_id: str) -> dict[str, int]:
         .sortWithinPartitions("event_date", "source", "symbol", F.desc("event_time"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option(*NO_ID_DICTIONARY)
         .partitionBy("event_date", "source", "load_id")
         .parquet(path)
     )
-    attempted = ticks.count()
+    if attempted is None:
+        attempted = ticks.count()
     written = held().filter(F.col("load_id") == load_id).count()
     return {"attempted": attempted, "written": written, "conflicts": attempted - written}

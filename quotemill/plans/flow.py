@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,12 +19,18 @@ HEAD = 1024  # characters of an oversize message that are kept
 
 @dataclass(frozen=True)
 class Flow:
-    """The frames of one run; each holds all its rows."""
+    """The frames of one run; each holds all its rows. Ticks are checked and routed when that is first asked for."""
 
     parsed: DataFrame
     ticks: DataFrame
     accepted: DataFrame
-    routed: DataFrame
+    batch_size: int
+    scope: str
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        checked = load.check_constraints(load.assign_batches(self.accepted, self.batch_size))
+        return load.route(checked, self.scope)
 
 
 def slim(parsed: DataFrame) -> DataFrame:
@@ -35,7 +42,7 @@ def slim(parsed: DataFrame) -> DataFrame:
 
 
 def run(raw: DataFrame, options: Options = Options(), scope: str = "batch") -> Flow:
-    """Parse, de-duplicate, check and route.
+    """Parse and de-duplicate; check and route what was accepted.
 
     The parsed rows are written once, because several steps read different columns of them and reading JSON again
     would cost more than the table.
@@ -48,8 +55,7 @@ def run(raw: DataFrame, options: Options = Options(), scope: str = "batch") -> F
     )
     ticks = normalize.ticks(parsed)
     accepted = dedup.accept(ticks, options.dedup_window_ms)
-    checked = load.check_constraints(load.assign_batches(accepted, options.batch_size))
-    return Flow(parsed, ticks, accepted, load.route(checked, scope))
+    return Flow(parsed, ticks, accepted, options.batch_size, scope)
 
 
 def outcomes(flow: Flow, stored: DataFrame) -> DataFrame:

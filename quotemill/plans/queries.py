@@ -69,6 +69,7 @@ def _flow(spark: SparkSession, sf_dir: str, extended: bool = False) -> flow.Flow
 
 
 def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted ticks; stored by the de-duplication, so they can be read several times."""
     return _flow(spark, sf_dir).accepted
 
 
@@ -195,7 +196,7 @@ def dedup_live_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def estimated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct ids per source and day: the exact number, and whether the one from merged hourly sketches is near it."""
-    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    accepted = _accepted(spark, sf_dir)
     sketches = dedup.key_sketches(accepted, 3_600_000)
     day = F.expr("interval div 24").alias("day")
     estimated = dedup.estimated_keys(sketches, "source", day)
@@ -223,7 +224,7 @@ def dedup_in_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idempotent_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table after one load, a repeat of it, and a second load of the same ticks."""
-    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    accepted = _accepted(spark, sf_dir)
     path = work_folder(spark, "ticks")
     for load_id in ("first", "first", "second"):
         load.append_ticks(accepted, path, load_id)
@@ -232,7 +233,7 @@ def idempotent_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored table after four loads and a merge of its folders, and how many loads each folder is left with."""
-    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    accepted = _accepted(spark, sf_dir)
     path = work_folder(spark, "ticks")
     for n in range(4):
         load.append_ticks(accepted.filter(F.col("seq") % 40 < 10 * (n + 1)), path, f"load-{n}")
@@ -245,7 +246,7 @@ def compacted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of loading all ticks into a table that holds those of alpha and beta."""
-    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    accepted = _accepted(spark, sf_dir)
     path = work_folder(spark, "ticks")
     load.append_ticks(accepted.filter(F.col("source") != "gamma"), path, "earlier")
     stored = load.read_table(spark, path)
@@ -265,7 +266,7 @@ def resilient_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Alpha passes at the third attempt, the fault of beta is permanent, that of gamma outlasts all retries and its dead
     letter fails as well."""
-    accepted = materialize(_accepted(spark, sf_dir), "accepted")
+    accepted = _accepted(spark, sf_dir)
     root = work_folder(spark, "resilient")
     faults = {
         "alpha": [OSError("busy")] * 2,
@@ -422,7 +423,7 @@ def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     """Path of a stored table that the feed was loaded into."""
     path = work_folder(spark, "ticks")
-    load.append_ticks(materialize(_accepted(spark, sf_dir), "accepted"), path, "feed")
+    load.append_ticks(_accepted(spark, sf_dir), path, "feed")
     return path
 
 

@@ -25,6 +25,10 @@ REQUIRED = {
 }
 
 
+# Of Parquet's writer, for columns named id
+NO_ID_DICTIONARY = ("parquet.enable.dictionary#id", "false")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings that results depend on."""
     for key, value in REQUIRED.items():
@@ -93,10 +97,11 @@ def scratch(spark: SparkSession):
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared work folder and read it back, which cuts its lineage.
 
-    Ids are digits of a hash: Snappy leaves them as long as they are, Zstandard halves them."""
+    Ids are digits of a hash: Snappy leaves them as long as they are, Zstandard halves them. Nearly all differ, so no
+    dictionary of them is tried."""
     spark = df.sparkSession
     path = work_folder(spark, label)
     if getattr(_scopes, "paths", None) is not None:
         _scopes.paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option(*NO_ID_DICTIONARY).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

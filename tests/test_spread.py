@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import T0
-from quotemill.operators import load
-from quotemill.plans import queries
+from quotemill import session
+from quotemill.operators import dedup, load
+from quotemill.plans import flow, queries
 from quotemill.session import work_folder
 from quotemill.sources import tables
 
@@ -84,3 +85,46 @@ def test_few_failed_batches_are_joined_without_a_shuffle_of_the_ticks(spark):
         assert routed.filter("failure = 'bad'").count() == 1000 and routed.count() == 200_000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def _write_events(folder, props, ids=None):
+    rows = len(props)
+    events = pa.table({
+        "event_id": pa.array(ids or range(1, rows + 1), pa.int64()),
+        "ts": pa.array([datetime(2026, 6, 1, 0, n // 60, n % 60) for n in range(rows)], pa.timestamp("us")),
+        "user_id": pa.array(range(rows), pa.int64()), "event_type": ["click"] * rows, "value": [1.5] * rows, "props": props,
+    })
+    pq.write_table(events, folder / "events.parquet")
+
+
+def test_properties_read_as_by_the_json_reader(spark):
+    odd = ['{"k": 5}', '{"k": 0}', '{"k": -5}', '{"k": -0}', '{"k": +5}', '{"k": 007}', '{"k": 5 }', '{"k":  5}', '{"k":5}', '{"k": 5.0}',
+           '{"k": 5e1}', '{"k": "5"}', '{"k": null}', '{"k": }', '{"k": 5}}', '{"k": 5}x', '{"k": 5, "a": 1}', '{"a": 1, "k": 5}',
+           '{"k": 1}{"k": 2}', '{"k": 9223372036854775807}', '{"k": 9223372036854775808}', '{"k": ５}', '{"k": true}', "{}", "", "x", None]
+    frame = spark.createDataFrame([(text,) for text in odd], "props string")
+    rows = frame.select("props", tables._k(F.col("props")).alias("k"), F.from_json("props", "k bigint").k.alias("by_reader")).collect()
+    assert [(r.props, r.k) for r in rows] == [(r.props, r.by_reader) for r in rows]
+    assert rows[0].k == 5 and rows[2].k == -5
+
+
+def test_a_load_neither_routes_nor_copies_what_was_accepted(spark, tmp_path, monkeypatch):
+    _write_events(tmp_path, [f'{{"k": {n % 100}}}' for n in range(300)])
+    written, plain = [], session.materialize
+
+    def stored(df, label):
+        written.append(label)
+        return plain(df, label)
+
+    for module in (queries, flow, load, dedup):
+        monkeypatch.setattr(module, "materialize", stored)
+    path = queries._stored(spark, str(tmp_path))
+    assert load.read_table(spark, path).count() > 250
+    assert set(written) == {"parsed", "dedup-spans", "dedup-long", "dedup-folded"}
+
+
+def test_routing_runs_when_asked_for(spark, tmp_path):
+    _write_events(tmp_path, [f'{{"k": {n % 100}}}' for n in range(600)], range(400, 1000))
+    run = queries._flow(spark, str(tmp_path), extended=True)
+    assert run.routed is run.routed
+    assert run.routed.count() == run.accepted.count()
+    assert run.routed.filter("failure is not null").count() > 0
