@@ -26,6 +26,8 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import NO_ID_DICTIONARY
+
 WORK = "_compacted"
 MERGED = "merged-"
 FILE_ROWS = 2_000_000
@@ -140,7 +142,7 @@ def compact(spark: SparkSession, path: str, schema: str, before: date, least: in
         .select(*table.columns)
         .repartitionByRange(max(1, -(-rows.count() // file_rows)), *order)
         .sortWithinPartitions(*order)
-        .write.partitionBy("event_date", "source", "load_id")
+        .write.option(*NO_ID_DICTIONARY).partitionBy("event_date", "source", "load_id")
         .parquet(staged)
     )
     for n, swap in enumerate(swaps):

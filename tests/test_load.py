@@ -1,6 +1,7 @@
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from conftest import T0
 from quotemill.config import Options
 from quotemill.operators import load
 from quotemill.operators.deadletter import append_dead_letters, dead_letters, read_dead_letters
-from quotemill.session import work_folder
+from quotemill.session import materialize, work_folder
 from quotemill.streaming.writer import BatchWriter, is_transient, retry_delay_ms
 from test_dedup import SCHEMA
 
@@ -167,3 +168,36 @@ def test_error_classes_and_delays():
     wrapped.__cause__ = ConnectionResetError("reset")
     assert is_transient(wrapped) and is_transient(TimeoutError()) and not is_transient(ValueError("x"))
     assert [retry_delay_ms(n, Options()) for n in (1, 2, 3, 4, 5)] == [250, 500, 1000, 2000, 2000]
+
+
+def test_numbers_are_rounded_once_for_all_constraints(spark, tick):
+    plan = load.check_constraints(materialize(tick({}), "ticks"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("cast(price") == 1
+
+
+def test_a_load_reads_the_ticks_for_their_folders_and_once_more(spark, tick):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = tick({}, {}, {"at": 90_000})
+    path = work_folder(spark, "ticks")
+    counts = load.append_ticks(rows.mapInArrow(count, rows.schema), path, "a")
+    assert counts["attempted"] == 3 and made.value == 6
+
+
+def test_stored_ids_have_no_dictionary(spark, tick, tmp_path):
+    path = str(tmp_path / "ticks")
+    load.append_ticks(tick({}, {"at": 90_000}), path, "a")
+    load.append_ticks(tick({"id": "new"}), path, "b")
+    load.compact_table(spark, path, date(9999, 1, 1))
+    files = list((tmp_path / "ticks").rglob("*.parquet"))
+    assert files
+    for file in files:
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i).encodings for i in range(group.num_columns)}
+        assert not any("DICTIONARY" in e for e in columns["id"])
+        assert any("DICTIONARY" in e for e in columns["symbol"])
