@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialize
 from .components import components
-from .tasks import map_rows, same, ship, texts
+from .tasks import by_shuffle, map_rows, same, ship, texts
 
 WORDS = 5
 REGISTERS, ROWS = 128, 4
@@ -46,7 +46,8 @@ FEWEST_TIES = 70
 BLOCK_MEMBERS = 512
 BLOCK_SHINGLES = 2_000_000  # of the sets in a block, unless one set alone is larger
 LEADER_MEMBERS = 64
-BROADCAST_IDS = 4_000_000  # 64 MB as a hash table
+BROADCAST_IDS = 500_000  # the driver takes about 130 bytes an id to build a hash table and send it
+MARKS = 1 << 27  # bits, 16 MB
 
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64)
 _XORS, _ODDS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1] * np.uint64(2) + np.uint64(1)
@@ -149,9 +150,26 @@ def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids`` (one column, doc_id, distinct), before any text is moved.
 
     Candidates are few beside the documents. Up to a known number their ids go to every task, which then reads its own
-    texts and passes on the candidates' alone; beyond it both sides are shuffled by id."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts and passes on the candidates' alone. Beyond it the tasks get one bit for each value of a hash, ``MARKS`` in all
+    whatever the number of ids, and what these pass on is shuffled by id and joined with the ids."""
+    ids = materialize(ids, "ids")
+    if ids.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return _marked(docs, ids).join(by_shuffle(ids), "doc_id", "left_semi")
+
+
+def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, and a few others whose hash is that of one of these."""
+    wide = 8 * 4096  # bits that one aggregate holds
+    value = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    part, at = F.expr(f"cast(h div {wide} AS int)"), F.expr(f"h % {wide}")
+    # dealt by part before the sum, so that a part is made once instead of once per task
+    marks = ids.select(value.alias("h")).select(part.alias("part"), at.alias("at")).repartition("part")
+    marks = marks.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+    hashed = docs.withColumn("h", value).withColumn("part", part).withColumn("at", at)
+    byte = "cast(conv(hex(substring(bits, cast(at div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    found = hashed.join(F.broadcast(marks), "part").where(f"shiftright({byte}, cast(at % 8 AS int)) & 1 = 1")
+    return found.select(*docs.columns)
 
 
 def _plausible_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -340,14 +358,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
         F.min(F.struct("doc_id", "n_shingles")).alias("head"), F.count("*").alias("members")
     ).where("members > 1")
     # what shares no bucket is left behind here, and so is not dealt out again
-    shared = materialize(buckets.join(heads, "bucket"), "shared")
+    shared = materialize(buckets.join(by_shuffle(heads), "bucket"), "shared")
     near = F.least("n_shingles", "head.n_shingles") * 100 >= F.greatest("n_shingles", "head.n_shingles") * 75
     pairs = shared.where(F.col("doc_id") != F.col("head.doc_id")).where(near)
     pairs = materialize(pairs.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = materialize(verified(_plausible_pairs(pairs, one), body), "links")
 
     settled = _component_of(one, components(links))
-    spread = shared.select("bucket", "band", "doc_id").join(settled.select("doc_id", "n_shingles", "component"), "doc_id")
+    sized = by_shuffle(settled.select("doc_id", "n_shingles", "component"))
+    spread = shared.select("bucket", "band", "doc_id").join(sized, "doc_id")
     mixed = spread.groupBy("bucket").agg(
         F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"),
         F.min("component").alias("low_one"), F.max("component").alias("high_one"),

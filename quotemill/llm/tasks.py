@@ -60,6 +60,14 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which neither side may be broadcast, whatever size Spark takes it for.
+
+    Spark counts an explode as one row for one, and a work table as its file: the compressed numbers of few columns. What
+    is broadcast passes through the driver, so sides that grow with the input and that Spark takes for small are sorted."""
+    return df.hint("merge")
+
+
 def same(left: Column, right: Column) -> Column:
     """Equality under which null equals null."""
     return left.eqNullSafe(right)

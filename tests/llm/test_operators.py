@@ -176,6 +176,33 @@ def test_a_block_that_many_texts_share_is_one_row_of_its_task(spark):
     assert got == {i: (last[t], sizes[t], last[t] == i) for i, t in enumerate(texts)}
 
 
+def broadcasts(df):
+    """What the plan of a frame broadcasts, each as text."""
+    out = []
+
+    def walk(node):
+        if node.nodeName() == "BroadcastExchange":
+            out.append(node.toString())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return out
+
+
+def written(monkeypatch, module):
+    """What the work tables of a module broadcast, by label, filled as they are made."""
+    out, write = defaultdict(list), module.materialize
+
+    def noted(df, label):
+        out[label] += broadcasts(df)
+        return write(df, label)
+
+    monkeypatch.setattr(module, "materialize", noted)
+    return out
+
+
 def test_columns_and_null_ids_pass_through_exact_dedup(spark):
     rows = [(None, "x", 1), (None, "x", 2), (None, None, 3), (5, "", 4), (5, None, 5), (7, "X", 6), (8, "y", 7), (None, "z", 8)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, __nth int").withColumn("name", F.lit(1)).withColumn("a.b", F.lit(2))
@@ -210,6 +237,28 @@ def test_near_copies(docs, rows, none):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in sets if least[i] == i}
 
 
+def test_bands_are_not_broadcast(docs, monkeypatch):
+    # Spark counts 32 bands of a document as one row, so it took them for small when they weren't
+    made = written(monkeypatch, set_sketch)
+    set_sketch.near_copies(docs)
+    assert not made["shared"]
+    assert not [x for x in made["hopeful"] if "band" in x]
+
+
+def test_many_candidates_are_broadcast_as_bits(spark, monkeypatch):
+    frame = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")).repartition(5)
+    frame = frame.union(spark.createDataFrame([(None, "none"), (7, "again"), (-5, "below")], "doc_id long, text string"))
+    ids = spark.range(0, 20_000, 7).select(F.col("id").alias("doc_id")).union(spark.createDataFrame([(-5,), (-9,)], "doc_id long"))
+    expected = [(-5, "below"), (7, "again")] + [(i, f"t{i}") for i in range(0, 20_000, 7)]
+    assert found(set_sketch.only(frame, ids), "doc_id", "text") == sorted(expected)
+    monkeypatch.setattr(set_sketch, "BROADCAST_IDS", 0)
+    few = set_sketch.only(frame, ids)
+    assert found(few, "doc_id", "text") == sorted(expected)
+    assert broadcasts(few) and all("bits" in x for x in broadcasts(few))
+    # no text is moved but the candidates' and those of a few equal hashes
+    assert set_sketch._marked(frame, ids).count() <= len(expected) + 10
+
+
 def test_incidence_products_count_intersections():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (1, 50, 200, 250)]
