@@ -24,7 +24,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
-from .tasks import map_rows, row_numbers, same, texts
+from .tasks import by_shuffle, map_rows, row_numbers, same, texts
 
 BLOCK_BYTES = 16_384
 REMEMBERED = 32 << 20
@@ -88,7 +88,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     marked = rows.join(F.broadcast(hot), on(rows, hot), "left").select(*[rows[c] for c in rows.columns], *names, "hot")
     cold = groups.where(~large)
     rest = marked.where("hot is null").select(*rows.columns)
-    rest = rest.join(cold, on(rest, cold)).select(*[rest[c] for c in rows.columns], *names)
+    rest = rest.join(by_shuffle(cold), on(rest, cold)).select(*[rest[c] for c in rows.columns], *names)
     return marked.where("hot").select(*rows.columns, *names).unionByName(rest)
 
 

@@ -34,6 +34,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
+from .tasks import by_shuffle
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -204,7 +205,8 @@ def _rows_met() -> tuple[Column, Column]:
 
 
 def _salted(few: DataFrame) -> DataFrame:
-    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Every row once per salt, for a join with ``_by_row``; both sides come from lists, so neither is broadcast."""
+    return by_shuffle(few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
 
 
 def _by_row(many: DataFrame) -> DataFrame:
@@ -242,7 +244,7 @@ def tied_terms(held: DataFrame, docs: DataFrame, total: int, text_column: str) -
     # one row per term on both sides
     kinds = words.groupBy("term").agg(F.count("*").alias("n"), *_rows_met()).where(f"n >= {CONTEXTS}")
     largest = classes.agg(F.max("n_entity").alias("n_entity"))
-    kinds = kinds.join(term_documents(docs, text_column), "term").join(F.broadcast(largest), F.lit(True))
+    kinds = kinds.join(by_shuffle(term_documents(docs, text_column)), "term").join(F.broadcast(largest), F.lit(True))
     kinds = materialize(kinds.where(F.col("documents") <= _most(F.col("n_entity"), total)).drop("n_entity"), "kinds")
     alike = ["n", "mark", "again", "documents"]
     named = kinds.join(kinds.groupBy(*alike).agg(F.min("term").alias("word")), alike)
@@ -273,7 +275,7 @@ def revealing_terms(held: DataFrame, docs: DataFrame, text_column: str = "text")
     """(row, term, disclosure) of every revealing term of a document."""
     total = docs.count()
     tied, terms = tied_terms(held, docs, total, text_column)
-    return terms.join(disclosing(tied, total), ["row", "word"]).select("row", "term", "disclosure")
+    return terms.join(by_shuffle(disclosing(tied, total)), ["row", "word"]).select("row", "term", "disclosure")
 
 
 def _places(text: str, known: str) -> str:

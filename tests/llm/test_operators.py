@@ -203,6 +203,12 @@ def written(monkeypatch, module):
     return out
 
 
+def test_only_large_groups_of_copies_are_broadcast(spark):
+    frame = spark.createDataFrame([(i, f"text {i // 2}") for i in range(60)], "doc_id long, text string")
+    plan = broadcasts(block_names.exact_copies(frame))
+    assert plan and all("* 1000) > 60)" in x for x in plan)
+
+
 def test_columns_and_null_ids_pass_through_exact_dedup(spark):
     rows = [(None, "x", 1), (None, "x", 2), (None, None, 3), (5, "", 4), (5, None, 5), (7, "X", 6), (8, "y", 7), (None, "z", 8)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, __nth int").withColumn("name", F.lit(1)).withColumn("a.b", F.lit(2))
@@ -364,6 +370,21 @@ def test_a_host_is_revealed_by_a_name_that_stands_with_different_addresses(spark
     assert "Okapi" in clean[63] and "Okapi" in clean[64] and clean[7] == texts[7]
 
 
+def test_salted_rows_and_words_are_not_broadcast(spark, monkeypatch):
+    rows = [(i, f"mail to someone{i % 4}@host{i % 3}.example.com or Person{i % 4} here {i}") for i in range(24)]
+    rows += [(100 + i, f"nothing but words {i}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = written(monkeypatch, disclosure)
+    held = disclosure.document_terms(disclosure.with_spans(docs))
+    last = disclosure.revealing_terms(held, docs)
+    assert {"met-entities", "kinds", "row-terms"} <= made.keys()
+    assert last.count() > 0
+    assert not [x for x in made["met-entities"] + made["row-terms"] + broadcasts(last) if "salt" in x]
+    # the largest number of documents of an entity alone
+    assert len(made["kinds"]) == 1 and "term" not in made["kinds"][0]
+    assert not [x for x in broadcasts(last) if "row-terms" in x or "word" in x]
+
+
 def test_many_spans_in_one_text_take_linear_time(spark):
     long = " ".join(f"a{i}@b.example.com" for i in range(50_000))
     docs = spark.createDataFrame([(1, long), (2, "a7@b.example.com, 1.2.3.4")], "doc_id long, text string")
